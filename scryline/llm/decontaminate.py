@@ -138,24 +138,24 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs whose text holds no item; all columns. One pass for each block of items, without a join."""
-    columns = docs.columns
-    for block in _blocks(items):
+def _clean(block: list[tuple[int, str]], error_rate: float):
+    """A filter of texts that hold none of the block's items."""
+    matchers: list[Matcher] = []  # one for each task, made on first use
 
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, block=block) -> pd.Series:
-            key = id(block), error_rate
-            if _LAST.get("key") != key:
-                _LAST.update(key=key, matcher=Matcher(block, error_rate), block=block)
-            return pd.Series([not _LAST["matcher"].hits(t) for t in text], dtype=bool)
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        if not matchers:
+            matchers.append(Matcher(block, error_rate))
+        return pd.Series([not matchers[0].hits(t) for t in text], dtype=bool)
 
-        docs = docs.where(clean("text"))
-    return docs.select(*columns)
+    return clean
 
 
-#: The matcher that this worker used last.
-_LAST: dict = {}
+def decontaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of docs whose text holds no item; all columns. One pass for all blocks of items, without a join."""
+    for block in _blocks(items):
+        docs = docs.where(_clean(block, error_rate)("text"))
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ ORDER = 4
 SAMPLE_DOCS = 400
 CALIBRATE = 0.25
 #: A text whose score is below this is rejected.
-REJECT_BELOW = 0.05
+REJECT_BELOW = 0.02
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -238,7 +238,7 @@ class Identifier:
         best = ce.argmin(axis=1)
         share = 1 / np.exp(-self.heat * (ce - ce.min(axis=1, keepdims=True))).sum(axis=1)
         z = (ce.min(axis=1) - self.mean[best]) / self.spread[best]
-        usual = 1 / (1 + np.exp(np.clip(z - 8, -50, 50)))
+        usual = 1 / (1 + np.exp(np.clip(z - 12, -50, 50)))
         score = np.where(has, np.clip(share * usual, 0, 1), 0.0)
         return [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], score
 
@@ -271,8 +271,8 @@ def learn(docs: DataFrame, learnable: Column) -> Identifier:
     return Identifier(fit, hold)
 
 
-def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score; the model is broadcast (bounded by the sample)."""
+def identify(docs: DataFrame, identifier: Identifier, keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns `keep` of docs with <prefix>lang_pred and <prefix>score; the model is broadcast (bounded by the sample)."""
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -280,7 +280,8 @@ def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFr
         names, score = shared.value.predict(list(text))
         return pd.DataFrame({"lang_pred": names, "score": score})
 
-    return docs.select(*keep, predict("text").alias("_p")).select(*keep, "_p.lang_pred", "_p.score")
+    judged = docs.select(*keep, predict("text").alias("_judged"))
+    return judged.select(*keep, F.col("_judged.lang_pred").alias(f"{prefix}lang_pred"), F.col("_judged.score").alias(f"{prefix}score"))
 
 
 def learnable() -> Column:

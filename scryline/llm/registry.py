@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from scryline.llm import decontaminate, language, packing, quality, sharding, simhash, urls
+from scryline.llm import decontaminate, language, lines, lm, minhash, packing, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
+    "op4_minhash": minhash.op4_minhash,
     "op5_url_filter": urls.op5_url_filter,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_language": language.op7_language,
     "op8_quality": quality.op8_quality,
+    "op9_line_dedup": lines.op9_line_dedup,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
-SQL = {"op5_url_filter": urls.OP5_SQL}
+SQL = {"op5_url_filter": urls.OP5_SQL, "op9_line_dedup": lines.OP9_SQL}
