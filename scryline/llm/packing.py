@@ -35,53 +35,86 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, as the tokenizer gives them for the whole text.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so runs between white space
-    are encoded once and remembered. The four control characters that Python alone splits at go to the tokenizer whole.
+    The tokenizer lower-cases, drops white space and never joins what stands on its two sides, so runs between white
+    space are encoded once and remembered. It cuts a run into pieces by PIECES; a piece ends with the only token that
+    ends one. So new pieces go to the tokenizer many in one call, and a run's ids are those of its pieces. All this holds for
+    texts of Latin-1 characters, which have one form only; other texts go through it run by run, and those with one of the four
+    control characters that Python alone splits at, or with a special token, whole.
     """
 
+    #: Fixed value: the tokenizer's own pattern.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.mark = self._ids(["\x02"])[0]
-        if len(self.mark) != 4:
-            raise ValueError("the mark must be one token")
+        self.cut = regex.compile(self.PIECES).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_piece[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache: dict[str, bytes] = {}  # of runs
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: list[str]) -> None:
-        """Encode many runs in one call, with a mark after each."""
-        plain = [r for r in runs if "\x02" not in r]
-        for r in runs:
-            if "\x02" in r:
-                self.cache[r] = self._ids([r])[0]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(" \x02 ".join(part) + " \x02", add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
-            if len(ends) != len(part):
-                self.cache.update(zip(part, self._ids(part), strict=True))
+    def _learn_pieces(self, new: list[str]) -> None:
+        known = self.pieces
+        for lo in range(0, len(new), 4000):
+            part = new[lo : lo + 4000]
+            raw = self._ids([" ".join(part)])[0]
+            stops = np.flatnonzero(self.ends_piece[np.frombuffer(raw, "<u4")]) + 1
+            if len(stops) != len(part):
+                known.update(zip(part, self._ids(part), strict=True))
                 continue
             begin = 0
-            for r, end in zip(part, ends.tolist(), strict=True):
-                self.cache[r] = ids[begin:end].tobytes()
-                begin = end + 1
+            for p, end in zip(part, (4 * stops).tolist(), strict=True):
+                known[p] = raw[begin:end]
+                begin = end
+
+    def _learn(self, runs: set[str]) -> None:
+        """Runs of lower-cased Latin-1 characters."""
+        known = self.pieces
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        cut = {r: self.cut(r) for r in runs}
+        self._learn_pieces(list({p for ps in cut.values() for p in ps if p not in known}))
+        for r, ps in cut.items():
+            self.cache[r] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [None if _SEPARATORS.search(t) else t.split() for t in texts]
+        runs = [lowered.split() if (lowered := _lowered(t)) is not None else None for t in texts]
         cache = self.cache
-        new = {r for t in runs if t for r in t if r not in cache}
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = {r for t in runs if t for r in t}
-        self._learn(sorted(new))
-        out = [self._ids([t])[0] if r is None else b"".join([cache[x] for x in r]) for t, r in zip(texts, runs, strict=True)]
-        for r in new:
-            if len(r) > CACHE_CHARS:
-                del cache[r]
-        return out
+        out = [None if r is None else list(map(cache.get, r)) for r in runs]
+        missing = [i for i, o in enumerate(out) if o is not None and None in o]
+        if missing:
+            new = {r for i in missing for r, ids in zip(runs[i], out[i], strict=True) if ids is None}
+            if len(cache) + len(new) > CACHE_ENTRIES:
+                cache.clear()
+                new = {r for i in missing for r in runs[i]}
+            self._learn(new)
+            for i in missing:
+                out[i] = list(map(cache.__getitem__, runs[i]))
+            for r in new:
+                if len(r) > CACHE_CHARS:
+                    del cache[r]
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self._ids([t])
+        return [b"".join(o) for o in out]
+
+
+def _lowered(text: str) -> str | None:
+    """Lower case, where Python's is sure to be the tokenizer's own; else null."""
+    if "<|" in text or _SEPARATORS.search(text):
+        return None
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return text.lower()
 
 
 def pieces(doc_ids: list, encoded: list[bytes], end_id: int, capacity: int) -> np.ndarray:
