@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from scryline.functions.text import any_of, first_match, lookup
+from scryline.functions.text import first_match, lookup
 
 GENERIC_CLAIMS = ["hardcoded_credentials", "review_finding", "security_finding", "sensitive_data_exposure"]
 PASSWORD_HASH_CLAIMS = ["weak_cryptographic_practice", "weak_cryptography"]
@@ -101,25 +101,34 @@ TOKEN_SETS = [
 ]
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), with x computed once: a long expression that uses its input often stays small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _first_of(table, fits) -> Column:
+    """The claim of the table's first entry (words, claim) that fits; null if none does."""
+    entries = F.array(*[F.struct(F.array(*[F.lit(w) for w in words]).alias("words"), F.lit(claim).alias("claim")) for words, claim in table])
+    return F.get(F.filter(entries, lambda e: fits(e["words"])), F.lit(0))["claim"]
+
+
 def claim_from_title(title: Column) -> Column:
     """of the first group of phrases that the title has one of; null if none."""
-    t = F.lower(title)
-    return first_match([(any_of(t, phrases), claim) for phrases, claim in TITLE_PHRASES])
+    return bound(F.lower(title), lambda t: _first_of(TITLE_PHRASES, lambda words: F.exists(words, lambda w: F.contains(t, w))))
 
 
 def _has_all(tokens: Column, words: str) -> Column:
-    return F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words.split()]))) == len(words.split())
+    return F.size(F.array_except(F.array(*[F.lit(w) for w in words.split()]), tokens)) == 0
 
 
 def normalize_claim(claim: Column, title: Column) -> Column:
     """snake case, aliases, token sets, then the title where the claim says nothing in particular."""
     source = F.coalesce(F.nullif(F.trim(claim), F.lit("")), title)
     snake = F.regexp_replace(F.regexp_replace(F.lower(source), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    plain = F.when(snake == "", F.lit("review_finding")).otherwise(snake)
-    aliased = F.coalesce(lookup(ALIASES, plain), plain)
-    tokens = F.split(aliased, "_")
-    by_tokens = first_match([(_has_all(tokens, words), c) for words, c in TOKEN_SETS])
-    return F.coalesce(by_tokens, F.when(aliased.isin(GENERIC_CLAIMS), claim_from_title(title)), aliased)
+    sets = [(words.split(), c) for words, c in TOKEN_SETS]
+    by_tokens = lambda a: bound(F.split(a, "_"), lambda tokens: _first_of(sets, lambda words: F.size(F.array_except(words, tokens)) == 0))
+    aliased = bound(F.coalesce(F.nullif(snake, F.lit("")), F.lit("review_finding")), lambda p: F.coalesce(lookup(ALIASES, p), p))
+    return bound(aliased, lambda a: F.coalesce(by_tokens(a), F.when(a.isin(GENERIC_CLAIMS), claim_from_title(title)), a))
 
 
 def contextual_claim(claim: Column, context: Column) -> Column:
@@ -141,13 +150,13 @@ def contextual_claim(claim: Column, context: Column) -> Column:
 
 def probe_claim(probe_id: Column, claim: Column, title: Column, context: Column) -> Column:
     """F10"""
-    return contextual_claim(F.coalesce(lookup(PROBE_CLAIMS, probe_id), normalize_claim(claim, title)), F.concat_ws("\n", title, context))
+    plain = F.coalesce(lookup(PROBE_CLAIMS, probe_id), normalize_claim(claim, title))
+    return bound(plain, lambda c: contextual_claim(c, F.concat_ws("\n", title, context)))
 
 
 def finding_key(category: Column, claim: Column, title: Column, rule_id: Column | None = None) -> Column:
     """roadmap:rule, or category:claim with the claim's own category first."""
-    canonical = normalize_claim(claim, title)
-    plain = F.concat_ws(":", F.lower(F.trim(F.coalesce(lookup(CATEGORY_OVERRIDES, canonical), category))), canonical)
+    plain = bound(normalize_claim(claim, title), lambda c: F.concat_ws(":", F.lower(F.trim(F.coalesce(lookup(CATEGORY_OVERRIDES, c), category))), c))
     if rule_id is None:
         return plain
     rule = F.trim(rule_id)
@@ -164,4 +173,4 @@ def issue_claim(raw: Column, source: Column, title: Column, context: Column) ->
         lookup(RULE_CLAIMS, F.upper(rule)), lookup(PROBE_CLAIMS, get("probe_review.probe_id")), get("probe_review.claim_type"), get("claim_type"), stored, claim_from_title(title),
         F.when(rule.isNotNull(), F.concat_ws("_", source, rule)), title,
     )
-    return contextual_claim(normalize_claim(claim, title), context)
+    return bound(normalize_claim(claim, title), lambda c: contextual_claim(c, context))

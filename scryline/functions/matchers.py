@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from scryline.functions.text import all_of, any_of, matched
 
@@ -141,7 +142,7 @@ def parsed(text: str) -> ast.AST | None:
         return None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def tree_probes(text: pd.Series) -> pd.Series:
     """The tree probes that match each lower-cased text; each text is parsed once."""
     out = []

@@ -346,8 +346,8 @@ IGNORED_CALLS = ["apirouter", "asyncsession", "basemodel", "depends", "dict", "f
 
 def referenced_symbols(content: Column) -> Column:
     """distinct lower-cased names that are called or begin with a capital."""
-    calls = F.regexp_extract_all(content, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
-    types = F.regexp_extract_all(content, F.lit(r"\b([A-Z][A-Za-z0-9_]+)\b"), F.lit(1))
+    calls = F.regexp_extract_all(content, F.lit(r"(?U)\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
+    types = F.regexp_extract_all(content, F.lit(r"(?U)\b([A-Z][A-Za-z0-9_]+)\b"), F.lit(1))
     return F.filter(F.array_distinct(F.transform(F.concat(calls, types), lambda n: F.lower(n))), lambda n: ~n.isin(IGNORED_CALLS))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -118,20 +120,31 @@ def page(rows: DataFrame, field: str, created: str, *, descending: bool, number:
 def dedupe_overlaps(issues: DataFrame, keys: list[str]) -> DataFrame:
     """By start, then falling confidence; a row that overlaps kept ones replaces the first of them if it is surer.
 
-    Replacement depends on what was kept before, so this is a fold over each group (one finding in one file of one job).
+    Replacement depends on what was kept before, so rows are read in order, group after group; a task holds one group's kept rows.
     """
-    schema = issues.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_c=-pdf["confidence"].fillna(-1.0)).sort_values(["line_start", "_c", "issue_id"], kind="stable").drop(columns="_c").reset_index(drop=True)
-        kept: list[int] = []
-        start, end, sure = pdf["line_start"].tolist(), pdf["line_end"].tolist(), pdf["confidence"].fillna(-1.0).tolist()
-        for i in range(len(pdf)):
-            at = next((k for k, j in enumerate(kept) if start[i] <= end[j] and start[j] <= end[i]), None)
-            if at is None:
-                kept.append(i)
-            elif sure[i] > sure[kept[at]]:
-                kept[at] = i
-        return pdf.iloc[kept]
-
-    return issues.groupBy(*keys).applyInPandas(fold, schema)
+
+    columns = issues.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept = None, []
+        for pdf in batches:
+            done = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != group:
+                    done += kept
+                    group, kept = key, []
+                at = next((i for i, k in enumerate(kept) if row.line_start <= k.line_end and k.line_start <= row.line_end), None)
+                if at is None:
+                    kept.append(row)
+                elif _sure(row) > _sure(kept[at]):
+                    kept[at] = row
+            yield pd.DataFrame(done, columns=pdf.columns)
+        yield pd.DataFrame(kept, columns=columns)
+
+    ordered = issues.repartition(*keys).sortWithinPartitions(*keys, "line_start", F.coalesce("confidence", F.lit(-1.0)).desc(), "issue_id")
+    return ordered.mapInPandas(fold, issues.schema)
+
+
+def _sure(row) -> float:
+    return -1.0 if row.confidence is None or row.confidence != row.confidence else row.confidence

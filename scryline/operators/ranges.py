@@ -107,7 +107,7 @@ def symbol_related(anchors: DataFrame, chunks: DataFrame, text: str, probe: str
     Words of the chunks meet the symbols by an equi-join on the word.
     """
     symbols = anchors.select(probe, "anchor_rank", F.explode(referenced_symbols(F.col("content"))).alias("word")).groupBy(probe, "word").agg((2.0 / (F.min("anchor_rank") + 1)).alias("priority"))
-    words = chunks.select("file_path", "chunk_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    words = chunks.select("file_path", "chunk_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
     return words.join(symbols, "word").groupBy(probe, "file_path", "chunk_index").agg(F.max("priority").alias("priority"))
 
 

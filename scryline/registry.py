@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from scryline.plans import review_queries, search_queries
+
+_ALL = search_queries.QUERIES | review_queries.QUERIES
+QUERIES = {name: f for name, (f, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from scryline.functions.text import dependency_names, file_name, is_review_target, lines, lookup, path_parts, relative_path
 
@@ -162,7 +163,7 @@ NODE_FRAMEWORKS = {"next": "Next.js", "react": "React", "vue": "Vue", "express":
 PYTHON_FRAMEWORKS = {"fastapi": "FastAPI", "django": "Django", "flask": "Flask", "celery": "Celery", "sqlalchemy": "SQLAlchemy"}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def python_import_roots(text: pd.Series) -> pd.Series:
     """Distinct top-level modules that each source imports; none where it doesn't parse."""
     out = []

@@ -78,22 +78,24 @@ def forward_stream(events: DataFrame) -> DataFrame:
 def rate_limited(requests: DataFrame, user: str = "user_id", when: str = "ts", tie: str = "event_id", limit: int = 10, seconds: int = 60) -> DataFrame:
     """Requests with allowed, retry_after. A user's window begins at the first request that no window holds, not at a full minute.
 
-    Each user is folded by itself, in batches of its own requests.
+    Requests are read in order, user after user; a task holds one window's start and count.
     """
-    schema = requests.select(user, tie, when).withColumn("allowed", F.lit(True)).withColumn("retry_after", F.lit(0).cast("long")).schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([when, tie], kind="stable")
-        begin, n, ok, wait = None, 0, [], []
-        for t in pdf[when]:
-            if begin is None or (t - begin).total_seconds() >= seconds:
-                begin, n = t, 0
-            n += 1
-            ok.append(n <= limit)
-            wait.append(0 if n <= limit else int(seconds - (t - begin).total_seconds()))
-        return pdf.assign(allowed=ok, retry_after=wait)
-
-    return requests.select(user, tie, when).groupBy(user).applyInPandas(fold, schema)
+    columns = [user, tie, when]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, begin, n = None, None, 0
+        for pdf in batches:
+            ok, wait = [], []
+            for u, t in zip(pdf[user], pdf[when], strict=True):
+                if u != who or begin is None or (t - begin).total_seconds() >= seconds:
+                    who, begin, n = u, t, 0
+                n += 1
+                ok.append(n <= limit)
+                wait.append(0 if n <= limit else int(seconds - (t - begin).total_seconds()))
+            yield pdf.assign(allowed=ok, retry_after=wait)
+
+    schema = requests.select(*columns).withColumn("allowed", F.lit(True)).withColumn("retry_after", F.lit(0).cast("long")).schema
+    return requests.select(*columns).repartition(user).sortWithinPartitions(user, when, tie).mapInPandas(fold, schema)
 
 
 def publish(snapshot_path: str, log_path: str):
