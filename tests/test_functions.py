@@ -61,7 +61,7 @@ def test_progress_and_percent(spark):
 
 @pytest.mark.parametrize("probe,yes,no", [
     ("security.sql_nosql_injection", 'db.execute(f"select {x}")', "db.execute(q)"), ("security.weak_password_hash", "md5(password)", "sha256(password)"),
-    ("bug.inventory_invariant", "quantity += delta", "if new_quantity < 0: quantity += delta"), ("security.open_redirect", "redirectresponse(url=next)", "redirectresponse(url='/')"),
+    ("bug.inventory_invariant", "quantity += delta", "if new_quantity < 0: quantity += delta"), ("security.open_redirect", "redirectresponse(url=next)", "redirectresponse('/')"),
     ("bug.task_retry_timeout", "@shared_task\ndef f(): ...", "@shared_task(time_limit=3)\ndef f(): ..."),
     ("security.jwt_algorithm_allowlist", "jwt.decode(t, k)", "jwt.decode(t, k, algorithms=[settings.algorithm])"), ("security.sensitive_data_logging", "logger.info(user.password)", "logger.info('password')"),
     ("performance.n_plus_one", "for i in x:\n    db.execute(i)", "db.execute(x)"), ("security.unrestricted_file_upload", "def f(a: uploadfile):\n    o.write(a)", "o.write(a)"),
