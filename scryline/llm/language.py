@@ -243,24 +243,25 @@ class Identifier:
         return [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], score
 
 
-def sample(docs: DataFrame, label: str, learnable: Column, per_label: int) -> DataFrame:
-    """doc_id, label, text of at most per_label documents of each label, by least hash."""
+def chosen_ids(labelled: DataFrame, per_label: int) -> DataFrame:
+    """labelled (doc_id, label) -> doc_id, label, k: at most per_label different ids of each label, by least hash."""
     first = Window.partitionBy("label").orderBy("h", "doc_id")
-    chosen = (
-        docs.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", F.col(label).alias("label"), F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
-        .distinct()
-        .withColumn("k", F.row_number().over(first))
-        .where(F.col("k") <= per_label)
-        .select("doc_id", "label", "k")
-    )
-    texts = docs.where("text is not null").select("doc_id", F.col(label).alias("label"), "text")
-    return texts.join(F.broadcast(chosen), ["doc_id", "label"])  # at most per_label rows for each label
+    part = Window.partitionBy("label", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")  # a label may hold most rows
+    rows = labelled.where("doc_id is not null and label is not null").select("doc_id", "label", F.xxhash64(F.lit("sample"), "doc_id").alias("h")).distinct()
+    rows = rows.withColumn("k", F.row_number().over(part)).where(F.col("k") <= per_label)
+    return rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label).select("doc_id", "label", "k")
+
+
+def sample(docs: DataFrame, learnable: Column, per_label: int) -> DataFrame:
+    """docs (doc_id, text, lang) -> doc_id, label, k, text of at most per_label documents of each language."""
+    labelled = docs.select("doc_id", "text", F.col("lang").alias("label"))
+    chosen = chosen_ids(labelled.where(learnable & F.col("text").isNotNull()).select("doc_id", "label"), per_label)
+    return labelled.where("text is not null").join(F.broadcast(chosen), ["doc_id", "label"])  # at most per_label rows for each label
 
 
 def learn(docs: DataFrame, learnable: Column) -> Identifier:
     """docs (doc_id, text, lang). The texts of the bounded sample come to the driver."""
-    rows = sorted((r["label"], r["k"], r["text"]) for r in sample(docs, "lang", learnable, SAMPLE_DOCS).select("label", "k", "text").collect())
+    rows = sorted((r["label"], r["k"], r["text"]) for r in sample(docs, learnable, SAMPLE_DOCS).select("label", "k", "text").collect())
     fit: dict[str, list[str]] = {}
     hold: dict[str, list[str]] = {}
     for label, k, text in rows:

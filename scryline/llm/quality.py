@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scryline.llm.common import crc32_mod, documents
-from scryline.llm.language import sample
+from scryline.llm.language import chosen_ids
 
 SAMPLE_DOCS = 1_500
 DICTIONARY_BYTES = 1 << 16
@@ -92,8 +92,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_docs: int = SAMPLE_DOCS) -> Classifier:
     """docs (doc_id, text), labels (doc_id, quality). The texts of the bounded sample come to the driver."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
-    # ids first, then texts: the labelled ids of the sample are few
-    chosen = sample(docs.select("doc_id", "text").join(known.select("doc_id", "quality"), "doc_id"), "quality", learnable, sample_docs)
+    # ids first, out of the labels alone; then the texts of those few
+    ids = chosen_ids(known.where(learnable).select("doc_id", F.col("quality").alias("label")), sample_docs)
+    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # two classes of sample_docs at most
     rows = sorted((r["label"], r["k"], r["text"]) for r in chosen.select("label", "k", "text").collect())
     prior = {r["quality"]: r["count"] for r in known.where(learnable).groupBy("quality").count().collect()}
     build = {q: [t for label, k, t in rows if label == q and k % 2] for q in (0, 1)}
