@@ -82,10 +82,9 @@ def kneser_ney(texts: list[str], order: int) -> list[dict]:
         n1, n2 = int((count == 1).sum()), int((count == 2).sum())
         d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.75
         if lower is None:
-            total = count.sum() + 1.0
-            p = (count - d) / total
-            unseen = max(1.0 - float(p.sum()), 1e-9) / 4096  # spread over characters not seen
-            level = {"keys": keys, "logp": np.log(np.maximum(p + unseen, 1e-12)), "ctx": np.empty(0, np.uint64), "backoff": np.empty(0), "unseen": np.log(unseen)}
+            total = float(count.sum())
+            unseen = d * len(count) / total / (len(count) + 1)  # the mass taken off goes to all characters and an unknown one alike
+            level = {"keys": keys, "logp": np.log((count - d) / total + unseen), "ctx": np.empty(0, np.uint64), "backoff": np.empty(0), "unseen": np.log(unseen)}
         else:
             ctx, inverse = np.unique(head, return_inverse=True)
             total = np.bincount(inverse, count)
