@@ -23,7 +23,7 @@ BITS = 64
 #: Fingerprints of a slice (8 bytes each) that one task may hold; from there on there are more slices.
 SLICE_ROWS = 16_000_000
 #: Variants that are spelled out at a time.
-SUB_ROWS = 4_000_000
+SUB_ROWS = 1_000_000
 #: Rows of copies that go (16 bytes each) up to which they are broadcast.
 GONE_ROWS = 500_000
 
