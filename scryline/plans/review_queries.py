@@ -258,13 +258,13 @@ LATEST_SQL = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type,
 
 
 def status_lag(spark, sf):
-    """How each job's report compares with the one before."""
+    """How each job's report compares with the one before it of the same repository (here: of ten)."""
     r = findings.severity_counts(issues(spark, sf), ["job_id"]).select("job_id", "total_findings")
-    prev = F.lag("total_findings").over(Window.orderBy("job_id"))  # one row a job
+    prev = F.lag("total_findings").over(Window.partitionBy(F.col("job_id") % 10).orderBy("job_id"))
     return r.withColumn("p", prev).select("job_id", F.when(F.col("p").isNull(), "unknown").when(F.col("total_findings") > F.col("p"), "up").when(F.col("total_findings") < F.col("p"), "down").otherwise("stable").alias("trend"))
 
 
-LAG_SQL = duck_with("v_issues") + ", r AS (SELECT job_id, count(*) AS t FROM v_issues GROUP BY job_id), l AS (SELECT job_id, t, lag(t) OVER (ORDER BY job_id) AS p FROM r) SELECT job_id, CASE WHEN p IS NULL THEN 'unknown' WHEN t > p THEN 'up' WHEN t < p THEN 'down' ELSE 'stable' END AS trend FROM l"
+LAG_SQL = duck_with("v_issues") + ", r AS (SELECT job_id, count(*) AS t FROM v_issues GROUP BY job_id), l AS (SELECT job_id, t, lag(t) OVER (PARTITION BY job_id % 10 ORDER BY job_id) AS p FROM r) SELECT job_id, CASE WHEN p IS NULL THEN 'unknown' WHEN t > p THEN 'up' WHEN t < p THEN 'down' ELSE 'stable' END AS trend FROM l"
 
 
 def expired_jobs(spark, sf):
