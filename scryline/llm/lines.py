@@ -161,7 +161,7 @@ t AS (SELECT s, min(CASE WHEN whole THEN of_all ELSE least(of_same, coalesce(of_
 g AS (SELECT k.doc_id, k.pos FROM k JOIN t USING (s) WHERE k.ord > t.t),
 r AS (SELECT l.doc_id, count(g.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
       FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
-SELECT d.doc_id, CAST(len(d.ls) AS BIGINT) AS n_lines, CAST(r.n_dropped AS BIGINT) AS n_dropped,
-       r.n_dropped > 0 AND NOT regexp_matches(r.kept, '[^\x20\x09-\x0D]') AS gone, md5(r.kept) AS kept_md5
-FROM d JOIN r USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_dropped, 0) AS BIGINT) AS n_dropped,
+       coalesce(r.n_dropped > 0 AND NOT regexp_matches(r.kept, '[^\x20\x09-\x0D]'), FALSE) AS gone, md5(r.kept) AS kept_md5
+FROM d LEFT JOIN r USING (doc_id)
 """
