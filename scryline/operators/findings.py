@@ -80,7 +80,7 @@ def top_risky_files(issues: DataFrame, keys: list[str], limit: int = 5, tie: str
     return files.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(*keys, "rank", "path", "issue_count", F.element_at(names, F.col("r")).alias("max_severity"))
 
 
-def group_filter(groups: Column | None = None, *, severity: str | None = None, category: str | None = None, source: str | None = None, path: str | None = None):
+def group_filter(*, severity: str | None = None, category: str | None = None, source: str | None = None, path: str | None = None):
     """An aggregate condition on the rows of a finding; severity and category test the representative."""
 
     def apply(issues: DataFrame, key: str = "finding_key") -> DataFrame:

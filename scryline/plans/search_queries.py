@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scryline.functions import matchers, text as T
 from scryline.operators import chunking, greedy, ranges, retrieval
-from scryline.plans.adapters import table, view
+from scryline.plans.adapters import table
 from scryline.sources import store
 
 QUERY = "The the onnthe erheon security of heresh"
@@ -386,10 +386,6 @@ def _structural_sql() -> str:
     return f"WITH p AS (SELECT lower(html) AS c FROM pages), m AS ({each}) SELECT probe_id, count(*) AS pages FROM m GROUP BY probe_id"
 
 
-def latest_trace_view(spark, sf):
-    return view(spark, sf, "v_traces")
-
-
 QUERIES = {
     "hybrid_search": (hybrid_search, HYBRID_SQL),
     "bm25_topk": (bm25_topk, BM25_TOPK_SQL),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from scryline.functions.text import dependency_names, file_name, is_review_target, lines, lookup, path_parts, relative_path
+from scryline.functions.text import dependency_names, file_name, is_review_target, lines, lookup, relative_path
 
 # Fixed values.
 IGNORED_DIRS = [".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", "__pycache__", "build", "dist", "node_modules", "venv", ".venv"]
@@ -206,7 +206,3 @@ def depth_paths(text: Column) -> Column:
     """Indented tree text as array of (depth, name), two spaces a level."""
     rows = F.filter(lines(text), lambda x: F.trim(x) != "")
     return F.transform(rows, lambda x: F.struct(F.floor((F.length(x) - F.length(F.ltrim(x))) / 2).cast("int").alias("depth"), F.trim(x).alias("name")))
-
-
-def parts_of(path: Column) -> Column:
-    return path_parts(path)
