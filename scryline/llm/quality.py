@@ -64,8 +64,6 @@ class Classifier:
             return 0.0
         if "_compressors" not in self.__dict__:
             self._compressors = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=LEVEL, write_content_size=False, write_dict_id=False) for d in self.dictionaries]
-            for c, d in zip(self._compressors, self.dictionaries, strict=True):
-                del c, d
         bad, good = (sum(len(c.compress(b)) for b in blocks(text)) for c in self._compressors)
         return (bad - good) / (bad + good)
 
