@@ -119,3 +119,13 @@ def test_bm25_golden(spark):
     q = spark.createDataFrame([(0, "SQL injection prevention Python")], "query int, text string")
     r = retrieval.top_k(retrieval.bm25(docs, q, "doc", "text"), ["query"], 1).first()
     assert r.doc == "owasp" and r.score > 0
+
+
+def test_review_plan(spark):
+    from scryline.operators import review_plan
+
+    rules = spark.createDataFrame([("roadmap_rule", "p", "R2", "2", "P1"), ("roadmap_rule", "p", "R9", "GEN", "P0"), ("roadmap_rule", "p", "R1", "2", "P2"), ("other", "p", "R3", "2", "P0"), ("roadmap_rule", "p", "R4", "3", "P0")], "doc_type string, profile_id string, rule_id string, week string, priority string")
+    assert [r.rule_id for r in review_plan.applicable_rules(rules, "p", ["2"]).collect()] == ["R1", "R2", "R9"]
+    assert (review_plan.smart_budget(None), review_plan.smart_budget(7), review_plan.smart_budget(999)) == (160, 120, 240)
+    checks = spark.createDataFrame([("a", "x", True), ("a", "y", False), ("b", "x", True)], "probe string, name string, passed boolean")
+    assert {r.probe: (r.passed, r.failed) for r in review_plan.all_checks(checks, "probe").collect()} == {"a": (False, ["y"]), "b": (True, [])}
