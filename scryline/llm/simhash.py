@@ -26,6 +26,7 @@ SLICE_ROWS = 16_000_000
 SUB_ROWS = 1_000_000
 #: Rows of copies that go (16 bytes each) up to which they are broadcast.
 GONE_ROWS = 500_000
+LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -99,8 +100,8 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links a-b."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """A spanning forest of the links a-b, and the root of each of its nodes."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -115,14 +116,16 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         if p != q:
             parent[max(p, q)] = min(p, q)
             out.append((x, y))
-    return out
+    return out, {x: root(x) for x in parent}
 
 
-def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, width: int, alike) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices) between rows that share a variant of this slice, as a spanning forest.
+def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, width: int, distance, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (two indices, and whether they are sure) between rows that share a variant of this slice.
 
-    alike(i, j): which of the pairs of indices are really near. Of the rows that share a variant, those near the
-    first are linked to it; the others are gone through again, until none is left.
+    distance(i, j): of pairs of indices. Of the rows that share a variant, those at most `most` from the first are
+    linked to it; the others are gone through again, until none is left. Links of at most `sure` are sure: of these, a
+    spanning forest is returned. The others may fail later, so such a row is linked to the one before it too; of
+    them, those that the forest doesn't connect already are returned.
     """
     masks = ball(radius, width)
     per = len(keys) * len(masks) / (1 << slice_bits)
@@ -132,7 +135,13 @@ def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, widt
     order = np.argsort(codes, kind="stable")
     masks, codes = masks[order], codes[order]
     own = syndrome(keys, bits)
-    a_all, b_all = [], []
+    a_all, b_all, d_all = [], [], []
+
+    def link(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        a_all.append(np.minimum(i, j))
+        b_all.append(np.maximum(i, j))
+        d_all.append(d)
+
     for sub in range(1 << sub_bits):
         want = own ^ ((sub << slice_bits) | where)  # the slice's bits are the low ones of the code
         lo, hi = np.searchsorted(codes, want, "left"), np.searchsorted(codes, want, "right")
@@ -154,15 +163,31 @@ def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, widt
         while len(v):
             first = np.concatenate(([True], v[1:] != v[:-1]))
             head = i[first][np.cumsum(first) - 1]
-            near = ~first & alike(head, i)
-            a_all.append(head[near])
-            b_all.append(i[near])
+            d = distance(head, i)
+            near = ~first & (d <= most)
+            link(head[near], i[near], d[near])
+            if sure < most:
+                unsure = np.flatnonzero(near & (d > sure))
+                before = distance(i[unsure - 1], i[unsure])
+                fits = before <= most
+                link(i[unsure - 1][fits], i[unsure][fits], before[fits])
             v, i = v[~first & ~near], i[~first & ~near]
     if not a_all:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.unique(np.concatenate(a_all) * np.int64(len(keys)) + np.concatenate(b_all))
-    kept = forest(pairs // len(keys), pairs % len(keys))
-    return np.array([x for x, _ in kept], np.int64), np.array([y for _, y in kept], np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    pairs, at = np.unique(np.concatenate(a_all) * np.int64(len(keys)) + np.concatenate(b_all), return_index=True)
+    is_sure = np.concatenate(d_all)[at] <= sure
+    a, b = pairs // len(keys), pairs % len(keys)
+    kept, roots = forest(a[is_sure], b[is_sure])
+    root = np.arange(len(keys))
+    if roots:
+        root[np.fromiter(roots.keys(), np.int64)] = np.fromiter(roots.values(), np.int64)
+    a, b = a[~is_sure], b[~is_sure]
+    apart = root[a] != root[b]
+    a, b = a[apart], b[apart]
+    return (
+        np.concatenate([np.array([x for x, _ in kept], np.int64), a]), np.concatenate([np.array([y for _, y in kept], np.int64), b]),
+        np.concatenate([np.ones(len(kept), bool), np.zeros(len(a), bool)]),
+    )
 
 
 def table_keys(wide: np.ndarray, table: int, width: int) -> np.ndarray:
@@ -174,10 +199,11 @@ def table_keys(wide: np.ndarray, table: int, width: int) -> np.ndarray:
     return out & np.uint64((1 << width) - 1) if width < 64 else out
 
 
-def ball_links(distinct: DataFrame, radius: int = 2, width: int = BITS, tables: int = 1, slice_bits: int = 6, most: int | None = None) -> DataFrame:
-    """distinct (node, wide) -> a, b: links that connect all nodes of which a table's bits differ in at most 2 * radius places.
+def ball_links(distinct: DataFrame, radius: int = 2, width: int = BITS, tables: int = 1, slice_bits: int = 6, sure: int = 4, most: int = 4) -> DataFrame:
+    """distinct (node, wide) -> a, b, sure: links that connect all nodes of which a table's bits differ in at most 2 * radius places.
 
-    wide: the bits of all tables, as little-endian 64-bit words. most: the greatest distance over all bits of a link.
+    wide: the bits of all tables, as little-endian 64-bit words. most: the greatest distance over all bits of a link;
+    sure: the greatest of one that needs no further verification.
     """
     n = distinct.count()
     words = -(-tables * width // 64)
@@ -213,15 +239,13 @@ def ball_links(distinct: DataFrame, radius: int = 2, width: int = BITS, tables:
         table, where = divmod(int(key[0]), 1 << slice_bits)
         keys = table_keys(wide, table, width)
 
-        def alike(i, j):
-            if most is None:
-                return popcount(keys[i] ^ keys[j]) <= 2 * radius
-            return popcount(wide[i] ^ wide[j]).sum(axis=1) <= most
+        def distance(i, j):
+            return popcount(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
 
-        i, j = slice_links(keys, where, slice_bits, radius, width, alike)
-        return pd.DataFrame({"a": rows["node"][i], "b": rows["node"][j]})
+        i, j, is_sure = slice_links(keys, where, slice_bits, radius, width, distance, sure, most)
+        return pd.DataFrame({"a": rows["node"][i], "b": rows["node"][j], "sure": is_sure})
 
-    return distinct.select("node", "wide").mapInPandas(deal, "slice long, rows binary").groupBy("slice").applyInPandas(meet, "a long, b long").distinct()
+    return distinct.select("node", "wide").mapInPandas(deal, "slice long, rows binary").groupBy("slice").applyInPandas(meet, "a long, b long, sure boolean").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFra
     repeat are all returned. A null doc_id gets the component of its fingerprint (null if it has no other).
     """
     rows = staged(fingerprints(docs, words), "fingerprints").withColumn("node", F.col("fp")).withColumn("wide", little_endian(F.col("fp")))
-    return _labelled(rows, lambda firsts: ball_links(firsts, radius)).select("doc_id", "fp", "component_id")
+    return _labelled(rows, lambda firsts: ball_links(firsts, radius, sure=2 * radius, most=2 * radius)).select("doc_id", "fp", "component_id")
 
 
 def little_endian(x: Column) -> Column:
@@ -281,12 +305,14 @@ def little_endian(x: Column) -> Column:
 #: Of the near-copy operator: fingerprints of TABLES times WIDTH bits. At a Jaccard similarity of 0.8 a table's 40 bits differ
 #: in at most 4 with a chance of 0.28, so one of eight tables does with 0.93; unrelated texts do so in 1 of 10 million pairs.
 TABLES, WIDTH = 8, 40
-#: Greatest distance over all 320 bits: 48.5 are expected at a similarity of 0.8, and 61 at 0.7.
-MOST_BITS = 54
+#: Distances over all 320 bits: 48.5 (deviation 6.4) are expected at a similarity of 0.8, and 55 at 0.75. Links of SURE_BITS or
+#: fewer hold without a look at the texts; those of up to MOST_BITS are verified by their shingles.
+SURE_BITS, MOST_BITS = 34, 68
+SIMILARITY = 0.8
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """SimHash of TABLES * WIDTH bits over shingles of so many words; zeros without words."""
+    """SimHash of TABLES * WIDTH bits over the different shingles of so many words; zeros without words."""
     tokens = (text or "").lower().split()
     size = TABLES * WIDTH // 64
     if not tokens:
@@ -297,21 +323,50 @@ def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
     ends = np.cumsum(np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(words, len(tokens)) - 1 :].tolist()
+    hashed = np.unique(np.fromiter((digest(line[i:j], 42) for i, j in zip(starts, ends)), "<u8", n))
     ones = np.zeros(64 * size, np.int64)
-    for lo in range(0, n, 16384):
-        h = np.array([digest(line[i:j], 42) for i, j in zip(starts[lo : lo + 16384], ends[lo : lo + 16384])], dtype="<u8")
+    for lo in range(0, len(hashed), 16384):
+        h = hashed[lo : lo + 16384]
         z = h[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         ones += np.add.reduce(np.unpackbits(z.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little"), axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+    return np.packbits(2 * ones > len(hashed), bitorder="little").tobytes()
+
+
+def shingles(text: Column, words: int) -> Column:
+    """The different shingles of so many words, as hashes; the whole sequence where there are fewer words."""
+    h = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    at = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, words)))
+    return F.array_distinct(F.flatten(F.transform(F.array(h), at)))  # the words are hashed once
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id and _th, the key of a text: a null doc_id counts as the last one."""
+    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
+
+
+def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Those of pairs (a, b: nodes) whose texts' shingles have a Jaccard similarity of SIMILARITY or more.
+
+    rows (doc_id, th, node). Only the shingles of texts that are in a pair are gathered.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("th").alias("_th"))).alias("key"))
+    one = staged(one.select("node", "key.*"), "verified-nodes")
+    found = _keyed(docs.select("doc_id", "text")).join(F.broadcast(one) if one.count() <= GONE_ROWS else one, ["_id", "_th"])
+    sets = staged(found.select("node", shingles(F.col("text"), words).alias("s")).dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, th (hash of the text), component_id: near copies at a similarity of about 0.8 or more.
+    """docs (doc_id, text) -> doc_id, th (hash of the text), component_id: near copies at a similarity of 0.8 or more.
 
-    Fingerprints of eight tables are hashed by balls of radius 2; colliding ones are verified over all their bits.
+    Fingerprints of eight tables are hashed by balls of radius 2; colliding ones are compared over all their bits, and by
+    their shingles where the bits don't settle it.
     """
 
     @F.pandas_udf("binary")
@@ -319,7 +374,11 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
         return pd.Series([wide_fingerprint(t, words) for t in text])
 
     rows = staged(docs.select("doc_id", F.xxhash64("text").alias("th"), of("text").alias("wide")), "wide-fingerprints").withColumn("node", F.xxhash64("wide"))
-    links = lambda firsts: ball_links(firsts, 2, WIDTH, TABLES, slice_bits=2, most=MOST_BITS)
+
+    def links(firsts: DataFrame) -> DataFrame:
+        found = staged(ball_links(firsts, 2, WIDTH, TABLES, slice_bits=2, sure=SURE_BITS, most=MOST_BITS), "candidate-links")
+        return found.where("sure").select("a", "b").unionByName(similar(found.where("not sure").select("a", "b"), rows, docs, words))
+
     return _labelled(rows, links).select("doc_id", "th", "component_id")
 
 
@@ -328,16 +387,14 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
     Of rows with equal doc_id, that of the least text hash stays, once; rows with a null doc_id count as the last ones.
     """
-    last = (1 << 63) - 1
-    rows = staged(near_copies(docs), "near-copies").select(F.coalesce("doc_id", F.lit(last)).alias("_id"), F.col("th").alias("_th"), F.coalesce("component_id", F.lit(last)).alias("c"))
+    rows = staged(near_copies(docs), "near-copies").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("th").alias("_th"), F.coalesce("component_id", F.lit(LAST)).alias("c"))
     best = rows.groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("best"))
     once = rows.groupBy("_id", "_th", "c").agg(F.count("*").alias("n"))
     repeated = bool(once.where("n > 1").limit(1).count())
     gone = staged(once.join(best, "c").where((F.col("_id") != F.col("best._id")) | (F.col("_th") != F.col("best._th"))).select("_id", "_th"), "copies")
     if gone.count() <= GONE_ROWS:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(last))).withColumn("_th", F.xxhash64("text"))
-    kept = keyed.join(gone, ["_id", "_th"], "left_anti")
+    kept = _keyed(docs).join(gone, ["_id", "_th"], "left_anti")
     return (kept.dropDuplicates(["_id", "_th"]) if repeated else kept).select(*docs.columns)
 
 

@@ -143,6 +143,29 @@ def test_near_copies(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in simhash.without_near_copies(df).collect()) == [(False, 1), (False, 3), (True, None)]
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = words(rng, 200, "abcdefghijklmnopqrstuvwxyz").split()
+    texts = ["", "a b", "a b c d e"]
+    for edits in range(0, 12):
+        w = list(base)
+        for at in rng.sample(range(200), edits):
+            w[at] = "other"
+        texts.append(" ".join(w))
+
+    def of(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    rows = [(None if k == 4 else k, t, k) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    keyed = df.select("doc_id", F.xxhash64("text").alias("th"), "node")
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    got = simhash.similar(spark.createDataFrame(pairs, "a long, b long"), keyed, df.drop("node"), 5)
+    want = {(a, b) for a, b in pairs if len(of(texts[a]) & of(texts[b])) >= 0.8 * len(of(texts[a]) | of(texts[b]))}
+    assert 3 < len(want) < len(pairs) and {tuple(r) for r in got.collect()} == want
+
+
 # 3: packing
 @pytest.mark.parametrize("seed", range(10))
 def test_best_fit_holds_and_fills(seed):
