@@ -377,7 +377,12 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def links(firsts: DataFrame) -> DataFrame:
         found = staged(ball_links(firsts, 2, WIDTH, TABLES, slice_bits=2, sure=SURE_BITS, most=MOST_BITS), "candidate-links")
-        return found.where("sure").select("a", "b").unionByName(similar(found.where("not sure").select("a", "b"), rows, docs, words))
+        certain = found.where("sure").select("a", "b")
+        roots = staged(components(certain), "sure-roots")
+        root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        unsure = found.where("not sure").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        apart = unsure.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")  # the others are in one component already
+        return certain.unionByName(similar(staged(apart, "unsure-links"), rows, docs, words))
 
     return _labelled(rows, links).select("doc_id", "th", "component_id")
 
