@@ -1,12 +1,15 @@
 """Language-model scoring by cross-entropy difference.
 
-A target model and a background model share one vocabulary: the most frequent words of the whole corpus, and
-OTHER classes by hash for all further words. Both are interpolated bigram models with the same smoothing; the background's
+A target model and a background model are interpolated bigram models with the same smoothing over one vocabulary, all words
+of the corpus; a word is known by a hash of 31 bits, a bigram by the two hashes in a long. The background's
 counts, which come from every document, are scaled to the target's mass, so that the two are matched.
-A document's score is the mean over its tokens of the background's loss less the target's.
+A document's score is the mean over its tokens of the background's loss less the target's. The target is every document
+labelled good.
 
-The target is a bounded sample: TARGET_DOCS documents labelled good, by least hash of doc_id. Word counts and
-bigram counts cover all documents and are summed on the executors; the model has VOCABULARY squared cells at most.
+Words are counted into a table on the executors. Then each document sends its bigrams to buckets, whose number follows the
+corpus; in a bucket all occurrences of a bigram meet, so it is counted and scored there, and each document gets
+its sums back. The counts of the single words are broadcast for the FREQUENT most frequent words at most; bigrams with another
+word find them by a join with the table. Nothing is left out on either way.
 
 Defined results: null texts and texts without words have no tokens, no cross-entropies and the score 0; documents with
 a null doc_id are scored but aren't in the target; rows that repeat count, and are scored, each for itself; without a
@@ -17,19 +20,26 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents
-
-VOCABULARY, OTHER = 1024, 64
-TARGET_DOCS = 4_000
-#: Different words that a task counts before it passes the counts on.
-COUNTED = 400_000
+from scryline.llm.common import documents, staged
+
+#: Words whose counts are broadcast, at most (2^PLACE_BITS can be told apart); those of the others are joined.
+FREQUENT = 1 << 18
+#: Bigrams of a bucket, as a mean; of a block of documents that a task sends at a time; that a task counts at a time.
+BUCKET, BLOCK, COUNTED = 1 << 20, 1 << 19, 1 << 21
+#: Rows (of a long and an int) up to which the target's ids are broadcast.
+BROADCAST_ROWS = 2_000_000
+KEEP, LEAN = 0.8, 5  # rare contexts lean on single words
+TRAIN, TARGET, SCORE = 1, 2, 4
+COMMON, RARE, DOCUMENT = 0, 1, 2
+BITS, PLACE_BITS = 31, 20
 _WORD = re.compile(r"\w+")
 
 
@@ -37,113 +47,250 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all documents."""
+class Vocabulary:
+    """Ids: 0 the edge of a text, then hashes of words."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update(tokens(t))
-                if len(seen) > COUNTED:
-                    yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
-                    seen.clear()
-        if seen:
-            yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+    size = 1 << BITS
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = tokens(text)
+        return np.array([0, *[1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (self.size - 1) for w in found], 0] if found else [], np.int64)
 
 
-class Vocabulary:
-    """Ids: 0 the edge of a text, then OTHER classes of rare words, then frequent words."""
+def _counts(docs: DataFrame, keys: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """docs (text, flags) -> key, n over all documents, n_target over the target's."""
 
-    def __init__(self, words: list[str]):
-        self.ids = {w: 1 + OTHER + k for k, w in enumerate(words)}
-        self.size = 1 + OTHER + len(words)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = tokens(text)
-        get = self.ids.get
-        return np.array([0, *[get(w) or 1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHER for w in found], 0] if found else [], np.int64)
+        def summed() -> pd.DataFrame:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"key": key >> 1, "n": n, "n_target": n * (key & 1)})
+
+        for pdf in batches:
+            for text, flags in zip(pdf["text"], pdf["flags"], strict=True):
+                held.append(keys(text) * 2 + bool(flags & TARGET))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
+
+    rows = docs.select("text", "flags").mapInPandas(count, "key long, n long, n_target long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
 def bigram_counts(docs: DataFrame, vocabulary: Vocabulary, target: frozenset) -> DataFrame:
     """cell (first id times vocabulary size plus second id), n over all documents, n_target over the target's."""
-    v = vocabulary.size
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, v * v), np.int64)
-        for pdf in batches:
-            for k in (0, 1):
-                held, size = [], 0
-                for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    if k == 0 or d in target:
-                        ids = vocabulary(t)
-                        held.append(ids[:-1] * v + ids[1:])
-                        size += len(ids)
-                    if size > 1 << 20:
-                        sums[k] += np.bincount(np.concatenate(held), minlength=v * v)
-                        held, size = [], 0
-                if held:
-                    sums[k] += np.bincount(np.concatenate(held), minlength=v * v)
-        cells = np.flatnonzero(sums[0])
-        yield pd.DataFrame({"cell": cells, "n": sums[0, cells], "n_target": sums[1, cells]})
-
-    rows = docs.select("doc_id", "text").mapInPandas(count, "cell long, n long, n_target long")
-    return rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def model(counts: np.ndarray, keep: float = 0.8) -> np.ndarray:
-    """Log probability of each second id after each first: bigrams and single words, interpolated."""
-    single = counts.sum(axis=0) + 0.5
-    single /= single.sum()
-    seen = counts.sum(axis=1, keepdims=True)
-    weight = keep * seen / (seen + 5)  # rare contexts lean on single words
-    return np.log(weight * counts / np.maximum(seen, 1e-12) + (1 - weight) * single).astype(np.float32)
+    def cells(text: str | None) -> np.ndarray:
+        ids = vocabulary(text)
+        return ids[:-1] << BITS | ids[1:]
+
+    flags = F.when(F.col("doc_id").isin(list(target)), TARGET).otherwise(0) if target else F.lit(0)
+    return _counts(docs.select("text", flags.alias("flags")), cells).withColumnRenamed("key", "cell")
+
+
+@dataclass
+class Losses:
+    """How many different words there are, and the sums of their counts in the corpus and in the target."""
+
+    different: int
+    total: int
+    mass: int
+
+    def _of(self, both, first, second, scale: float, log: Callable):
+        """Of a bigram by its counts and those of its words: bigrams and single words, interpolated."""
+        single = (second * scale + 0.5) / (self.mass + 0.5 * (self.different + 1))  # one more for words never seen
+        seen = first * scale
+        return -log(both * scale * KEEP / (seen + LEAN) + (1 - seen * KEEP / (seen + LEAN)) * single)
+
+    def __call__(self, n: list, n_target: list, log: Callable) -> tuple:
+        """The target's and the background's; n and n_target: counts of the bigram, its first and its second word."""
+        return self._of(*n_target, 1.0, log), self._of(*n, self.mass / max(1, self.total), log)
 
 
+@dataclass
 class Scorer:
-    def __init__(self, vocabulary: Vocabulary, background: np.ndarray, target: np.ndarray):
-        self.vocabulary = vocabulary
-        mass = target.sum()
-        self.losses = None
-        if mass:
-            self.losses = (-model(target.astype(float)), -model(background * (mass / background.sum())))
-
-    def __call__(self, texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            ids = self.vocabulary(t)
-            if not len(ids) or self.losses is None:
-                out.append((max(0, len(ids) - 1), None, None, 0.0))
-                continue
-            t_, b_ = (float(m[ids[:-1], ids[1:]].mean(dtype=np.float64)) for m in self.losses)
-            out.append((len(ids) - 1, t_, b_, b_ - t_))
-        return pd.DataFrame(out, columns=["tokens", "target_ce", "background_ce", "score"])
+    """The models: docs (doc_id, text, flags) and their words' counts, both on the executors."""
+
+    of: DataFrame
+    docs: DataFrame
+    vocabulary: Vocabulary
+    words: DataFrame  # id, n, n_target
+    frequent: np.ndarray  # rows: id (ascending), n, n_target of the words that are broadcast
+    losses: Losses
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     """docs (doc_id, text), labels (doc_id, quality)."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    target = frozenset(r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).collect())
-    words = [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHER - 1).collect()]
-    vocabulary = Vocabulary(words)
-    cells = bigram_counts(docs, vocabulary, target).toPandas()  # VOCABULARY squared rows at most
-    counts = np.zeros((2, vocabulary.size**2), np.int64)
-    counts[0, cells["cell"]] = cells["n"]
-    counts[1, cells["cell"]] = cells["n_target"]
-    return Scorer(vocabulary, *counts.reshape(2, vocabulary.size, vocabulary.size))
+    good = staged(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(TARGET)), "lm-target")
+    good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(0)).bitwiseOR(F.lit(TRAIN)).alias("flags"))
+    vocabulary = Vocabulary()
+    words = staged(_counts(flagged, lambda text: vocabulary(text)[1:]).withColumnRenamed("key", "id"), "lm-words")
+    # Steps of a quarter of a doubling: as many of the highest as hold FREQUENT words at most.
+    step = F.floor(F.log2("n") * 4).alias("step")
+    steps = sorted(words.groupBy(step).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).collect(), reverse=True)
+    held, lowest = 0, None
+    for r in steps:
+        held += r["words"]
+        if held > FREQUENT:
+            break
+        lowest = r["step"]
+    top = words.where(step >= lowest).orderBy("id").toPandas() if lowest is not None else pd.DataFrame({"id": [], "n": [], "n_target": []})
+    different, total, mass = (sum(r[c] for r in steps) for c in ("words", "n", "n_target"))
+    return Scorer(docs, flagged, vocabulary, words, top[["id", "n", "n_target"]].to_numpy(np.int64).T.copy(), Losses(different, total, mass))
+
+
+class Sender:
+    """Blocks of documents -> rows for the buckets: bigrams of frequent words, other bigrams, and the documents themselves."""
+
+    def __init__(self, vocabulary: Vocabulary, frequent: np.ndarray, buckets: int):
+        self.vocabulary, self.frequent, self.buckets = vocabulary, frequent, buckets
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, held, size = TaskContext.get().partitionId() << 40, [], 0
+        for pdf in batches:
+            for row in zip(pdf["doc_id"], pdf["text"], pdf["flags"], strict=True):
+                ids = self.vocabulary(row[1])
+                held.append((row[0], row[2], ids))
+                size += len(ids) + 1
+                if size > BLOCK:
+                    yield self.block(base, held)
+                    base, held, size = base + len(held), [], 0
+        if held:
+            yield self.block(base, held)
+
+    def block(self, base: int, held: list) -> pd.DataFrame:
+        flags = np.array([f for _, f, _ in held], np.int64)
+        lengths = np.array([len(ids) for *_, ids in held])
+        ids = np.concatenate([x for *_, x in held])
+        ends = np.cumsum(lengths)[lengths > 0]
+        first, second = np.ones(len(ids), bool), np.ones(len(ids), bool)
+        first[ends - 1] = False
+        second[ends - lengths[lengths > 0]] = False
+        known, place = find(self.frequent, ids)
+        common = known[first] & known[second]
+        all_at = np.repeat((np.arange(len(held)) << 3 | flags).astype(np.int32), np.maximum(lengths - 1, 0))
+        out = []
+        for kind, chosen, bits, x in ((COMMON, common, PLACE_BITS, place), (RARE, ~common, BITS, ids)):
+            cells, at = (x[first] << bits | x[second])[chosen], all_at[chosen]
+            bucket = (cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % self.buckets
+            order = np.argsort(bucket, kind="stable")
+            cells, at, bucket = cells[order], at[order], bucket[order]
+            found, start = np.unique(bucket, return_index=True)
+            for b, i, j in zip(found, start, np.append(start, len(cells))[1:], strict=True):
+                out.append((int(b), base, kind, np.diff(at[i:j], prepend=np.int32(0)).tobytes(), packed(kind, cells[i:j]), None))
+        wanted = np.flatnonzero(flags & SCORE)
+        if len(wanted):
+            out.append((base % self.buckets, base, DOCUMENT, np.maximum(lengths - 1, 0)[wanted].tobytes(), wanted.tobytes(), [held[k][0] for k in wanted]))
+        return pd.DataFrame(out, columns=["bucket", "base", "kind", "at", "cells", "ids"])
+
+
+def packed(kind: int, cells: np.ndarray) -> bytes:
+    """Bigrams of frequent words have two places of PLACE_BITS, so five bytes hold them."""
+    if kind == RARE:
+        return cells.tobytes()
+    return (cells & 0xFFFFFFFF).astype(np.uint32).tobytes() + (cells >> 32).astype(np.uint8).tobytes()
+
+
+def unpacked(kind: int, held: bytes) -> np.ndarray:
+    if kind == RARE:
+        return np.frombuffer(held, np.int64)
+    n = len(held) // 5
+    return np.frombuffer(held, np.uint8, n, 4 * n).astype(np.int64) << 32 | np.frombuffer(held, np.uint32, n)
+
+
+def find(frequent: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each id is a frequent word's, and its place there."""
+    if not frequent.shape[1]:
+        return np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
+    k = np.minimum(np.searchsorted(frequent[0], ids), frequent.shape[1] - 1)
+    return frequent[0, k] == ids, k
+
+
+JUDGED = "kind int, rid long, doc_id string, tokens long, target_loss double, loss double, cell long, n0 long, t0 long, k1 long, n1 long, t1 long, k2 long, n2 long, t2 long"
+
+
+def _judge(pdf: pd.DataFrame, frequent: np.ndarray, losses: Callable) -> pd.DataFrame:
+    """A bucket: sums of a document over bigrams of frequent words; other bigrams, with what is known; documents."""
+
+    def taken(kind: int) -> tuple[np.ndarray, ...]:
+        """rid, wanted, different cells, of each occurrence which it is, and the cells' counts in corpus and target."""
+        part = pdf[pdf["kind"] == kind]
+        at = [np.cumsum(np.frombuffer(x, np.int32), dtype=np.int32) for x in part["at"]]
+        rid = np.repeat(part["base"].to_numpy(np.int64), [len(x) for x in at])
+        at = np.concatenate([np.zeros(0, np.int32), *at])
+        rid += at >> 3
+        flags = (at & 7).astype(np.uint8)
+        cells, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *[unpacked(kind, x) for x in part["cells"]]]), return_inverse=True)
+        n, t = (np.bincount(inverse[(flags & f) > 0], minlength=len(cells)) for f in (TRAIN, TARGET))
+        wanted = (flags & SCORE) > 0
+        return rid[wanted], cells, inverse[wanted], n, t
+
+    rid, cells, inverse, n, t = taken(COMMON)
+    first, second = cells >> PLACE_BITS, cells & (1 << PLACE_BITS) - 1
+    target_loss, loss = losses([n, frequent[1, first], frequent[1, second]], [t, frequent[2, first], frequent[2, second]], np.log)
+    rid, back = np.unique(rid, return_inverse=True)
+    out = [pd.DataFrame({"kind": COMMON, "rid": rid, "target_loss": np.bincount(back, target_loss[inverse], len(rid)), "loss": np.bincount(back, loss[inverse], len(rid))})]
+
+    rid, cells, inverse, n, t = taken(RARE)
+    rows = {"kind": RARE, "rid": rid, "n0": n[inverse], "t0": t[inverse]}
+    for k, ids in ((1, cells >> BITS), (2, cells & (1 << BITS) - 1)):
+        known, place = find(frequent, ids)
+        counts = np.where(known, frequent[1:, place], 0) if frequent.shape[1] else np.zeros((2, len(ids)), np.int64)
+        rows |= {f"k{k}": np.where(known, -1, ids)[inverse], f"n{k}": counts[0][inverse], f"t{k}": counts[1][inverse]}
+    out.append(pd.DataFrame(rows))
+
+    for base, at, cells, ids in zip(*[pdf.loc[pdf["kind"] == DOCUMENT, c] for c in ("base", "at", "cells", "ids")], strict=True):
+        out.append(pd.DataFrame({"kind": DOCUMENT, "rid": base + np.frombuffer(cells, np.int64), "doc_id": list(ids), "tokens": np.frombuffer(at, np.int64)}))
+    names = [x.split()[0] for x in JUDGED.split(", ")]
+    return pd.concat([x.reindex(columns=names).astype({c: "object" if c == "doc_id" else "float64" if "loss" in c else "Int64" for c in names}) for x in out], ignore_index=True)
+
+
+def _others(rare: DataFrame, scorer: Scorer) -> DataFrame:
+    """rid, target_loss, loss of bigrams with a word whose counts weren't broadcast. A word's key is -1 if they were."""
+
+    def joined(rows: DataFrame, key: str, sides: tuple) -> DataFrame:
+        words = scorer.words.select(F.col("id").alias(key), "n", "n_target")
+        out = rows.join(words, key, "left")
+        return out.withColumns({f"{c}{k}": F.when(F.col(f"k{k}") >= 0, F.coalesce(x, F.lit(0))).otherwise(F.col(f"{c}{k}")) for k in sides for c, x in (("n", "n"), ("t", "n_target"))}).drop("n", "n_target")
+
+    both = (F.col("k1") >= 0) & (F.col("k2") >= 0)
+    one = joined(rare.where(~both).withColumn("key", F.greatest("k1", "k2")), "key", (1, 2)).drop("key")
+    two = joined(joined(rare.where(both), "k1", (1,)), "k2", (2,))
+    n, t = ([F.col(f"{c}{k}") for k in (0, 1, 2)] for c in "nt")
+    target_loss, loss = scorer.losses(n, t, F.log)
+    return one.unionByName(two).select("rid", target_loss.alias("target_loss"), loss.alias("loss"))
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """docs (doc_id, text) -> doc_id, tokens, target_ce, background_ce, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    @F.pandas_udf("tokens long, target_ce double, background_ce double, score double")
-    def of(text: pd.Series) -> pd.DataFrame:
-        return shared.value(text)
-
-    return docs.select("doc_id", of("text").alias("_s")).select("doc_id", "_s.*")
+    vocabulary, frequent, losses = scorer.vocabulary, scorer.frequent, scorer.losses
+    if docs is scorer.of:
+        rows, size = scorer.docs.withColumn("flags", F.col("flags").bitwiseOR(F.lit(SCORE))), losses.total
+    else:
+        wanted = docs.select("doc_id", "text", F.lit(SCORE).alias("flags"))
+        rows = scorer.docs.union(wanted)
+        size = losses.total + (_counts(wanted, lambda text: vocabulary(text)[1:]).agg(F.sum("n")).first()[0] or 0)
+    buckets = 1 + size // BUCKET
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from Sender(vocabulary, shared.value, buckets)(batches)
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _judge(pdf, shared.value, losses)
+
+    sent = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(send, "bucket int, base long, kind int, at binary, cells binary, ids array<string>")
+    judged = staged(sent.groupBy("bucket").applyInPandas(judge, JUDGED), "lm-judged")
+    known = judged.where(F.col("kind") != RARE).select("rid", "doc_id", "tokens", "target_loss", "loss")
+    others = _others(judged.where(F.col("kind") == RARE).select("rid", *[f"{c}{k}" for k in (0, 1, 2) for c in "nt"], "k1", "k2"), scorer)
+    each = known.unionByName(others, allowMissingColumns=True).groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "tokens")], *[F.sum(c).alias(c) for c in ("target_loss", "loss")])
+    target_ce, background_ce = (F.when((F.col("tokens") > 0) & F.lit(losses.mass > 0), F.col(c) / F.col("tokens")) for c in ("target_loss", "loss"))
+    return each.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "tokens", target_ce.alias("target_ce"), background_ce.alias("background_ce"), F.coalesce(background_ce - target_ce, F.lit(0.0)).alias("score"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -336,6 +337,47 @@ def test_lm_scores(spark, odd, none):
     assert lm.scored(none, lm.learn(none, labels)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 20, 1 << 18])
+def test_lm_equals_brute_force(spark, monkeypatch, frequent):
+    """More different words than a fixed vocabulary held, every labelled document in the target; rows that repeat, and null ids."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "BUCKET", 500)
+    monkeypatch.setattr(lm, "BLOCK", 300)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) if rng.random() < 0.5 else rng.randrange(3000)}" for _ in range(rng.randint(0, 80)))) for i in range(150)]
+    rows += [rows[3], (None, rows[4][1]), (150, None), (151, "")]
+    good = {i for i in range(120) if i % 3}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = lm.learn(docs, spark.createDataFrame([(i, int(i in good)) for i in range(120)], "doc_id long, quality int"))
+    seen = [Counter(), Counter()]
+    pairs = lambda t: list(zip(["", *t.split()], [*t.split(), ""])) if t else []
+    for d, t in rows:
+        for c in seen[: 1 + (d in good)]:
+            c.update(pairs(t))
+            c.update(b for _, b in pairs(t))
+    size = len({b for _, t in rows for _, b in pairs(t)}) + 1
+    totals = [sum(n for k, n in c.items() if isinstance(k, str)) for c in seen]
+    assert size > 1024
+
+    def ce(text, c, scale):
+        out = 0
+        for a, b in pairs(text):
+            weight = 0.8 * c[a] * scale / (c[a] * scale + 5)
+            out -= np.log((weight * c[a, b] / c[a] if c[a] else 0) + (1 - weight) * (c[b] * scale + 0.5) / (totals[1] + 0.5 * size))
+        return out / len(pairs(text))
+
+    new = [(900, rows[0][1] + " neverseen " + rows[1][1])]
+    for some, df in ((rows, docs), (new, spark.createDataFrame(new, "doc_id long, text string"))):
+        want = []
+        for d, t in some:
+            x = (ce(t, seen[1], 1), ce(t, seen[0], totals[1] / totals[0])) if pairs(t) else (None, None)
+            want.append((str(d), len(pairs(t)), *x, x[1] - x[0] if pairs(t) else 0.0))
+        got = sorted((str(r[0]), *r[1:]) for r in lm.scored(df, scorer).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+        for g, w in zip(got, sorted(want)):
+            assert g[2:] == pytest.approx(w[2:], abs=1e-9) if w[2] is not None else g[2:] == w[2:]
+
+
 # 9: lines
 def line_model(rows):
     """Which lines go: by comparing every line with every earlier one."""
