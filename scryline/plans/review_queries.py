@@ -304,6 +304,18 @@ def codebase_health(spark, sf):
 HEALTH_SQL = duck_with("v_repos") + " SELECT greatest(0, least(100, 100 - floor((1 - count(last_reviewed) / count(*)) * 20 + 0.5)))::BIGINT AS score, 'unknown' AS status, count(last_reviewed) AS repos_reviewed, count(*) AS repositories FROM v_repos"
 
 
+def codebase_health_reports(spark, sf):
+    """A22 with every report."""
+    return reports.codebase_health(view(spark, sf, "v_repos"), _reports(spark, sf))
+
+
+HEALTH_REPORTS_SQL = duck_with("v_issues", "v_repos") + f""", {REPORTS_CTE},
+t AS (SELECT count(*) AS n, coalesce(sum(critical_count), 0) AS c, coalesce(sum(high_count), 0) AS h, coalesce(sum(medium_count), 0) AS m, coalesce(sum(low_count), 0) AS l FROM rp),
+v AS (SELECT count(last_reviewed) AS reviewed, count(*) AS n FROM v_repos),
+s AS (SELECT t.*, v.reviewed, v.n AS repositories, greatest(0, least(100, 100 - CASE WHEN v.n > 0 THEN floor((1 - v.reviewed / v.n) * 20 + 0.5) ELSE 0 END - c * 15 - h * 8 - m * 3 - l))::BIGINT AS score FROM t, v)
+SELECT score, CASE WHEN n = 0 THEN 'unknown' WHEN c > 0 OR score < 40 THEN 'critical' WHEN h > 0 OR score < 70 THEN 'warning' ELSE 'healthy' END AS status, reviewed AS repos_reviewed, repositories FROM s"""
+
+
 def quick_stats(spark, sf):
     """A23, X57"""
     j, r = view(spark, sf, "v_jobs"), _reports(spark, sf)
@@ -581,6 +593,7 @@ QUERIES = {
     "expired_jobs": (expired_jobs, EXPIRED_SQL),
     "risk_posture": (risk_posture, POSTURE_SQL),
     "codebase_health": (codebase_health, HEALTH_SQL),
+    "codebase_health_reports": (codebase_health_reports, HEALTH_REPORTS_SQL),
     "quick_stats": (quick_stats, STATS_SQL),
     "needs_attention": (needs_attention, ATTENTION_SQL),
     "timeline": (timeline, TIMELINE_SQL),

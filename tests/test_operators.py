@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scryline.operators import chunking, findings, graph, greedy, ranges, retrieval, trace
+from scryline.plans import review_queries
 
 
 def test_occurrences_equal_first_fit(spark):
@@ -129,3 +131,17 @@ def test_review_plan(spark):
     assert (review_plan.smart_budget(None), review_plan.smart_budget(7), review_plan.smart_budget(999)) == (160, 120, 240)
     checks = spark.createDataFrame([("a", "x", True), ("a", "y", False), ("b", "x", True)], "probe string, name string, passed boolean")
     assert {r.probe: (r.passed, r.failed) for r in review_plan.all_checks(checks, "probe").collect()} == {"a": (False, ["y"]), "b": (True, [])}
+
+
+@pytest.mark.parametrize("counts, score, status", [
+    ([(1, 0, 0, 0), (0, 1, 0, 0)], 72, "critical"), ([(0, 8, 0, 0)], 31, "critical"), ([(0, 1, 1, 1)], 83, "warning"),
+    ([(0, 0, 9, 0)], 68, "warning"), ([(0, 0, 1, 2), (0, 0, 0, 1)], 89, "healthy"), ([], 95, "unknown"), ([(9, 9, 9, 9)], 0, "critical"),
+])
+def test_codebase_health(spark, monkeypatch, counts, score, status):
+    names = [f"{s}_count" for s in ("critical", "high", "medium", "low")]
+    rows = spark.createDataFrame([(k, sum(c), 0, *c) for k, c in enumerate(counts)], f"job_id long, total_findings long, info_count long, {', '.join(f'{n} long' for n in names)}")
+    repos = spark.createDataFrame([(k, "r", None if k == 0 else 1.0) for k in range(4)], "id long, name string, last_reviewed double")
+    monkeypatch.setattr(review_queries, "_reports", lambda *_: rows)
+    monkeypatch.setattr(review_queries, "view", lambda *_: repos)
+    got = review_queries.codebase_health_reports(spark, "").first()
+    assert (got.score, got.status, got.repos_reviewed, got.repositories) == (score, status, 3, 4)
