@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scryline.functions import claims, scalars
@@ -171,10 +173,10 @@ def overlap_join(spark, sf):
 OVERLAP_SQL = duck_with("v_issues") + " SELECT q.issue_id AS query_id, count(*) AS n FROM v_issues q JOIN v_issues p USING (job_id, file_path) WHERE q.severity = 'high' AND p.issue_id <> q.issue_id AND p.line_start <= q.line_end AND p.line_end >= q.line_start GROUP BY 1"
 
 
-def overlap_bucketed(spark, sf):
+def overlap_bucketed(spark, sf, jobs="job_id <= 20"):
     """J02 by cells of lines: the same question over whole files, whatever the job."""
     p = _pieces(spark, sf)
-    q = p.where("severity = 'critical' and job_id <= 20").select("file_path", F.col("issue_id").alias("query_id"), F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
+    q = p.where("severity = 'critical'").where(jobs).select("file_path", F.col("issue_id").alias("query_id"), F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
     return ranges.bucketed_overlap(q, p.select("file_path", "issue_id", "line_start", "line_end"), ["file_path"], 16).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
@@ -191,28 +193,28 @@ w2 AS (SELECT file_path, doc_id, l, unnest(range(1, greatest(len(l) - 10, 1) + 1
 w AS (SELECT file_path, doc_id * 1000 + (s - 1) // 50 AS chunk_index, s AS line_start, least(s + 59, len(l)) AS line_end, l[s:least(s + 59, len(l))] AS content FROM w2)"""
 
 
-def containment_first(spark, sf):
+def containment_first(spark, sf, jobs="job_id <= 10"):
     """For issues of ten jobs, the first chunk of their file that holds their first line."""
-    q = _pieces(spark, sf).where("job_id <= 10").select("file_path", "issue_id", "line_start").withColumnRenamed("line_start", "line")
+    q = _pieces(spark, sf).where(jobs).select("file_path", "issue_id", "line_start").withColumnRenamed("line_start", "line")
     return ranges.first_containing(q, _windows(spark, sf).drop("content"), ["file_path"], "issue_id", "line", ["line_start", "line_end"])
 
 
 FIRST_SQL = duck_with("v_issues") + f", {WINDOWS_SQL}, h AS (SELECT i.issue_id, w.chunk_index, w.line_start, w.line_end, row_number() OVER (PARTITION BY i.issue_id ORDER BY w.chunk_index) AS k FROM v_issues i JOIN w ON w.file_path = i.file_path AND i.line_start BETWEEN w.line_start AND w.line_end WHERE i.job_id <= 10) SELECT issue_id, chunk_index, CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end FROM h WHERE k = 1"
 
 
-def static_semi(spark, sf):
+def static_semi(spark, sf, jobs="job_id <= 5"):
     """Chunks that a critical security issue touches; issues of job 3 count for all files."""
-    i = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security' and job_id <= 5").select(F.when(F.col("job_id") != 3, F.col("file_path")).alias("file_path"), "line_start", "line_end")
+    i = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security'").where(jobs).select(F.when(F.col("job_id") != 3, F.col("file_path")).alias("file_path"), "line_start", "line_end")
     return ranges.with_static_issues(_windows(spark, sf).drop("content"), i, "chunk_index").select("chunk_index")
 
 
 STATIC_SQL = duck_with("v_issues") + f", {WINDOWS_SQL} SELECT DISTINCT w.chunk_index FROM w WHERE EXISTS (SELECT 1 FROM v_issues i WHERE i.severity = 'critical' AND i.category = 'security' AND i.job_id <= 5 AND (i.job_id = 3 OR i.file_path = w.file_path) AND w.line_start <= i.line_end AND w.line_end >= i.line_start)"
 
 
-def source_snippet(spark, sf):
+def source_snippet(spark, sf, chunks="chunk_index < 50000", some="job_id <= 3 and line_start <= 30"):
     """The lines around issues of three jobs out of the chunks of document 0 to 49's files."""
-    w = _windows(spark, sf).where("chunk_index < 50000")
-    q = _pieces(spark, sf).where("job_id <= 3 and line_start <= 30").select("file_path", "issue_id", F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
+    w = _windows(spark, sf).where(chunks)
+    q = _pieces(spark, sf).where(some).select("file_path", "issue_id", F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
     return ranges.snippet(w, q, ["file_path"], "issue_id").select("issue_id", F.col("first_line").cast("long").alias("first_line"), F.md5("snippet").alias("snippet_md5"))
 
 
@@ -328,9 +330,9 @@ SELECT (SELECT count(*) FROM v_jobs) AS jobs, (SELECT count(*) FROM v_jobs WHERE
 CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'stable' END AS trend, 'View active reviews' AS label FROM n"""
 
 
-def needs_attention(spark, sf):
+def needs_attention(spark, sf, jobs="job_id % 40 = 0"):
     """O12"""
-    return reports.needs_attention(view(spark, sf, "v_jobs"), _reports(spark, sf).where("job_id % 40 = 0"), findings.top_risky_files(issues(spark, sf), ["job_id"], 1), 3, limit=9)
+    return reports.needs_attention(view(spark, sf, "v_jobs"), _reports(spark, sf).where(jobs), findings.top_risky_files(issues(spark, sf), ["job_id"], 1), 3, limit=9)
 
 
 ATTENTION_SQL = duck_with("v_issues", "v_jobs") + f""", {RISKY}, {REPORTS_CTE}, r4 AS (SELECT * FROM rp WHERE job_id % 40 = 0),
@@ -390,11 +392,11 @@ SELECT 'r' AS run, round(avg(CASE WHEN coalesce(rank, 99) <= 5 THEN 1.0 ELSE 0.0
 CAST(max(CASE WHEN k = round_even((n - 1) * 50 / 100.0, 0) THEN ms END) AS BIGINT) AS p50, CAST(max(CASE WHEN k = round_even((n - 1) * 95 / 100.0, 0) THEN ms END) AS BIGINT) AS p95 FROM x"""
 
 
-def expected_match(spark, sf):
+def expected_match(spark, sf, found="job_id between 1 and 10", expected="job_id = 11"):
     """Findings of a few jobs against the expected ones of another."""
     v = issues(spark, sf)
-    f = v.where("job_id between 1 and 10").select(F.col("issue_id").alias("finding_id"), F.col("finding_key").alias("probe_id"), "file_path", "line_start", "line_end", F.col("claim").alias("claim_type"), "category", F.array().cast("array<struct<file_path:string,line_start:int,line_end:int>>").alias("evidence"))
-    e = v.where("job_id = 11 and severity = 'high'").select(F.col("issue_id").alias("expected_id"), F.array("finding_key", F.lit("other")).alias("expected_probes"), F.regexp_replace("file_path", "^src/", "").alias("file_path"), "line_start", "line_end", F.when(F.col("line_start") % 2 == 0, F.col("claim")).alias("claim_type"), "category")
+    f = v.where(found).select(F.col("issue_id").alias("finding_id"), F.col("finding_key").alias("probe_id"), "file_path", "line_start", "line_end", F.col("claim").alias("claim_type"), "category", F.array().cast("array<struct<file_path:string,line_start:int,line_end:int>>").alias("evidence"))
+    e = v.where("severity = 'high'").where(expected).select(F.col("issue_id").alias("expected_id"), F.array("finding_key", F.lit("other")).alias("expected_probes"), F.regexp_replace("file_path", "^src/", "").alias("file_path"), "line_start", "line_end", F.when(F.col("line_start") % 2 == 0, F.col("claim")).alias("claim_type"), "category")
     return trace.finding_matches(f, e)
 
 
@@ -402,13 +404,13 @@ EXPECTED_SQL = I_SQL + """ SELECT DISTINCT f.issue_id AS finding_id, e.issue_id
 WHERE f.job_id BETWEEN 1 AND 10 AND e.job_id = 11 AND e.severity = 'high' AND (e.line_start % 2 = 1 OR f.claim = e.claim)"""
 
 
-def evaluation(spark, sf):
+def evaluation(spark, sf, found="job_id between 1 and 10", expected="job_id = 11", scope="job_id = 1"):
     """A16, A17, U05"""
-    m = expected_match(spark, sf)
+    m = expected_match(spark, sf, found, expected)
     v = issues(spark, sf)
-    f = v.where("job_id between 1 and 10").select(F.col("issue_id").alias("finding_id"))
-    e = v.where("job_id = 11 and severity = 'high'").select(F.col("issue_id").alias("expected_id"))
-    return trace.evaluation(f, e, m, v.where("job_id = 1 and category = 'style'").select(F.col("issue_id").alias("finding_id")))
+    f = v.where(found).select(F.col("issue_id").alias("finding_id"))
+    e = v.where("severity = 'high'").where(expected).select(F.col("issue_id").alias("expected_id"))
+    return trace.evaluation(f, e, m, v.where("category = 'style'").where(scope).select(F.col("issue_id").alias("finding_id")))
 
 
 EVALUATION_SQL = I_SQL + f""", m AS ({EXPECTED_SQL[len(I_SQL):]}), f AS (SELECT DISTINCT issue_id AS id FROM i WHERE job_id BETWEEN 1 AND 10), u AS (SELECT finding_id AS id FROM m UNION SELECT issue_id FROM i WHERE job_id = 1 AND category = 'style'),
@@ -469,10 +471,10 @@ def worst_status(spark, sf):
 WORST_SQL = duck_with("v_issues") + f" SELECT job_id, file_path, arg_min(severity, {SEV}) AS severity FROM v_issues GROUP BY ALL"
 
 
-def smart_chunk_plan(spark, sf):
+def smart_chunk_plan(spark, sf, jobs="job_id <= 10"):
     """W07, A10"""
     c = view(spark, sf, "v_issues").groupBy("job_id", "file_path", F.col("line_start").alias("chunk_index")).agg(F.min(scalars.severity_order(F.col("severity"))).alias("s"))
-    c = c.where("job_id <= 10").select("job_id", "file_path", "chunk_index", F.when(F.col("s") <= 1, F.col("s")).alias("reason_rank"), F.col("s").alias("fallback_rank"))
+    c = c.where(jobs).select("job_id", "file_path", "chunk_index", F.when(F.col("s") <= 1, F.col("s")).alias("reason_rank"), F.col("s").alias("fallback_rank"))
     return greedy.smart_plan(c, 12, per_file=2, files=14).select("job_id", "file_path", "chunk_index", "why")
 
 
@@ -502,9 +504,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY job_id, category, source = 'band
 SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY phase, CASE WHEN phase < 3 THEN b END NULLS LAST, CASE WHEN phase < 3 THEN place END NULLS LAST, rank DESC, confidence DESC, category DESC, file_path DESC, issue_id DESC) AS INT) AS seat, CAST(phase AS INT) AS phase, issue_id FROM f QUALIFY seat <= 30"""
 
 
-def audit_bundles(spark, sf):
+def audit_bundles(spark, sf, jobs="job_id <= 10"):
     """W22"""
-    v = view(spark, sf, "v_issues").where("job_id <= 10")
+    v = view(spark, sf, "v_issues").where(jobs)
     c = v.select("job_id", "file_path", F.col("line_start").alias("chunk_index")).distinct()
     return greedy.audit_bundles(c, v.where("severity = 'critical'").select("job_id", "file_path", F.col("line_start").alias("chunk_index"))).select("job_id", "bundle_id", "file_path", "chunk_index")
 
@@ -514,9 +516,9 @@ l AS (SELECT c.*, row_number() OVER (PARTITION BY job_id, file_path ORDER BY chu
 SELECT job_id, 'coverage.full_audit.' || left(sha256(file_path), 12) || '.' || ((k - 1) // 6) AS bundle_id, file_path, chunk_index FROM l"""
 
 
-def components(spark, sf):
+def components(spark, sf, lines="line_start % 11 = 0"):
     """Suppliers that share a part's first issue are one component."""
-    m = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security' and line_start % 11 = 0").select("job_id", F.concat_ws(":", "file_path", F.col("line_start").cast("string")).alias("via"))
+    m = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security'").where(lines).select("job_id", F.concat_ws(":", "file_path", F.col("line_start").cast("string")).alias("via"))
     return graph.shared_components(m, "job_id", "via")
 
 
@@ -617,3 +619,29 @@ QUERIES = {
     "rate_limit": (rate_limit, RATE_SQL),
     "review_progress": (review_progress, PROGRESS_SQL),
 }
+
+
+def _without(sql: str, *filters: str) -> str:
+    """The SQL of a query without the filters of its id subset."""
+    for f in filters:
+        if f not in sql:
+            raise ValueError(f)
+        sql = sql.replace(f, "")
+    return sql
+
+
+_ALL_MATCHES = _without(EXPECTED_SQL, "f.job_id BETWEEN 1 AND 10 AND ", "e.job_id = 11 AND ")
+
+#: The queries above that look at some jobs, lines or chunks, over all of them.
+QUERIES |= {
+    "overlap_bucketed_all": (partial(overlap_bucketed, jobs="true"), _without(BUCKETED_SQL, " AND q.job_id <= 20")),
+    "containment_first_all": (partial(containment_first, jobs="true"), _without(FIRST_SQL, " WHERE i.job_id <= 10")),
+    "static_semi_all": (partial(static_semi, jobs="true"), _without(STATIC_SQL, " AND i.job_id <= 5")),
+    "source_snippet_all": (partial(source_snippet, chunks="true", some="true"), _without(SNIPPET_SQL, " WHERE job_id <= 3 AND line_start <= 30", " WHERE w.chunk_index < 50000")),
+    "needs_attention_all": (partial(needs_attention, jobs="true"), _without(ATTENTION_SQL, " WHERE job_id % 40 = 0")),
+    "expected_match_all": (partial(expected_match, found="true", expected="true"), _ALL_MATCHES),
+    "evaluation_all": (partial(evaluation, found="true", expected="true", scope="true"), _without(EVALUATION_SQL.replace(EXPECTED_SQL[len(I_SQL):], _ALL_MATCHES[len(I_SQL):]), " WHERE job_id BETWEEN 1 AND 10", "job_id = 1 AND ", "job_id = 11 AND ")),
+    "smart_chunk_plan_all": (partial(smart_chunk_plan, jobs="true"), _without(SMART_SQL, " WHERE job_id <= 10")),
+    "audit_bundles_all": (partial(audit_bundles, jobs="true"), _without(AUDIT_SQL, " WHERE job_id <= 10)", "job_id <= 10 AND ").replace("FROM v_issues, a AS", "FROM v_issues), a AS")),
+    "components_all": (partial(components, lines="true"), _without(COMPONENTS_SQL, " AND line_start % 11 = 0")),
+}
