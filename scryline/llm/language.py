@@ -2,8 +2,9 @@
 
 One model for each language, all in one set of tables: for each order a sorted array of n-gram hashes, with a
 row of log probabilities (one for each language) beside each. A text gets the language whose length-normalised cross-entropy is
-least. The score is the calibrated share of that language times how usual its cross-entropy is for it, so that
-texts unlike any language get a low score and can be rejected.
+least. The score is the calibrated share of that language times how near its cross-entropy is to that of texts of the
+language, rather than to that of the same texts with their characters shuffled; both are measured on texts kept from the
+counts. So texts unlike any language get a low score and can be rejected.
 
 Bound of the sample: SAMPLE_DOCS documents of each language, those with the least hash of doc_id and text;
 CALIBRATE of them are kept from the counts and used for calibration alone.
@@ -22,13 +23,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scryline.llm.common import crc32_mod, documents
+from scryline.llm.common import crc32_mod, documents, fresh
 
 ORDER = 4
 SAMPLE_DOCS = 400
 CALIBRATE = 0.25
-#: A text whose score is below this is rejected.
+#: A text whose score is below this is rejected: its cross-entropy is over three quarters of the way to that of shuffled texts.
 REJECT_BELOW = 0.02
+TURN, STEEP = 2 / 3, 40
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,6 +38,8 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 def normal(text: str | None) -> str:
     """Lower-case letters, each run of other characters one space; empty if there is no letter."""
     words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not words.isascii() and not words.replace(" ", "").isalpha():  # numbers that aren't digits
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
     return f" {words} " if words else ""
 
 
@@ -206,19 +210,18 @@ class Identifier:
         learn = {k: v for k, v in learn.items() if v}
         self.model = Model(learn) if learn else None
         self.languages = self.model.languages if self.model else []
-        self.mean, self.spread, self.heat = np.zeros(len(self.languages)), np.ones(len(self.languages)), 1.0
+        self.own, self.noise, self.heat = np.zeros(len(self.languages)), np.ones(len(self.languages)), 1.0
         if not self.model:
             return
-        own, gaps = {x: [] for x in self.languages}, []
+        gaps, rng = [], np.random.default_rng(0)
         for i, x in enumerate(self.languages):
             texts = calibrate.get(x) or learn[x]
             ce = self.model.cross_entropy(texts)
-            right = ce.argmin(axis=1) == i
-            own[x] = ce[right, i]
             if len(self.languages) > 1:
                 gaps.append(np.delete(ce, i, axis=1).min(axis=1) - ce[:, i])
-            if len(own[x]):
-                self.mean[i], self.spread[i] = own[x].mean(), max(own[x].std(), 0.05)
+            self.own[i] = ce[:, i].mean()
+            shuffled = [f" {' '.join(''.join(rng.permutation(list(t.strip())).tolist()).split())} " for t in texts]
+            self.noise[i] = max(self.model.cross_entropy(shuffled).min(axis=1).mean(), self.own[i] + 0.5)
         if gaps:
             # A logistic scale under which the calibration texts' languages are as sure as they are often right.
             gap = np.concatenate(gaps)
@@ -236,8 +239,8 @@ class Identifier:
         ce = self.model.cross_entropy(forms)
         best = ce.argmin(axis=1)
         share = 1 / np.exp(-self.heat * (ce - ce.min(axis=1, keepdims=True))).sum(axis=1)
-        z = (ce.min(axis=1) - self.mean[best]) / self.spread[best]
-        usual = 1 / (1 + np.exp(np.clip(z - 12, -50, 50)))
+        way = (ce.min(axis=1) - self.own[best]) / (self.noise[best] - self.own[best])
+        usual = 1 / (1 + np.exp(np.clip(STEEP * (way - TURN), -50, 50)))
         score = np.where(has, np.clip(share * usual, 0, 1), 0.0)
         return [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], score
 
@@ -271,17 +274,30 @@ def learn(docs: DataFrame, learnable: Column) -> Identifier:
     return Identifier(fit, hold)
 
 
-def identify(docs: DataFrame, identifier: Identifier, keep: list[str], prefix: str = "") -> DataFrame:
-    """The columns `keep` of docs with <prefix>lang_pred and <prefix>score; the model is broadcast (bounded by the sample)."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)
+def _predictor(identifier: Identifier, spark: SparkSession):
+    """text -> lang_pred, score; the model is broadcast (bounded by the sample)."""
+    shared = spark.sparkContext.broadcast(identifier)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         names, score = shared.value.predict(list(text))
         return pd.DataFrame({"lang_pred": names, "score": score})
 
-    judged = docs.select(*keep, predict("text").alias("_judged"))
-    return judged.select(*keep, F.col("_judged.lang_pred").alias(f"{prefix}lang_pred"), F.col("_judged.score").alias(f"{prefix}score"))
+    return predict
+
+
+def identify(docs: DataFrame, identifier: Identifier, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs (other than lang_pred and score) with lang_pred and score."""
+    (judged,) = fresh(docs, "_judged")
+    out = docs.select(*keep, _predictor(identifier, docs.sparkSession)("text").alias(judged))
+    return out.select(*keep, F.col(judged)["lang_pred"].alias("lang_pred"), F.col(judged)["score"].alias("score"))
+
+
+def accepted(docs: DataFrame, identifier: Identifier) -> DataFrame:
+    """docs (text, ...) without the rows that are `und` or whose score is below REJECT_BELOW; same columns, whatever their names."""
+    (judged,) = fresh(docs, "_judged")
+    out = docs.withColumn(judged, _predictor(identifier, docs.sparkSession)("text"))
+    return out.where((F.col(judged)["lang_pred"] != "und") & (F.col(judged)["score"] >= REJECT_BELOW)).select(*docs.columns)
 
 
 def learnable() -> Column:

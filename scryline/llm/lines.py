@@ -5,29 +5,32 @@ more, a word less or another word. Such lines have a variant in common: each lin
 one word deleted, as hashed keys. Lines that lose the word at the same place, and a line that another becomes by
 losing one, are within the bound; so the earliest of each such set is enough, and no pairs are formed.
 
-What is shuffled: first, lines are counted by 128-bit key. Then each different line emits four keys of its halves
-(an edit leaves one half untouched, whichever way the lengths go); only lines that share a half with another line emit
-their variants. The nearest earlier line that this finds is verified word by word. Positions to drop are joined back to
-the documents. Small sides are broadcast only after a count, and joined by shuffle beyond it.
+What is shuffled: first, lines are counted by the 128-bit key of their lower case without the white space around it. Then each
+different line emits four keys of its halves (an edit leaves one half untouched, whichever way the lengths go); only lines that
+share a half with another line emit their variants. The nearest earlier line that this finds is verified word by word. Positions
+to drop are joined back to the documents. Small sides are broadcast only after a count, and joined by shuffle beyond it.
 
-Only lines of MIN_WORDS words or more take part (words are lower-cased runs between white space). Exact copies and
-near copies are judged against every earlier line, kept or not.
+A line of fewer than MIN_WORDS words (lower-cased runs between white space) goes only if an earlier one has the same key: one
+word more or less leaves too little of it. Blank lines take no part. Exact copies and near copies are judged against every earlier
+line, kept or not.
 
 Defined results: documents with a null text or null doc_id stay as they are and take no part; of rows with equal doc_id and
-text, lines at the same place are equally early, so both stay; a document of which only blank lines are left goes; an empty
-table gives no rows; other columns stay, and n_chars, where there is one, follows the text.
+text, lines at the same place are equally early, so both stay; a document of which only blank lines are left, and which had
+another, goes; an empty table gives no rows; other columns stay, whatever their names, and n_chars, where there is one, follows
+the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scryline.llm.common import documents, staged
+from scryline.llm.common import documents, fresh, staged
 
 MIN_WORDS = 5
 #: Rows (of a few dozen bytes) up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
 SPACE = r"[\x20\x09-\x0D]+"
+BLANK = " \t\n\v\f\r"
 
 
 def _words(line: Column) -> Column:
@@ -35,7 +38,8 @@ def _words(line: Column) -> Column:
 
 
 def _keys(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2")]
+    form = F.lower(F.trim(line, F.lit(BLANK)))
+    return [F.xxhash64(form).alias("k1"), F.xxhash64(F.lit(1), form).alias("k2")]
 
 
 def _lines(docs: DataFrame, bits: int) -> DataFrame:
@@ -64,19 +68,19 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
     """k1, k2, t: of each line that recurs or has an earlier neighbour, the order key of the earliest such line."""
     h = F.transform("ws", lambda w: F.xxhash64(w))
     lines = _lines(docs, bits)
-    rows = lines.select("ord", *_keys(F.col("line")), _words(F.col("line")).alias("ws")).where(F.size("ws") >= MIN_WORDS).withColumn("h", h)
+    rows = lines.select("ord", *_keys(F.col("line")), _words(F.col("line")).alias("ws")).where(F.size("ws") > 0).withColumn("h", h)
     n = F.size("h")
 
     def half(kind: int, m: Column) -> Column:
         left = F.floor(m / 2).cast("int")
         words = F.slice("h", F.lit(1), left) if kind == 0 else F.slice("h", n - (m - left) + 1, m - left)
-        return F.xxhash64(F.lit(kind), m, words)
+        return F.when(n >= MIN_WORDS, F.xxhash64(F.lit(kind), m, words))
 
     halves = {f"half{2 * s + k}": half(k, n - s) for s in (0, 1) for k in (0, 1)}
     rows = rows.select("k1", "k2", "ord", *[c.alias(name) for name, c in halves.items()])
     distinct = staged(rows.groupBy("k1", "k2").agg(F.min("ord").alias("first"), F.count("*").alias("n"), *[F.min(x).alias(x) for x in halves]), "lines")
 
-    by_half = distinct.select("k1", "k2", "first", F.explode(F.array(*halves)).alias("half"))
+    by_half = distinct.where("half0 is not null").select("k1", "k2", "first", F.explode(F.array(*halves)).alias("half"))
     crowded = by_half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
     chosen = staged(by_half.join(crowded, "half", "left_semi").select("k1", "k2", "first").distinct(), "candidates")
 
@@ -87,9 +91,11 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
     # place n: nothing deleted. The hash of two arrays in turn is that of the two put together.
     forms = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == n, F.lit(-1)).otherwise(i).alias("at"), F.xxhash64(F.slice("h", F.lit(1), i), F.slice("h", i + 2, n)).alias("v")))
     variants = words.select("k1", "k2", "first", F.inline(forms))
-    at_place = variants.groupBy("v", "at").agg(F.min("first").alias("m"), F.max("first").alias("x"))
-    shared = at_place.groupBy("v").agg(F.min("m").alias("all_m"), F.max("x").alias("all_x"), F.min(F.when(F.col("at") == -1, F.col("m"))).alias("whole_m")).where("all_m < all_x")
-    shared = staged(at_place.join(shared, "v").select("v", "at", F.when(F.col("at") == -1, F.col("all_m")).otherwise(F.least("m", "whole_m")).alias("near")), "shared-variants")
+    by_variant = Window.partitionBy("v")  # a row for each place: no more than a line has words
+    at_place = variants.groupBy("v", "at").agg(F.min("first").alias("m"), F.max("first").alias("x")).select(
+        "v", "at", "m", F.min("m").over(by_variant).alias("all_m"), F.max("x").over(by_variant).alias("all_x"), F.min(F.when(F.col("at") == -1, F.col("m"))).over(by_variant).alias("whole_m")
+    )
+    shared = staged(at_place.where("all_m < all_x").select("v", "at", F.when(F.col("at") == -1, F.col("all_m")).otherwise(F.least("m", "whole_m")).alias("near")), "shared-variants")
     nearest = _joined(variants, shared, ["v", "at"]).where("near < first").groupBy("k1", "k2", "first").agg(F.min("near").alias("near"))
     nearest = staged(nearest, "nearest")
     other = words.select(F.col("first").alias("near"), F.col("h").alias("g"))
@@ -119,31 +125,33 @@ def drops(docs: DataFrame) -> DataFrame:
     return staged(rows.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("places")), "line-drops")
 
 
-def with_drops(docs: DataFrame) -> DataFrame:
-    """docs with _places (null where none go) and _kept, the text of what stays."""
-    places = drops(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("places").alias("_places"))
-    small = places.agg(F.count("*"), F.sum(F.size("_places"))).first()
+def with_drops(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the places of the lines that go (null where none do), the text of what stays."""
+    gone, kept, id_, th = fresh(docs, "_places", "_kept", "_id", "_th")
+    places = drops(docs).select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("places").alias(gone))
+    small = places.agg(F.count("*"), F.sum(F.size(gone))).first()
     if small[0] <= BROADCAST_ROWS and (small[1] or 0) <= 8 * BROADCAST_ROWS:
         places = F.broadcast(places)
-    marked = docs.join(places, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
-    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_places", i))
-    return marked.withColumn("_kept", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    marked = docs.join(places, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(th)), "left").drop(id_, th)
+    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    return marked.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))), gone, kept
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without the lines that go, and without documents of which nothing is left; same columns."""
-    out = with_drops(docs).where(F.col("_places").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_kept").alias(c) if c == "text" else F.when(F.col("_places").isNull(), F.col(c)).otherwise(F.length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    out, gone, kept = with_drops(docs)
+    whole = F.col(gone).isNull()
+    columns = [F.col(kept).alias(c) if c == "text" else F.when(whole, F.col(c)).otherwise(F.length(kept)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.where(whole | F.col(kept).rlike(r"[^\x20\x09-\x0D]")).select(*columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: its lines, how many go, whether it goes, and the md5 of the text that stays."""
-    out = with_drops(documents(spark, sf_dir).select("doc_id", "text"))
-    dropped = F.when(F.col("_places").isNull(), F.lit(0)).otherwise(F.size("_places"))
+    out, gone, kept = with_drops(documents(spark, sf_dir).select("doc_id", "text"))
+    dropped = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone))
     return out.select(
         "doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"),
-        ((dropped > 0) & ~F.col("_kept").rlike(r"[^\x20\x09-\x0D]")).alias("gone"), F.md5("_kept").alias("kept_md5"),
+        ((dropped > 0) & ~F.col(kept).rlike(r"[^\x20\x09-\x0D]")).alias("gone"), F.md5(kept).alias("kept_md5"),
     )
 
 
@@ -151,10 +159,10 @@ OP9_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
 w AS (SELECT doc_id, pos, line, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l),
-k AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS ord, array_to_string(ws, ' ') AS s FROM w WHERE len(ws) >= 5),
+k AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS ord, CASE WHEN len(ws) < 5 THEN chr(10) || lower(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))) ELSE array_to_string(ws, ' ') END AS s FROM w WHERE len(ws) > 0),
 u AS (SELECT s, any_value(ws) AS ws, min(ord) AS f FROM k GROUP BY s),
-x AS (SELECT s, f, ws, unnest(range(len(ws) + 1)) AS i FROM u),
-v AS (SELECT s, f, i, i = len(ws) AS whole, array_to_string(list_concat(ws[1:i], ws[i + 2:]), ' ') AS v FROM x),
+x AS (SELECT s, f, ws, unnest(CASE WHEN len(ws) < 5 THEN [len(ws)] ELSE range(len(ws) + 1) END) AS i FROM u),
+v AS (SELECT s, f, i, i = len(ws) AS whole, CASE WHEN len(ws) < 5 THEN s ELSE array_to_string(list_concat(ws[1:i], ws[i + 2:]), ' ') END AS v FROM x),
 m AS (SELECT s, whole, min(f) OVER (PARTITION BY v) AS of_all, min(f) OVER (PARTITION BY v, whole, i) AS of_same,
              min(CASE WHEN whole THEN f END) OVER (PARTITION BY v) AS of_whole FROM v),
 t AS (SELECT s, min(CASE WHEN whole THEN of_all ELSE least(of_same, coalesce(of_whole, of_same)) END) AS t FROM m GROUP BY s),

@@ -1,7 +1,7 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions only.
 
 Each shingle of WORDS words is hashed once; the hash's high bits name its bin, and each bin keeps its least
-value. An empty bin takes the value of the first non-empty one on its own pseudo-random walk (optimal
+value. An empty bin takes the value of the first non-empty one in its own pseudo-random order of all bins (optimal
 densification). LOW bits of each value are stored; the likeness of two fingerprints is the share of equal bins,
 corrected for those that are equal by chance.
 
@@ -24,16 +24,10 @@ BINS = 1 << BIN_BITS
 #: Bits of a value: the hash without its sign and the bin's bits.
 VALUE_BITS = 63 - BIN_BITS
 NONE = (1 << VALUE_BITS) - 1
-WALK = 8
 #: Rows of a bucket of neighbouring doc_ids.
 BUCKET_ROWS = 1_000
 
 
-def _walk(bin_: Column, first: int, steps: int) -> Column:
-    """Bins that an empty bin asks, in order."""
-    return F.transform(F.sequence(F.lit(first), F.lit(first + steps - 1)), lambda j: F.pmod(F.xxhash64(bin_, j), F.lit(BINS)).cast("int"))
-
-
 def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the column out: the low bits of the value of each bin, as array<tinyint>."""
     t = f"_{out}_"
@@ -52,12 +46,14 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     least = F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, VALUE_BITS) != F.shiftright(F.get(s, i - 1), VALUE_BITS)))
     df = df.withColumn(t + "v", F.transform(least, lambda x: x.bitwiseAND(F.lit(NONE))))
     v = F.col(t + "v")
-    known = lambda bins: F.get(F.filter(F.transform(bins, lambda b: F.get(v, b)), lambda x: x != NONE), F.lit(0))
-    rest = lambda b: F.get(F.filter(F.concat(F.slice(v, b + 1, BINS), v), lambda x: x != NONE), F.lit(0))
-    full = F.transform(v, lambda x, b: F.when(x != NONE, x).otherwise(F.coalesce(known(_walk(b, 0, WALK)), known(_walk(b, WALK, 8 * WALK)), rest(b))))
+    places = F.array(*[F.lit(j) for j in range(BINS)])
+    filled = F.filter(F.zip_with(v, places, lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda e: e["x"] != NONE)
+    df = df.withColumn(t + "k", F.when(F.array_contains(v, F.lit(NONE)), filled))
+    first = lambda b: F.array_min(F.transform(t + "k", lambda e: F.struct(F.xxhash64(b, e["j"]).alias("o"), e["x"].alias("x"))))["x"]
+    full = F.transform(v, lambda x, b: F.when(x != NONE, x).otherwise(first(b)))
     low = lambda c: F.transform(c, lambda x: (x.bitwiseAND(F.lit((1 << LOW) - 1)) - F.lit(1 << (LOW - 1))).cast("tinyint"))
     df = df.withColumn(t + "f", F.when(F.array_contains(v, F.lit(NONE)), full).otherwise(v)).withColumn(out, low(F.col(t + "f")))
-    return df.drop(*[t + x for x in "hn245svf"])
+    return df.drop(*[t + x for x in "hn245svkf"])
 
 
 def packed(bins: str) -> Column:

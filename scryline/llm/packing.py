@@ -12,8 +12,9 @@ repeat are packed each for itself; a null doc_id stays null; an empty table give
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ NO_ID = np.iinfo(np.int64).min
 NEARLY = 16
 #: Leftovers that meet in one task.
 ROUND_ROWS = 50_000
-#: Cached encodings of a task, and the longest run of text that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 700_000, 48
+#: Encodings that a task remembers (about 200 bytes each): of runs met twice and of those met once; and the longest such run.
+CACHE_ENTRIES, ONCE_ENTRIES, CACHE_CHARS = 200_000, 150_000, 48
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -36,10 +37,13 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, as the tokenizer gives them for the whole text.
 
     The tokenizer lower-cases, drops white space and never joins what stands on its two sides, so runs between white
-    space are encoded once and remembered. It cuts a run into pieces by PIECES; a piece ends with the only token that
-    ends one. So new pieces go to the tokenizer many in one call, and a run's ids are those of its pieces. All this holds for
-    texts of Latin-1 characters, which have one form only; other texts go through it run by run, and those with one of the four
-    control characters that Python alone splits at, or with a special token, whole.
+    space are encoded once and remembered. It cuts a run into pieces by PIECES; its model encodes each piece for itself, so a
+    run's ids are those of its pieces. All this holds for texts of Latin-1 characters, which have one form only; other texts,
+    and those with one of the four control characters that Python alone splits at, or with a special token, go through the
+    tokenizer whole.
+
+    The memory is bounded: runs are remembered for good from their second occurrence on, so the many that occur once don't
+    drive out the others; what is full is forgotten.
     """
 
     #: Fixed value: the tokenizer's own pattern.
@@ -47,63 +51,60 @@ class Encoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cut = regex.compile(self.PIECES).findall
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_piece[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}  # of runs
-        self.pieces: dict[str, bytes] = {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: The model works on bytes that are written as characters.
+        self.written = {k: as_bytes(chr(k))[0][0] for k in range(128, 256)}
+        self.cache: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        known = self.pieces
-        for lo in range(0, len(new), 4000):
-            part = new[lo : lo + 4000]
-            raw = self._ids([" ".join(part)])[0]
-            stops = np.flatnonzero(self.ends_piece[np.frombuffer(raw, "<u4")]) + 1
-            if len(stops) != len(part):
-                known.update(zip(part, self._ids(part), strict=True))
-                continue
-            begin = 0
-            for p, end in zip(part, (4 * stops).tolist(), strict=True):
-                known[p] = raw[begin:end]
-                begin = end
-
-    def _learn(self, runs: set[str]) -> None:
-        """Runs of lower-cased Latin-1 characters."""
-        known = self.pieces
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        cut = {r: self.cut(r) for r in runs}
-        self._learn_pieces(list({p for ps in cut.values() for p in ps if p not in known}))
-        for r, ps in cut.items():
-            self.cache[r] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+    def _piece(self, piece: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.written))]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _remembered(self, part: str, encode: Callable[[str], bytes]) -> bytes:
+        """Of a run or piece that isn't in the cache."""
+        ids = self.once.pop(part, None)
+        if ids is not None:
+            self.cache[part] = ids
+            return ids
+        ids = encode(part)
+        if len(part) <= CACHE_CHARS:
+            self.once[part] = ids
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        """A run of lower-cased Latin-1 characters."""
+        if run.isalpha():
+            return self._piece(run)
+        known = self.cache.get
+        return b"".join([known(p) or self._remembered(p, self._piece) for p in self.cut(run)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [lowered.split() if (lowered := _lowered(t)) is not None else None for t in texts]
-        cache = self.cache
-        out = [None if r is None else list(map(cache.get, r)) for r in runs]
-        missing = [i for i, o in enumerate(out) if o is not None and None in o]
-        if missing:
-            new = {r for i in missing for r, ids in zip(runs[i], out[i], strict=True) if ids is None}
-            if len(cache) + len(new) > CACHE_ENTRIES:
-                cache.clear()
-                new = {r for i in missing for r in runs[i]}
-            self._learn(new)
-            for i in missing:
-                out[i] = list(map(cache.__getitem__, runs[i]))
-            for r in new:
-                if len(r) > CACHE_CHARS:
-                    del cache[r]
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = self._ids([t])
-        return [b"".join(o) for o in out]
+        out = []
+        for t in texts:
+            lowered = _lowered(t)
+            if lowered is None:
+                out.append(self._ids([t])[0])
+                continue
+            runs = lowered.split()
+            ids = list(map(self.cache.get, runs))
+            if None in ids:
+                known = self.cache.get
+                ids = [x or known(r) or self._remembered(r, self._run) for x, r in zip(ids, runs, strict=True)]
+            out.append(b"".join(ids))
+            if len(self.cache) > CACHE_ENTRIES:
+                self.cache.clear()
+            if len(self.once) > ONCE_ENTRIES:
+                self.once.clear()
+        return out
 
 
 def _lowered(text: str) -> str | None:
@@ -164,8 +165,8 @@ def local_bins(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
         for pdf in batches:
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
             texts = ["" if t is None else t for t in pdf["text"]]
-            for lo in range(0, len(texts), 512):
-                found.append(pieces(ids[lo : lo + 512], encoder.encode(texts[lo : lo + 512]), end_id, capacity))
+            for lo in range(0, len(texts), 256):
+                found.append(pieces(ids[lo : lo + 256], encoder.encode(texts[lo : lo + 256]), end_id, capacity))
         if found:
             items = np.sort(np.concatenate(found), order=["doc_id", "piece", "crc"])
             yield _merged(items["length"], [x.tobytes() for x in items], capacity)

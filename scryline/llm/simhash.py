@@ -3,27 +3,31 @@
 Two fingerprints at most 2r bits apart have a variant in common that is at most r bits from either. So every
 distinct fingerprint emits all its variants within r bits (2,081 for r = 2 of 64), and equal variants meet.
 
-What is shuffled: a variant goes to the slice that a linear hash (`syndrome`) of it names. The variants of one
-fingerprint that go to the same slice travel as the one fingerprint and are spelled out there, so 2,081
-variants cost at most 64 x 8 bytes. A slice works through its variants in sub-slices of bounded size. Fingerprints
+What is shuffled: a variant goes to the slice that the parities of k groups of its bits name. The variants of one
+fingerprint that go to the same slice travel as the one fingerprint and are spelled out there, so each fingerprint is sent
+1 + k + k (k - 1) / 2 times at most, to as many of the 2^k slices; k follows the number of fingerprints, so that a slice
+has a bounded number of them. A slice works through its variants in sub-slices of bounded size, each of which takes its
+fingerprints as ranges of a sorted array: the work is in proportion to the variants. Fingerprints
 that share a variant are within 2r bits of each other pairwise, so a link from each to the smallest one loses
 nothing; a slice returns a spanning forest of such links, never all pairs of a group.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, staged
+from scryline.llm.common import documents, fresh, release, staged
 
 BITS = 64
-#: Fingerprints of a slice (8 bytes each) that one task may hold; from there on there are more slices.
-SLICE_ROWS = 16_000_000
+#: Bytes of the fingerprints that one slice gets, as a mean; from there on there are more slices.
+SLICE_BYTES = 1 << 24
 #: Variants that are spelled out at a time.
-SUB_ROWS = 1_000_000
+SUB_ROWS = 500_000
 #: Rows of copies that go (16 bytes each) up to which they are broadcast.
 GONE_ROWS = 500_000
 LAST = (1 << 63) - 1
@@ -70,19 +74,19 @@ def ball(radius: int, width: int = BITS) -> np.ndarray:
     return np.array(sorted(masks), dtype=np.uint64)
 
 
-def _codes(bits: int) -> np.ndarray:
-    """The linear hash's code of each bit of a fingerprint (fixed pseudo-random numbers of so many bits)."""
+def _codes(slice_bits: int, sub_bits: int) -> np.ndarray:
+    """The linear hash's code of each bit of a fingerprint: its group in the low bits, above it a fixed pseudo-random number."""
     x, out = 0x9E3779B97F4A7C15, []
-    for _ in range(BITS):
+    for k in range(BITS):
         x = (x + 0x9E3779B97F4A7C15) & (2**64 - 1)
         z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
         z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
-        out.append((z ^ (z >> 31)) & ((1 << bits) - 1))
+        out.append(((z ^ (z >> 31)) & ((1 << sub_bits) - 1)) << slice_bits | (1 << k % slice_bits if slice_bits else 0))
     return np.array(out, dtype=np.int64)
 
 
-def syndrome(values: np.ndarray, bits: int) -> np.ndarray:
-    codes = _codes(bits)
+def syndrome(values: np.ndarray, slice_bits: int, sub_bits: int = 0) -> np.ndarray:
+    codes = _codes(slice_bits, sub_bits)
     tables = np.zeros((8, 256), np.int64)
     for byte in range(8):
         for v in range(256):
@@ -96,6 +100,14 @@ def syndrome(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def slices(n: int, size: int, radius: int, least: int) -> int:
+    """k, from least on, so that each of 2^k slices gets SLICE_BYTES of n rows of so many bytes at most."""
+    k = least
+    while n * size * sum(math.comb(k, r) for r in range(min(radius, k) + 1)) > SLICE_BYTES << k and k < 24:
+        k += 1
+    return k
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -119,47 +131,56 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int]], dict[in
     return out, {x: root(x) for x in parent}
 
 
+def _shuffled(v: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """A pseudo-random key of each row, in one of four orders that the variant chooses."""
+    z = (i.astype(np.uint64) << np.uint64(2) | v & np.uint64(3)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ z >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+
+
 def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, width: int, distance, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (two indices, and whether they are sure) between rows that share a variant of this slice.
 
     distance(i, j): of pairs of indices. Of the rows that share a variant, those at most `most` from the first are
     linked to it; the others are gone through again, until none is left. Links of at most `sure` are sure: of these, a
-    spanning forest is returned. The others may fail later, so such a row is linked to the one before it too; of
-    them, those that the forest doesn't connect already are returned.
+    spanning forest is returned. The others may fail later, so such a row is linked to the one before it too, and which
+    row is first depends on the variant (rows within 2 * radius share several); of them, those that the forest doesn't
+    connect already are returned.
     """
     masks = ball(radius, width)
-    per = len(keys) * len(masks) / (1 << slice_bits)
-    sub_bits = max(0, int(np.ceil(np.log2(max(1.0, per / SUB_ROWS)))))
-    bits = slice_bits + sub_bits
-    codes = syndrome(masks, bits)
-    order = np.argsort(codes, kind="stable")
-    masks, codes = masks[order], codes[order]
-    own = syndrome(keys, bits)
-    a_all, b_all, d_all = [], [], []
+    sub_bits = max(0, math.ceil(math.log2(max(1.0, len(keys) * len(masks) / (SUB_ROWS << slice_bits)))))
+    codes, own = syndrome(masks, slice_bits, sub_bits), syndrome(keys, slice_bits, sub_bits)
+    by_code = np.argsort(own, kind="stable")
+    own = own[by_code]
+    links: list[np.ndarray] = []  # of index, index, sure
+    size = 0
 
     def link(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        a_all.append(np.minimum(i, j))
-        b_all.append(np.maximum(i, j))
-        d_all.append(d)
+        nonlocal links, size
+        code = (np.minimum(i, j) * np.int64(len(keys)) + np.maximum(i, j)) << 1 | (d > sure)
+        links.append(code)
+        size += len(code)
+        if size > 4 * SUB_ROWS:
+            links = [np.unique(np.concatenate(links))]
+            size = len(links[0])
 
     for sub in range(1 << sub_bits):
-        want = own ^ ((sub << slice_bits) | where)  # the slice's bits are the low ones of the code
-        lo, hi = np.searchsorted(codes, want, "left"), np.searchsorted(codes, want, "right")
+        want = codes ^ (sub << slice_bits | where)
+        lo, hi = np.searchsorted(own, want, "left"), np.searchsorted(own, want, "right")
         count = hi - lo
-        which = np.repeat(np.arange(len(keys)), count)
-        if not len(which):
+        n = int(count.sum())
+        if not n:
             continue
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        variants = keys[which] ^ masks[np.repeat(lo, count) + inner]
+        which = by_code[np.arange(n) + np.repeat(lo - (np.cumsum(count) - count), count)]
+        variants = keys[which] ^ np.repeat(masks, count)
         ordered = np.sort(variants)
         met = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         if not len(met):
             continue
         at = np.minimum(np.searchsorted(met, variants), len(met) - 1)
         hit = np.flatnonzero(met[at] == variants)
-        v, i = at[hit], which[hit]
-        order2 = np.lexsort((i, v))
-        v, i = v[order2], i[order2]
+        v, i = variants[hit], which[hit]
+        order = np.lexsort((_shuffled(v, i) if sure < most else i, v))
+        v, i = v[order], i[order]
         while len(v):
             first = np.concatenate(([True], v[1:] != v[:-1]))
             head = i[first][np.cumsum(first) - 1]
@@ -172,10 +193,10 @@ def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, widt
                 fits = before <= most
                 link(i[unsure - 1][fits], i[unsure][fits], before[fits])
             v, i = v[~first & ~near], i[~first & ~near]
-    if not a_all:
+    if not links:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    pairs, at = np.unique(np.concatenate(a_all) * np.int64(len(keys)) + np.concatenate(b_all), return_index=True)
-    is_sure = np.concatenate(d_all)[at] <= sure
+    found = np.unique(np.concatenate(links))
+    is_sure, pairs = (found & 1) == 0, found >> 1
     a, b = pairs // len(keys), pairs % len(keys)
     kept, roots = forest(a[is_sure], b[is_sure])
     root = np.arange(len(keys))
@@ -203,14 +224,12 @@ def ball_links(distinct: DataFrame, radius: int = 2, width: int = BITS, tables:
     """distinct (node, wide) -> a, b, sure: links that connect all nodes of which a table's bits differ in at most 2 * radius places.
 
     wide: the bits of all tables, as little-endian 64-bit words. most: the greatest distance over all bits of a link;
-    sure: the greatest of one that needs no further verification.
+    sure: the greatest of one that needs no further verification. There are 2^slice_bits slices of each table at least.
     """
-    n = distinct.count()
     words = -(-tables * width // 64)
     row = np.dtype([("node", "<i8"), ("wide", "<u8", (words,))])
+    slice_bits = slices(distinct.count(), row.itemsize, radius, slice_bits)
     masks = ball(radius, width)
-    while n * min(1.0, len(masks) / (1 << slice_bits)) > SLICE_ROWS / words and slice_bits < 24:
-        slice_bits += 1
 
     def deal(batches):
         offsets = np.unique(syndrome(masks, slice_bits))
@@ -226,24 +245,25 @@ def ball_links(distinct: DataFrame, radius: int = 2, width: int = BITS, tables:
                 own = syndrome(table_keys(rows["wide"], t, width), slice_bits)
                 for lo in range(0, len(rows), 4096):
                     to = (own[lo : lo + 4096, None] ^ offsets).ravel()
-                    what = np.repeat(rows[lo : lo + 4096], len(offsets))
+                    what = np.repeat(np.arange(lo, min(lo + 4096, len(rows))), len(offsets))
                     order = np.argsort(to, kind="stable")
                     to, what = to[order], what[order]
                     edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-                    yield pd.DataFrame({"slice": (t << slice_bits) + to[edge], "rows": [x.tobytes() for x in np.split(what, edge[1:])]})
+                    yield pd.DataFrame({"slice": (t << slice_bits) + to[edge], "rows": [rows[x].tobytes() for x in np.split(what, edge[1:])]})
 
     def meet(key, pdf):
         rows = np.frombuffer(b"".join(pdf["rows"]), row)
         rows = rows[np.argsort(rows["node"], kind="stable")]
         wide = rows["wide"]
         table, where = divmod(int(key[0]), 1 << slice_bits)
-        keys = table_keys(wide, table, width)
 
         def distance(i, j):
             return popcount(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
 
-        i, j, is_sure = slice_links(keys, where, slice_bits, radius, width, distance, sure, most)
-        return pd.DataFrame({"a": rows["node"][i], "b": rows["node"][j], "sure": is_sure})
+        i, j, is_sure = slice_links(table_keys(wide, table, width), where, slice_bits, radius, width, distance, sure, most)
+        out = pd.DataFrame({"a": rows["node"][i], "b": rows["node"][j], "sure": is_sure})
+        release()
+        return out
 
     return distinct.select("node", "wide").mapInPandas(deal, "slice long, rows binary").groupBy("slice").applyInPandas(meet, "a long, b long, sure boolean").distinct()
 
@@ -302,19 +322,19 @@ def little_endian(x: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)]))
 
 
-#: Of the near-copy operator: fingerprints of TABLES times WIDTH bits. At a Jaccard similarity of 0.8 a table's 40 bits differ
-#: in at most 4 with a chance of 0.28, so one of eight tables does with 0.93; unrelated texts do so in 1 of 10 million pairs.
-TABLES, WIDTH = 8, 40
-#: Distances over all 320 bits: 48.5 (deviation 6.4) are expected at a similarity of 0.8, and 55 at 0.75. Links of SURE_BITS or
+#: Of the near-copy operator: fingerprints of TABLES times WIDTH bits. At a Jaccard similarity of 0.8 a table's 36 bits differ
+#: in at most 4 with a chance of 0.36, so one of ten tables does with 0.99; unrelated texts do so in 1 of 100,000 pairs.
+TABLES, WIDTH = 10, 36
+#: Distances over all 360 bits: 54.6 (deviation 6.8) are expected at a similarity of 0.8, and 62 at 0.75. Links of SURE_BITS or
 #: fewer hold without a look at the texts; those of up to MOST_BITS are verified by their shingles.
-SURE_BITS, MOST_BITS = 34, 68
+SURE_BITS, MOST_BITS = 36, 78
 SIMILARITY = 0.8
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """SimHash of TABLES * WIDTH bits over the different shingles of so many words; zeros without words."""
+    """SimHash of TABLES * WIDTH bits (up to the next 64) over the different shingles of so many words; zeros without words."""
     tokens = (text or "").lower().split()
-    size = TABLES * WIDTH // 64
+    size = -(-TABLES * WIDTH // 64)
     if not tokens:
         return bytes(8 * size)
     line = " ".join(tokens).encode("utf-8", "surrogatepass")
@@ -332,6 +352,7 @@ def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         ones += np.add.reduce(np.unpackbits(z.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little"), axis=0, dtype=np.int32)
+    ones[TABLES * WIDTH :] = 0
     return np.packbits(2 * ones > len(hashed), bitorder="little").tobytes()
 
 
@@ -342,9 +363,9 @@ def shingles(text: Column, words: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(h), at)))  # the words are hashed once
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _id and _th, the key of a text: a null doc_id counts as the last one."""
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
+def _keyed(docs: DataFrame, id_: str = "_id", th: str = "_th") -> DataFrame:
+    """docs with the key of a text: a null doc_id counts as the last one."""
+    return docs.withColumns({id_: F.coalesce("doc_id", F.lit(LAST)), th: F.xxhash64("text")})
 
 
 def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -365,7 +386,7 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> D
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs (doc_id, text) -> doc_id, th (hash of the text), component_id: near copies at a similarity of 0.8 or more.
 
-    Fingerprints of eight tables are hashed by balls of radius 2; colliding ones are compared over all their bits, and by
+    Fingerprints of TABLES tables are hashed by balls of radius 2; colliding ones are compared over all their bits, and by
     their shingles where the bits don't settle it.
     """
 
@@ -388,19 +409,21 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies: that of the smallest doc_id; same columns.
+    """docs with one row of each component of near copies: that of the smallest doc_id; same columns, whatever their names.
 
-    Of rows with equal doc_id, that of the least text hash stays, once; rows with a null doc_id count as the last ones.
+    Of rows with equal doc_id, that of the least text hash stays, once; rows with a null doc_id count as the last ones. Null
+    texts and texts without words are copies of one another. An empty table gives no rows.
     """
-    rows = staged(near_copies(docs), "near-copies").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("th").alias("_th"), F.coalesce("component_id", F.lit(LAST)).alias("c"))
-    best = rows.groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("best"))
-    once = rows.groupBy("_id", "_th", "c").agg(F.count("*").alias("n"))
+    id_, th = fresh(docs, "_id", "_th")
+    rows = staged(near_copies(docs), "near-copies").select(F.coalesce("doc_id", F.lit(LAST)).alias(id_), F.col("th").alias(th), F.coalesce("component_id", F.lit(LAST)).alias("c"))
+    best = rows.groupBy("c").agg(F.min(F.struct(id_, th)).alias("best"))
+    once = rows.groupBy(id_, th, "c").agg(F.count("*").alias("n"))
     repeated = bool(once.where("n > 1").limit(1).count())
-    gone = staged(once.join(best, "c").where((F.col("_id") != F.col("best._id")) | (F.col("_th") != F.col("best._th"))).select("_id", "_th"), "copies")
+    gone = staged(once.join(best, "c").where((F.col(id_) != F.col("best")[id_]) | (F.col(th) != F.col("best")[th])).select(id_, th), "copies")
     if gone.count() <= GONE_ROWS:
         gone = F.broadcast(gone)
-    kept = _keyed(docs).join(gone, ["_id", "_th"], "left_anti")
-    return (kept.dropDuplicates(["_id", "_th"]) if repeated else kept).select(*docs.columns)
+    kept = _keyed(docs, id_, th).join(gone, [id_, th], "left_anti")
+    return (kept.dropDuplicates([id_, th]) if repeated else kept).select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
