@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return
 the columns of documents.
+
+Defined results, of all stages: language ID rejects null texts and texts without a letter, and takes rows without a language
+or doc_id like any other; line dedup leaves rows without a doc_id alone; near-dedup counts a null doc_id as the last one, and of
+rows that repeat keeps one; in packing, a null doc_id stays null. Texts of any length go through whole. Further columns pass
+through all stages but the last, also when their names are used inside. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,9 +19,7 @@ from scryline.llm.common import documents, staged
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the models know; those that are rejected go."""
-    identifier = language.learn(docs, F.lit(True))
-    judged = language.identify(docs, identifier, docs.columns, prefix="_")
-    return judged.where((F.col("_lang_pred") != "und") & (F.col("_score") >= language.REJECT_BELOW)).select(*docs.columns)
+    return language.accepted(docs, language.learn(docs, F.lit(True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
