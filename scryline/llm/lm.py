@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, staged
+from scryline.llm.common import documents, release, staged
 
 #: Words whose counts are broadcast, at most (2^PLACE_BITS can be told apart); those of the others are joined.
 FREQUENT = 1 << 18
@@ -234,20 +234,24 @@ def _judge(pdf: pd.DataFrame, frequent: np.ndarray, losses: Callable) -> pd.Data
     first, second = cells >> PLACE_BITS, cells & (1 << PLACE_BITS) - 1
     target_loss, loss = losses([n, frequent[1, first], frequent[1, second]], [t, frequent[2, first], frequent[2, second]], np.log)
     rid, back = np.unique(rid, return_inverse=True)
-    out = [pd.DataFrame({"kind": COMMON, "rid": rid, "target_loss": np.bincount(back, target_loss[inverse], len(rid)), "loss": np.bincount(back, loss[inverse], len(rid))})]
+    out = [{"kind": np.full(len(rid), COMMON), "rid": rid, "target_loss": np.bincount(back, target_loss[inverse], len(rid)), "loss": np.bincount(back, loss[inverse], len(rid))}]
+    del cells, inverse, n, t, first, second, target_loss, loss, back
 
     rid, cells, inverse, n, t = taken(RARE)
-    rows = {"kind": RARE, "rid": rid, "n0": n[inverse], "t0": t[inverse]}
+    rows = {"kind": np.full(len(rid), RARE), "rid": rid, "n0": n[inverse], "t0": t[inverse]}
     for k, ids in ((1, cells >> BITS), (2, cells & (1 << BITS) - 1)):
         known, place = find(frequent, ids)
         counts = np.where(known, frequent[1:, place], 0) if frequent.shape[1] else np.zeros((2, len(ids)), np.int64)
         rows |= {f"k{k}": np.where(known, -1, ids)[inverse], f"n{k}": counts[0][inverse], f"t{k}": counts[1][inverse]}
-    out.append(pd.DataFrame(rows))
+    out.append(rows)
+    del cells, inverse, n, t
 
     for base, at, cells, ids in zip(*[pdf.loc[pdf["kind"] == DOCUMENT, c] for c in ("base", "at", "cells", "ids")], strict=True):
-        out.append(pd.DataFrame({"kind": DOCUMENT, "rid": base + np.frombuffer(cells, np.int64), "doc_id": list(ids), "tokens": np.frombuffer(at, np.int64)}))
-    names = [x.split()[0] for x in JUDGED.split(", ")]
-    return pd.concat([x.reindex(columns=names).astype({c: "object" if c == "doc_id" else "float64" if "loss" in c else "Int64" for c in names}) for x in out], ignore_index=True)
+        places = np.frombuffer(cells, np.int64)
+        out.append({"kind": np.full(len(places), DOCUMENT), "rid": base + places, "doc_id": np.array(list(ids), object), "tokens": np.frombuffer(at, np.int64)})
+    # Columns that a kind of row doesn't have are 0 there, or null for doc_id: neither sums nor maxima mind.
+    none = {c: np.float64(0) if kind == "double" else None if kind == "string" else np.int64(0) for c, kind in (x.split() for x in JUDGED.split(", "))}
+    return pd.DataFrame({c: np.concatenate([x[c] if c in x else np.full(len(x["rid"]), zero, object if zero is None else None) for x in out]) for c, zero in none.items()})
 
 
 def _others(rare: DataFrame, scorer: Scorer) -> DataFrame:
@@ -282,7 +286,9 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
         yield from Sender(vocabulary, shared.value, buckets)(batches)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _judge(pdf, shared.value, losses)
+        out = _judge(pdf, shared.value, losses)
+        release()
+        return out
 
     sent = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(send, "bucket int, base long, kind int, at binary, cells binary, ids array<string>")
     judged = staged(sent.groupBy("bucket").applyInPandas(judge, JUDGED), "lm-judged")
