@@ -87,18 +87,41 @@ TITLE_PHRASES = [
     (["sql injection"], "sql_injection"),
 ]
 TOKEN_SETS = [
-    ("unsafe deserial", "unsafe_deserialization"), ("insecure deserial", "unsafe_deserialization"), ("pickle deserial", "unsafe_deserialization"), ("pickle code execution", "unsafe_deserialization"),
-    ("server side request forgery", "ssrf"), ("ssrf", "ssrf"),
-    ("otp missing authentication", "otp_missing_authentication"), ("otp unauthenticated", "otp_missing_authentication"),
-    ("otp rate limit", "otp_missing_rate_limit"), ("otp brute force", "otp_missing_rate_limit"),
-    ("otp plain storage", "otp_plaintext_storage"),
-    ("otp exposure", "otp_exposure"), ("otp disclosure", "otp_exposure"), ("otp exposed", "otp_exposure"), ("otp api response", "otp_exposure"),
-    ("otp weak random", "otp_weak_randomness"), ("otp predictable", "otp_weak_randomness"), ("otp non cryptographic", "otp_weak_randomness"), ("otp random function", "otp_weak_randomness"),
-    ("otp random generator", "otp_weak_randomness"), ("otp random module", "otp_weak_randomness"), ("otp generated random", "otp_weak_randomness"), ("weak random otp", "otp_weak_randomness"),
-    ("non cryptographic otp", "otp_weak_randomness"),
-    ("otp expiry", "otp_lifecycle"), ("otp reuse", "otp_lifecycle"),
-    ("default admin credential", "insecure_default_credentials"), ("default admin password", "insecure_default_credentials"),
+    (["unsafe", "deserial"], "unsafe_deserialization"),
+    (["insecure", "deserial"], "unsafe_deserialization"),
+    (["pickle", "deserial"], "unsafe_deserialization"),
+    (["pickle", "code", "execution"], "unsafe_deserialization"),
+    (["server", "side", "request", "forgery"], "ssrf"),
+    (["ssrf"], "ssrf"),
+    (["otp", "missing", "authentication"], "otp_missing_authentication"),
+    (["otp", "unauthenticated"], "otp_missing_authentication"),
+    (["otp", "rate", "limit"], "otp_missing_rate_limit"),
+    (["otp", "brute", "force"], "otp_missing_rate_limit"),
+    (["otp", "plain", "storage"], "otp_plaintext_storage"),
+    (["otp", "exposure"], "otp_exposure"),
+    (["otp", "disclosure"], "otp_exposure"),
+    (["otp", "exposed"], "otp_exposure"),
+    (["otp", "api", "response"], "otp_exposure"),
+    (["otp", "weak", "random"], "otp_weak_randomness"),
+    (["otp", "predictable"], "otp_weak_randomness"),
+    (["otp", "non", "cryptographic"], "otp_weak_randomness"),
+    (["otp", "random", "function"], "otp_weak_randomness"),
+    (["otp", "random", "generator"], "otp_weak_randomness"),
+    (["otp", "random", "module"], "otp_weak_randomness"),
+    (["otp", "generated", "random"], "otp_weak_randomness"),
+    (["weak", "random", "otp"], "otp_weak_randomness"),
+    (["non", "cryptographic", "otp"], "otp_weak_randomness"),
+    (["otp", "expiry"], "otp_lifecycle"),
+    (["otp", "reuse"], "otp_lifecycle"),
+    (["default", "admin", "credential"], "insecure_default_credentials"),
+    (["default", "admin", "password"], "insecure_default_credentials"),
 ]
+# Words of contextual claims. Fixed values.
+PASSWORD_WORDS = ["credential", "password", "passwords"]
+HASH_WORDS = ["hash", "hashed", "hashing", "hashlib", "md5", "sha1"]
+OTP_WORDS = ["one", "time", "password"]
+WEAK_WORDS = ["randint", "predictable"]
+WEAK_PAIRS = [["pseudo", "random"], ["non", "cryptographic", "random"], ["weak", "random"], ["insecure", "random"]]
 
 
 def bound(x: Column, f) -> Column:
@@ -117,16 +140,20 @@ def claim_from_title(title: Column) -> Column:
     return bound(F.lower(title), lambda t: _first_of(TITLE_PHRASES, lambda words: F.exists(words, lambda w: F.contains(t, w))))
 
 
-def _has_all(tokens: Column, words: str) -> Column:
-    return F.size(F.array_except(F.array(*[F.lit(w) for w in words.split()]), tokens)) == 0
+def _has_all(tokens: Column, words: list[str]) -> Column:
+    return F.size(F.array_except(F.array(*[F.lit(w) for w in words]), tokens)) == 0
+
+
+def identifier(text: Column) -> Column:
+    """Lower case, each run of other characters than letters and digits one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def normalize_claim(claim: Column, title: Column) -> Column:
     """snake case, aliases, token sets, then the title where the claim says nothing in particular."""
     source = F.coalesce(F.nullif(F.trim(claim), F.lit("")), title)
-    snake = F.regexp_replace(F.regexp_replace(F.lower(source), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    sets = [(words.split(), c) for words, c in TOKEN_SETS]
-    by_tokens = lambda a: bound(F.split(a, "_"), lambda tokens: _first_of(sets, lambda words: F.size(F.array_except(words, tokens)) == 0))
+    snake = identifier(source)
+    by_tokens = lambda a: bound(F.split(a, "_"), lambda tokens: _first_of(TOKEN_SETS, lambda words: F.size(F.array_except(words, tokens)) == 0))
     aliased = bound(F.coalesce(F.nullif(snake, F.lit("")), F.lit("review_finding")), lambda p: F.coalesce(lookup(ALIASES, p), p))
     return bound(aliased, lambda a: F.coalesce(by_tokens(a), F.when(a.isin(GENERIC_CLAIMS), claim_from_title(title)), a))
 
@@ -134,10 +161,12 @@ def normalize_claim(claim: Column, title: Column) -> Column:
 def contextual_claim(claim: Column, context: Column) -> Column:
     """broad claims that their context makes precise."""
     tokens = F.regexp_extract_all(F.lower(context), F.lit("[a-z0-9]+"), F.lit(0))
-    some = lambda words: F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words.split()]))
-    hashes = some("credential password passwords") & some("hash hashed hashing hashlib md5 sha1")
-    otp = some("otp") | _has_all(tokens, "one time password")
-    weak = some("randint predictable") | _has_all(tokens, "pseudo random") | _has_all(tokens, "non cryptographic random") | (some("weak insecure") & some("random"))
+    some = lambda words: F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+    hashes = some(PASSWORD_WORDS) & some(HASH_WORDS)
+    otp = some(["otp"]) | _has_all(tokens, OTP_WORDS)
+    weak = some(WEAK_WORDS)
+    for words in WEAK_PAIRS:
+        weak = weak | _has_all(tokens, words)
     return first_match(
         [
             ((claim == "insecure_default_credentials") & (claim_from_title(context) == "hardcoded_secret"), "hardcoded_secret"),
@@ -159,18 +188,26 @@ def finding_key(category: Column, claim: Column, title: Column, rule_id: Column
     plain = bound(normalize_claim(claim, title), lambda c: F.concat_ws(":", F.lower(F.trim(F.coalesce(lookup(CATEGORY_OVERRIDES, c), category))), c))
     if rule_id is None:
         return plain
-    rule = F.trim(rule_id)
-    return F.when(rule.isNotNull() & (rule != ""), F.concat(F.lit("roadmap:"), F.lower(rule))).otherwise(plain)
+    return F.when(F.coalesce(F.trim(rule_id), F.lit("")) != "", F.concat(F.lit("roadmap:"), identifier(rule_id))).otherwise(plain)
+
+
+def issue_rule(raw: Column, source: Column) -> Column:
+    """the roadmap rule of a knowledge-base issue; null for others. raw: JSON text."""
+    return F.when(source == "KB", F.nullif(F.trim(F.get_json_object(raw, "$.probe_review.rule_id")), F.lit("")))
+
+
+def issue_context(title: Column, description: Column, suggestion: Column, code: Column) -> Column:
+    """what a broad claim is read in."""
+    return F.concat_ws("\n", title, description, suggestion, code)
 
 
 def issue_claim(raw: Column, source: Column, title: Column, context: Column) -> Column:
-    """rule, probe, claim, stored key, title, source and rule, title: the first that there is. raw: JSON text."""
-    get = lambda path: F.nullif(F.trim(F.get_json_object(raw, f"$.{path}")), F.lit(""))
-    rule = F.coalesce(get("test_id"), get("rule_id"), get("ruleId"), get("code"))
-    stored = get("finding_key")
+    """rule, probe, claim, stored key: the first that there is, even if it is blank; if that is blank, or there is none, the title,
+    source and rule, or the whole title. raw: JSON text."""
+    get = lambda path: F.get_json_object(raw, f"$.{path}")
+    rule = F.coalesce(*[F.nullif(F.trim(get(x)), F.lit("")) for x in ("test_id", "rule_id", "ruleId", "code")])
+    stored = F.nullif(F.trim(get("finding_key")), F.lit(""))
     stored = F.when(F.contains(stored, F.lit(":")), F.regexp_replace(stored, "^[^:]*:", "")).otherwise(stored)
-    claim = F.coalesce(
-        lookup(RULE_CLAIMS, F.upper(rule)), lookup(PROBE_CLAIMS, get("probe_review.probe_id")), get("probe_review.claim_type"), get("claim_type"), stored, claim_from_title(title),
-        F.when(rule.isNotNull(), F.concat_ws("_", source, rule)), title,
-    )
+    given = F.coalesce(lookup(RULE_CLAIMS, F.upper(rule)), lookup(PROBE_CLAIMS, get("probe_review.probe_id")), get("probe_review.claim_type"), get("claim_type"), stored)
+    claim = F.coalesce(F.nullif(given, F.lit("")), claim_from_title(title), F.when(rule.isNotNull(), F.concat_ws("_", source, rule)), title)
     return bound(normalize_claim(claim, title), lambda c: contextual_claim(c, context))

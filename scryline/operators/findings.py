@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scryline.functions.claims import finding_key
 from scryline.functions.scalars import AI_SOURCES, SEVERITIES, report_priority, severity_order, severity_rank, source_order
 from scryline.functions.text import normalize_path
 
@@ -23,6 +24,14 @@ def merge_ranges(rows: DataFrame, keys: list[str], start: str = "line_start", en
     return rows.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
 
 
+def with_finding_key(issues: DataFrame, category: str, claim: str, title: str, rule_id: str | None = None, out: str = "finding_key") -> DataFrame:
+    """issues with their finding key. A key is long to compute, so it is computed once for each different input and joined back."""
+    columns = list(dict.fromkeys(c for c in (category, claim, title, rule_id) if c))
+    key = finding_key(F.col(category), F.col(claim), F.col(title), F.col(rule_id) if rule_id else None)
+    keyed = issues.select(*columns).distinct().select(F.struct(*columns).alias("_of"), key.alias(out))
+    return issues.join(keyed, F.struct(*[issues[c] for c in columns]).eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def representative_key(rich: Column | None = None) -> Column:
     """The order in which rows represent their group: severity, rich evidence, source, confidence (null last), id."""
     return F.struct(
@@ -32,7 +41,7 @@ def representative_key(rich: Column | None = None) -> Column:
 
 
 def representatives(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """For each group its representative's columns; one hash aggregation of the least key, no sort."""
+    """For each group its representative's columns; one aggregation of the least key, combined before the shuffle."""
     best = rows.groupBy(*keys).agg(F.min(F.struct(representative_key().alias("k"), *columns)).alias("b"))
     return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in columns])
 

@@ -12,6 +12,8 @@ from scryline.functions.scalars import version_satisfies
 def _checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scryline-"))
     return df.checkpoint()
 

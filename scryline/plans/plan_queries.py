@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scryline.operators import review_plan
 from scryline.plans.adapters import duck_with, table, view
 
-RISK = "CASE l_partkey % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'api' WHEN 2 THEN 'database' WHEN 3 THEN 'config' ELSE 'general' END"
+RISK = "CASE l_partkey % 97 % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'api' WHEN 2 THEN 'database' WHEN 3 THEN 'config' ELSE 'general' END"
 
 
 def _chunks(spark, sf):
@@ -22,10 +22,10 @@ C_SQL = f"c AS (SELECT CASE l_suppkey % 4 WHEN 0 THEN 'src/auth/' WHEN 1 THEN 's
 def files_to_review(spark, sf):
     """P20, A09"""
     tree = spark.createDataFrame([("lib/README.md", False), ("middleware/x.py", True), ("lib/f1.py", True)], "path string, should_review boolean")
-    return review_plan.files_to_review(tree, _chunks(spark, sf).where("risk_area <> 'security' or chunk_index > 6"))
+    return review_plan.files_to_review(tree, _chunks(spark, sf))
 
 
-FILES_SQL = f"""WITH {C_SQL}, g AS (SELECT file_path, max(chunk_index + 1) AS n, list(DISTINCT risk_area) AS r FROM c WHERE risk_area <> 'security' OR chunk_index > 6 GROUP BY 1),
+FILES_SQL = f"""WITH {C_SQL}, g AS (SELECT file_path, max(chunk_index + 1) AS n, list(DISTINCT risk_area) AS r FROM c GROUP BY 1),
 f AS (SELECT file_path FROM g UNION SELECT 'middleware/x.py' UNION SELECT 'lib/f1.py'), x AS (SELECT f.file_path, coalesce(g.n, 0) AS total_chunks, coalesce(g.r, []) AS r, regexp_matches(f.file_path, '(^|/)(auth|security|crypto|middleware)(/|\\.|$)') AS s FROM f LEFT JOIN g USING (file_path))
 SELECT file_path, CASE WHEN list_has_any(r, ['security', 'api']) OR s THEN 'high' WHEN list_has_any(r, ['database', 'config']) THEN 'medium' ELSE 'low' END AS priority,
 CASE WHEN list_contains(r, 'security') OR s THEN 'security' WHEN list_contains(r, 'database') THEN 'database' WHEN list_contains(r, 'api') THEN 'api' WHEN list_contains(r, 'config') THEN 'config' ELSE 'general' END AS risk_area, CAST(total_chunks AS INT) AS total_chunks FROM x"""
@@ -54,15 +54,15 @@ SELECT reason, CASE reason WHEN 'risk_area:security' THEN 0 WHEN 'risk_path' THE
 
 def scenario_verdict(spark, sf):
     """A31"""
-    s = table(spark, sf, "lineitem").where("l_linenumber <= 3").select(
+    s = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("issue_id"), F.expr("CASE l_linenumber WHEN 1 THEN 'exploit' WHEN 2 THEN 'preserved_behavior' ELSE 'related_test' END").alias("kind"),
         F.expr("CASE WHEN l_partkey % 11 = 0 THEN 'skipped' WHEN l_linenumber = 1 AND l_partkey % 5 > 0 THEN 'failed' ELSE 'passed' END").alias("baseline_status"), F.expr("CASE WHEN l_suppkey % 7 = 0 THEN 'failed' ELSE 'passed' END").alias("patched_status"),
     )
     return review_plan.scenario_verdict(s)
 
 
-VERDICT_SQL = """WITH s AS (SELECT l_orderkey AS issue_id, l_linenumber AS k, CASE WHEN l_partkey % 11 = 0 THEN 'skipped' WHEN l_linenumber = 1 AND l_partkey % 5 > 0 THEN 'failed' ELSE 'passed' END AS b, CASE WHEN l_suppkey % 7 = 0 THEN 'failed' ELSE 'passed' END AS p FROM lineitem WHERE l_linenumber <= 3),
-g AS (SELECT issue_id, bool_or(b = 'skipped') OR NOT bool_or(k = 1) OR NOT bool_or(k = 2) OR bool_or(k = 1 AND b <> 'failed') OR bool_or(k = 2 AND b <> 'passed') AS u, bool_or(k <= 2 AND p <> 'passed') OR bool_or(k = 3 AND b = 'passed' AND p = 'failed') AS x FROM s GROUP BY issue_id)
+VERDICT_SQL = """WITH s AS (SELECT l_orderkey AS issue_id, l_linenumber AS k, CASE WHEN l_partkey % 11 = 0 THEN 'skipped' WHEN l_linenumber = 1 AND l_partkey % 5 > 0 THEN 'failed' ELSE 'passed' END AS b, CASE WHEN l_suppkey % 7 = 0 THEN 'failed' ELSE 'passed' END AS p FROM lineitem),
+g AS (SELECT issue_id, bool_or(b = 'skipped') OR NOT bool_or(k = 1) OR NOT bool_or(k = 2) OR bool_or(k = 1 AND b <> 'failed') OR bool_or(k = 2 AND b <> 'passed') AS u, bool_or(k <= 2 AND p <> 'passed') OR bool_or(k >= 3 AND b = 'passed' AND p = 'failed') AS x FROM s GROUP BY issue_id)
 SELECT issue_id, CASE WHEN u THEN 'uncertain' WHEN x THEN 'unresolved' ELSE 'fixed' END AS verdict FROM g"""
 
 

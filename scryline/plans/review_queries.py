@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from scryline.functions import claims, scalars
+from scryline.functions import scalars
 from scryline.functions.text import lookup
 from scryline.operators import chunking, findings, graph, greedy, ranges, reports, trace
-from scryline.plans.adapters import duck_with, table, view
+from scryline.plans.adapters import CATEGORY, CLAIM, duck_with, table, view
 from scryline.streaming import progress
 
 KEY_SQL = """CASE c WHEN 'SQL Injection' THEN 'security:sql_injection' WHEN 'hardcoded_secret' THEN 'security:hardcoded_secret' WHEN 'n_1_query' THEN 'performance:n_plus_one_query' WHEN 'otp_leakage' THEN category || ':otp_exposure'
@@ -21,16 +19,20 @@ REP_ORDER = f"{SEV}, {SRC}, -coalesce(confidence, -1.0), issue_id"
 
 
 def issues(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "v_issues")
-    return v.withColumn("finding_key", claims.finding_key(F.col("category"), F.col("claim"), F.col("claim")))
+    return findings.with_finding_key(view(spark, sf, "v_issues"), "category", "claim", "claim")
+
+
+RULES = "CASE l_partkey % 3 WHEN 0 THEN concat(' RC-W', CAST(l_partkey % 5 AS STRING), '-16 ') WHEN 1 THEN ' ' END"
 
 
 def claim_normalize(spark, sf):
-    """F09, F12, F14"""
-    return issues(spark, sf).groupBy("claim", "category", "finding_key").agg(F.count("*").alias("n"))
+    """every issue's key, with the rule of its part where there is one."""
+    v = table(spark, sf, "lineitem").select(F.expr(CATEGORY).alias("category"), F.expr(CLAIM).alias("claim"), F.expr(RULES).alias("rule_id"))
+    return findings.with_finding_key(v, "category", "claim", "claim", "rule_id").groupBy("claim", "category", "rule_id", "finding_key").agg(F.count("*").alias("n"))
 
 
-CLAIM_SQL = I_SQL + " SELECT claim, category, finding_key, count(*) AS n FROM i GROUP BY ALL"
+CLAIM_SQL = f"""WITH i AS (SELECT {CATEGORY} AS category, {CLAIM} AS claim, {RULES.replace('STRING', 'VARCHAR')} AS rule_id FROM lineitem)
+SELECT claim, category, rule_id, CASE WHEN trim(coalesce(rule_id, '')) <> '' THEN 'roadmap:' || replace(lower(trim(rule_id)), '-', '_') ELSE {KEY_SQL.replace('CASE c', 'CASE claim')} END AS finding_key, count(*) AS n FROM i GROUP BY ALL"""
 
 
 def occurrence_merge(spark, sf):
@@ -138,16 +140,16 @@ def _pieces(spark, sf):
 
 
 def range_covered(spark, sf):
-    """Are lines 20 to 60 of each file covered by its issues?"""
+    """Are the seven lines from two after a file's first issue covered by its issues?"""
     p = _pieces(spark, sf)
-    t = p.select("job_id", "file_path").distinct().select("job_id", "file_path", F.concat_ws(":", F.col("job_id").cast("string"), "file_path").alias("target"), F.lit(20).alias("a"), F.lit(60).alias("b"))
+    t = p.groupBy("job_id", "file_path").agg((F.min("line_start") + 2).alias("a")).select("job_id", "file_path", F.concat_ws(":", F.col("job_id").cast("string"), "file_path").alias("target"), "a", (F.col("a") + 6).alias("b"))
     return ranges.covered(t, p, ["job_id", "file_path"], "target")
 
 
 COVERED_SQL = duck_with("v_issues") + """,
-t AS (SELECT DISTINCT job_id || ':' || file_path AS target, job_id, file_path FROM v_issues),
-p AS (SELECT job_id || ':' || file_path AS target, line_start, line_end FROM v_issues WHERE line_start <= 60 AND line_end >= 20),
-l AS (SELECT t.target, u.n FROM t, (SELECT unnest(range(20, 61)) AS n) u),
+t AS (SELECT job_id || ':' || file_path AS target, min(line_start) + 2 AS a FROM v_issues GROUP BY job_id, file_path),
+p AS (SELECT job_id || ':' || file_path AS target, line_start, line_end FROM v_issues),
+l AS (SELECT target, unnest(range(a, a + 7)) AS n FROM t),
 c AS (SELECT l.target, l.n, bool_or(p.target IS NOT NULL) AS hit FROM l LEFT JOIN p ON p.target = l.target AND l.n BETWEEN p.line_start AND p.line_end GROUP BY ALL)
 SELECT target, bool_and(hit) AS covered FROM c GROUP BY target"""
 
@@ -173,14 +175,14 @@ def overlap_join(spark, sf):
 OVERLAP_SQL = duck_with("v_issues") + " SELECT q.issue_id AS query_id, count(*) AS n FROM v_issues q JOIN v_issues p USING (job_id, file_path) WHERE q.severity = 'high' AND p.issue_id <> q.issue_id AND p.line_start <= q.line_end AND p.line_end >= q.line_start GROUP BY 1"
 
 
-def overlap_bucketed(spark, sf, jobs="job_id <= 20"):
+def overlap_bucketed(spark, sf):
     """J02 by cells of lines: the same question over whole files, whatever the job."""
     p = _pieces(spark, sf)
-    q = p.where("severity = 'critical'").where(jobs).select("file_path", F.col("issue_id").alias("query_id"), F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
+    q = p.where("severity = 'critical'").select("file_path", F.col("issue_id").alias("query_id"), F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
     return ranges.bucketed_overlap(q, p.select("file_path", "issue_id", "line_start", "line_end"), ["file_path"], 16).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-BUCKETED_SQL = duck_with("v_issues") + " SELECT q.issue_id AS query_id, count(*) AS n FROM v_issues q JOIN v_issues p USING (file_path) WHERE q.severity = 'critical' AND q.job_id <= 20 AND p.line_start <= q.line_end AND p.line_end >= q.line_start GROUP BY 1"
+BUCKETED_SQL = duck_with("v_issues") + " SELECT q.issue_id AS query_id, count(*) AS n FROM v_issues q JOIN v_issues p USING (file_path) WHERE q.severity = 'critical' AND p.line_start <= q.line_end AND p.line_end >= q.line_start GROUP BY 1"
 
 
 def _windows(spark, sf):
@@ -193,34 +195,34 @@ w2 AS (SELECT file_path, doc_id, l, unnest(range(1, greatest(len(l) - 10, 1) + 1
 w AS (SELECT file_path, doc_id * 1000 + (s - 1) // 50 AS chunk_index, s AS line_start, least(s + 59, len(l)) AS line_end, l[s:least(s + 59, len(l))] AS content FROM w2)"""
 
 
-def containment_first(spark, sf, jobs="job_id <= 10"):
-    """For issues of ten jobs, the first chunk of their file that holds their first line."""
-    q = _pieces(spark, sf).where(jobs).select("file_path", "issue_id", "line_start").withColumnRenamed("line_start", "line")
+def containment_first(spark, sf):
+    """The first chunk of their file that holds the first line of each issue."""
+    q = _pieces(spark, sf).select("file_path", "issue_id", "line_start").withColumnRenamed("line_start", "line")
     return ranges.first_containing(q, _windows(spark, sf).drop("content"), ["file_path"], "issue_id", "line", ["line_start", "line_end"])
 
 
-FIRST_SQL = duck_with("v_issues") + f", {WINDOWS_SQL}, h AS (SELECT i.issue_id, w.chunk_index, w.line_start, w.line_end, row_number() OVER (PARTITION BY i.issue_id ORDER BY w.chunk_index) AS k FROM v_issues i JOIN w ON w.file_path = i.file_path AND i.line_start BETWEEN w.line_start AND w.line_end WHERE i.job_id <= 10) SELECT issue_id, chunk_index, CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end FROM h WHERE k = 1"
+FIRST_SQL = duck_with("v_issues") + f", {WINDOWS_SQL}, h AS (SELECT i.issue_id, w.chunk_index, w.line_start, w.line_end, row_number() OVER (PARTITION BY i.issue_id ORDER BY w.chunk_index) AS k FROM v_issues i JOIN w ON w.file_path = i.file_path AND i.line_start BETWEEN w.line_start AND w.line_end) SELECT issue_id, chunk_index, CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end FROM h WHERE k = 1"
 
 
-def static_semi(spark, sf, jobs="job_id <= 5"):
+def static_semi(spark, sf):
     """Chunks that a critical security issue touches; issues of job 3 count for all files."""
-    i = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security'").where(jobs).select(F.when(F.col("job_id") != 3, F.col("file_path")).alias("file_path"), "line_start", "line_end")
+    i = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security'").select(F.when(F.col("job_id") != 3, F.col("file_path")).alias("file_path"), "line_start", "line_end")
     return ranges.with_static_issues(_windows(spark, sf).drop("content"), i, "chunk_index").select("chunk_index")
 
 
-STATIC_SQL = duck_with("v_issues") + f", {WINDOWS_SQL} SELECT DISTINCT w.chunk_index FROM w WHERE EXISTS (SELECT 1 FROM v_issues i WHERE i.severity = 'critical' AND i.category = 'security' AND i.job_id <= 5 AND (i.job_id = 3 OR i.file_path = w.file_path) AND w.line_start <= i.line_end AND w.line_end >= i.line_start)"
+STATIC_SQL = duck_with("v_issues") + f", {WINDOWS_SQL} SELECT DISTINCT w.chunk_index FROM w WHERE EXISTS (SELECT 1 FROM v_issues i WHERE i.severity = 'critical' AND i.category = 'security' AND (i.job_id = 3 OR i.file_path = w.file_path) AND w.line_start <= i.line_end AND w.line_end >= i.line_start)"
 
 
-def source_snippet(spark, sf, chunks="chunk_index < 50000", some="job_id <= 3 and line_start <= 30"):
-    """The lines around issues of three jobs out of the chunks of document 0 to 49's files."""
-    w = _windows(spark, sf).where(chunks)
-    q = _pieces(spark, sf).where(some).select("file_path", "issue_id", F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
+def source_snippet(spark, sf):
+    """The lines around each issue, out of the chunks of its file."""
+    w = _windows(spark, sf)
+    q = _pieces(spark, sf).select("file_path", "issue_id", F.col("line_start").alias("q_start"), F.col("line_end").alias("q_end"))
     return ranges.snippet(w, q, ["file_path"], "issue_id").select("issue_id", F.col("first_line").cast("long").alias("first_line"), F.md5("snippet").alias("snippet_md5"))
 
 
 SNIPPET_SQL = duck_with("v_issues") + f""", {WINDOWS_SQL},
-q AS (SELECT issue_id, file_path, greatest(line_start - 3, 1) AS a, line_end + 3 AS b FROM v_issues WHERE job_id <= 3 AND line_start <= 30),
-x AS (SELECT q.issue_id, q.a, q.b, w.chunk_index, w.line_start AS s, unnest(w.content) AS t, generate_subscripts(w.content, 1) + w.line_start - 1 AS n FROM q JOIN w ON w.file_path = q.file_path AND w.line_start <= q.b AND w.line_end >= q.a WHERE w.chunk_index < 50000),
+q AS (SELECT issue_id, file_path, greatest(line_start - 3, 1) AS a, line_end + 3 AS b FROM v_issues),
+x AS (SELECT q.issue_id, q.a, q.b, w.chunk_index, w.line_start AS s, unnest(w.content) AS t, generate_subscripts(w.content, 1) + w.line_start - 1 AS n FROM q JOIN w ON w.file_path = q.file_path AND w.line_start <= q.b AND w.line_end >= q.a),
 y AS (SELECT issue_id, n, arg_max(t, chunk_index) AS t FROM x WHERE n BETWEEN a AND b GROUP BY ALL),
 z AS (SELECT issue_id, min(n) AS lo, max(n) AS hi FROM y GROUP BY issue_id),
 f AS (SELECT z.issue_id, z.lo, u.n FROM z, unnest(range(z.lo, z.hi + 1)) AS u(n))
@@ -243,12 +245,12 @@ c AS (SELECT count(*) AS expected, count(r.user_id) AS reviewed FROM e LEFT JOIN
 
 
 def coverage_anti(spark, sf):
-    """The first 25 users that purchased and never clicked on an even event."""
-    e = _events(spark, sf)
-    return ranges.missing(e.where("event_type = 'purchase'").select("user_id"), e.where("event_type = 'click' and event_id % 2 = 0").select("user_id"), ["user_id"])
+    """The first 25 users and days with a purchase and without a click."""
+    e = _events(spark, sf).withColumn("day", F.dayofyear("ts"))
+    return ranges.missing(e.where("event_type = 'purchase'").select("user_id", "day"), e.where("event_type = 'click'").select("user_id", "day"), ["user_id", "day"])
 
 
-ANTI_SQL = "SELECT DISTINCT user_id FROM events p WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = p.user_id AND c.event_type = 'click' AND c.event_id % 2 = 0) ORDER BY user_id LIMIT 25"
+ANTI_SQL = "WITH e AS (SELECT user_id, event_type, CAST(dayofyear(ts) AS INT) AS day FROM events) SELECT DISTINCT user_id, day FROM e p WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM e c WHERE c.user_id = p.user_id AND c.day = p.day AND c.event_type = 'click') ORDER BY user_id, day LIMIT 25"
 
 
 def latest_status(spark, sf):
@@ -300,18 +302,10 @@ critical_count, high_count, total_findings, repos_reviewed, report_count FROM t,
 
 def codebase_health(spark, sf):
     """A22"""
-    return reports.codebase_health(view(spark, sf, "v_repos"), _reports(spark, sf).where("critical_count < 0"))
-
-
-HEALTH_SQL = duck_with("v_repos") + " SELECT greatest(0, least(100, 100 - floor((1 - count(last_reviewed) / count(*)) * 20 + 0.5)))::BIGINT AS score, 'unknown' AS status, count(last_reviewed) AS repos_reviewed, count(*) AS repositories FROM v_repos"
-
-
-def codebase_health_reports(spark, sf):
-    """A22 with every report."""
     return reports.codebase_health(view(spark, sf, "v_repos"), _reports(spark, sf))
 
 
-HEALTH_REPORTS_SQL = duck_with("v_issues", "v_repos") + f""", {REPORTS_CTE},
+HEALTH_SQL = duck_with("v_issues", "v_repos") + f""", {REPORTS_CTE},
 t AS (SELECT count(*) AS n, coalesce(sum(critical_count), 0) AS c, coalesce(sum(high_count), 0) AS h, coalesce(sum(medium_count), 0) AS m, coalesce(sum(low_count), 0) AS l FROM rp),
 v AS (SELECT count(last_reviewed) AS reviewed, count(*) AS n FROM v_repos),
 s AS (SELECT t.*, v.reviewed, v.n AS repositories, greatest(0, least(100, 100 - CASE WHEN v.n > 0 THEN floor((1 - v.reviewed / v.n) * 20 + 0.5) ELSE 0 END - c * 15 - h * 8 - m * 3 - l))::BIGINT AS score FROM t, v)
@@ -330,12 +324,12 @@ SELECT (SELECT count(*) FROM v_jobs) AS jobs, (SELECT count(*) FROM v_jobs WHERE
 CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'stable' END AS trend, 'View active reviews' AS label FROM n"""
 
 
-def needs_attention(spark, sf, jobs="job_id % 40 = 0"):
+def needs_attention(spark, sf):
     """O12"""
-    return reports.needs_attention(view(spark, sf, "v_jobs"), _reports(spark, sf).where(jobs), findings.top_risky_files(issues(spark, sf), ["job_id"], 1), 3, limit=9)
+    return reports.needs_attention(view(spark, sf, "v_jobs"), _reports(spark, sf), findings.top_risky_files(issues(spark, sf), ["job_id"], 1), 3, limit=9)
 
 
-ATTENTION_SQL = duck_with("v_issues", "v_jobs") + f""", {RISKY}, {REPORTS_CTE}, r4 AS (SELECT * FROM rp WHERE job_id % 40 = 0),
+ATTENTION_SQL = duck_with("v_issues", "v_jobs") + f""", {RISKY}, {REPORTS_CTE}, r4 AS (SELECT * FROM rp),
 a AS (SELECT 1 AS section, row_number() OVER (ORDER BY critical_count DESC, created_on DESC, job_id) AS place, 'critical' AS tone, CAST(job_id AS VARCHAR) AS key, critical_count AS count FROM r4 WHERE critical_count > 0),
 b AS (SELECT 2, row_number() OVER (ORDER BY high_count DESC, created_on DESC, job_id), 'high', CAST(job_id AS VARCHAR), high_count FROM r4 WHERE high_count > 0),
 c AS (SELECT 3, row_number() OVER (ORDER BY coalesce(completed_on, created_on) DESC, id), 'failed', CAST(id AS VARCHAR), NULL FROM v_jobs WHERE status = 'FAILED'),
@@ -392,29 +386,32 @@ SELECT 'r' AS run, round(avg(CASE WHEN coalesce(rank, 99) <= 5 THEN 1.0 ELSE 0.0
 CAST(max(CASE WHEN k = round_even((n - 1) * 50 / 100.0, 0) THEN ms END) AS BIGINT) AS p50, CAST(max(CASE WHEN k = round_even((n - 1) * 95 / 100.0, 0) THEN ms END) AS BIGINT) AS p95 FROM x"""
 
 
-def expected_match(spark, sf, found="job_id between 1 and 10", expected="job_id = 11"):
-    """Findings of a few jobs against the expected ones of another."""
+EXPECTED = "severity = 'high' and job_id % 50 = 0"
+
+
+def expected_match(spark, sf):
+    """All findings against the expected ones of every fiftieth job."""
     v = issues(spark, sf)
-    f = v.where(found).select(F.col("issue_id").alias("finding_id"), F.col("finding_key").alias("probe_id"), "file_path", "line_start", "line_end", F.col("claim").alias("claim_type"), "category", F.array().cast("array<struct<file_path:string,line_start:int,line_end:int>>").alias("evidence"))
-    e = v.where("severity = 'high'").where(expected).select(F.col("issue_id").alias("expected_id"), F.array("finding_key", F.lit("other")).alias("expected_probes"), F.regexp_replace("file_path", "^src/", "").alias("file_path"), "line_start", "line_end", F.when(F.col("line_start") % 2 == 0, F.col("claim")).alias("claim_type"), "category")
+    f = v.select(F.col("issue_id").alias("finding_id"), F.col("finding_key").alias("probe_id"), "file_path", "line_start", "line_end", F.col("claim").alias("claim_type"), "category", F.array().cast("array<struct<file_path:string,line_start:int,line_end:int>>").alias("evidence"))
+    e = v.where(EXPECTED).select(F.col("issue_id").alias("expected_id"), F.array("finding_key", F.lit("other")).alias("expected_probes"), F.regexp_replace("file_path", "^src/", "").alias("file_path"), "line_start", "line_end", F.when(F.col("line_start") % 2 == 0, F.col("claim")).alias("claim_type"), "category")
     return trace.finding_matches(f, e)
 
 
 EXPECTED_SQL = I_SQL + """ SELECT DISTINCT f.issue_id AS finding_id, e.issue_id AS expected_id FROM i f JOIN i e ON f.finding_key = e.finding_key AND f.category = e.category AND f.file_path = e.file_path AND f.line_start <= e.line_end AND f.line_end >= e.line_start
-WHERE f.job_id BETWEEN 1 AND 10 AND e.job_id = 11 AND e.severity = 'high' AND (e.line_start % 2 = 1 OR f.claim = e.claim)"""
+WHERE e.job_id % 50 = 0 AND e.severity = 'high' AND (e.line_start % 2 = 1 OR f.claim = e.claim)"""
 
 
-def evaluation(spark, sf, found="job_id between 1 and 10", expected="job_id = 11", scope="job_id = 1"):
+def evaluation(spark, sf):
     """A16, A17, U05"""
-    m = expected_match(spark, sf, found, expected)
+    m = expected_match(spark, sf)
     v = issues(spark, sf)
-    f = v.where(found).select(F.col("issue_id").alias("finding_id"))
-    e = v.where("severity = 'high'").where(expected).select(F.col("issue_id").alias("expected_id"))
-    return trace.evaluation(f, e, m, v.where("category = 'style'").where(scope).select(F.col("issue_id").alias("finding_id")))
+    f = v.select(F.col("issue_id").alias("finding_id"))
+    e = v.where(EXPECTED).select(F.col("issue_id").alias("expected_id"))
+    return trace.evaluation(f, e, m, v.where("category = 'style'").select(F.col("issue_id").alias("finding_id")))
 
 
-EVALUATION_SQL = I_SQL + f""", m AS ({EXPECTED_SQL[len(I_SQL):]}), f AS (SELECT DISTINCT issue_id AS id FROM i WHERE job_id BETWEEN 1 AND 10), u AS (SELECT finding_id AS id FROM m UNION SELECT issue_id FROM i WHERE job_id = 1 AND category = 'style'),
-p AS (SELECT expected_id, count(*) AS n FROM m GROUP BY 1), x AS (SELECT count(DISTINCT issue_id) AS expected FROM i WHERE job_id = 11 AND severity = 'high')
+EVALUATION_SQL = I_SQL + f""", m AS ({EXPECTED_SQL[len(I_SQL):]}), f AS (SELECT DISTINCT issue_id AS id FROM i), u AS (SELECT finding_id AS id FROM m UNION SELECT issue_id FROM i WHERE category = 'style'),
+p AS (SELECT expected_id, count(*) AS n FROM m GROUP BY 1), x AS (SELECT count(DISTINCT issue_id) AS expected FROM i WHERE job_id % 50 = 0 AND severity = 'high')
 SELECT x.expected, (SELECT count(*) FROM p) AS found, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM p) AS duplicates, (SELECT count(*) FROM f WHERE id NOT IN (SELECT id FROM u)) AS out_of_scope, (SELECT count(*) FROM f) AS findings, CASE WHEN x.expected > 0 THEN round_even(CAST((SELECT count(*) FROM p) AS DOUBLE) / x.expected, 4) ELSE 0.0 END AS recall FROM x"""
 
 
@@ -471,15 +468,15 @@ def worst_status(spark, sf):
 WORST_SQL = duck_with("v_issues") + f" SELECT job_id, file_path, arg_min(severity, {SEV}) AS severity FROM v_issues GROUP BY ALL"
 
 
-def smart_chunk_plan(spark, sf, jobs="job_id <= 10"):
+def smart_chunk_plan(spark, sf):
     """W07, A10"""
     c = view(spark, sf, "v_issues").groupBy("job_id", "file_path", F.col("line_start").alias("chunk_index")).agg(F.min(scalars.severity_order(F.col("severity"))).alias("s"))
-    c = c.where(jobs).select("job_id", "file_path", "chunk_index", F.when(F.col("s") <= 1, F.col("s")).alias("reason_rank"), F.col("s").alias("fallback_rank"))
+    c = c.select("job_id", "file_path", "chunk_index", F.when(F.col("s") <= 1, F.col("s")).alias("reason_rank"), F.col("s").alias("fallback_rank"))
     return greedy.smart_plan(c, 12, per_file=2, files=14).select("job_id", "file_path", "chunk_index", "why")
 
 
 SMART_SQL = duck_with("v_issues") + f""",
-c AS (SELECT job_id, file_path, line_start AS chunk_index, min({SEV}) AS s FROM v_issues WHERE job_id <= 10 GROUP BY ALL), d AS (SELECT *, CASE WHEN s <= 1 THEN s END AS rr, count(*) OVER (PARTITION BY job_id) <= 12 AS fits FROM c),
+c AS (SELECT job_id, file_path, line_start AS chunk_index, min({SEV}) AS s FROM v_issues GROUP BY ALL), d AS (SELECT *, CASE WHEN s <= 1 THEN s END AS rr, count(*) OVER (PARTITION BY job_id) <= 12 AS fits FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY job_id, file_path ORDER BY rr NULLS LAST, chunk_index) AS f FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY rr, file_path, chunk_index) AS k FROM f WHERE rr IS NOT NULL AND f <= 2 QUALIFY k <= 12),
 nf AS (SELECT job_id, count(DISTINCT file_path) AS n FROM r GROUP BY job_id),
 b AS (SELECT *, row_number() OVER (PARTITION BY job_id, file_path ORDER BY s, chunk_index) AS g FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.job_id = d.job_id AND r.file_path = d.file_path) QUALIFY g = 1),
@@ -504,26 +501,26 @@ n AS (SELECT *, row_number() OVER (PARTITION BY job_id, category, source = 'band
 SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY phase, CASE WHEN phase < 3 THEN b END NULLS LAST, CASE WHEN phase < 3 THEN place END NULLS LAST, rank DESC, confidence DESC, category DESC, file_path DESC, issue_id DESC) AS INT) AS seat, CAST(phase AS INT) AS phase, issue_id FROM f QUALIFY seat <= 30"""
 
 
-def audit_bundles(spark, sf, jobs="job_id <= 10"):
+def audit_bundles(spark, sf):
     """W22"""
-    v = view(spark, sf, "v_issues").where(jobs)
+    v = view(spark, sf, "v_issues")
     c = v.select("job_id", "file_path", F.col("line_start").alias("chunk_index")).distinct()
     return greedy.audit_bundles(c, v.where("severity = 'critical'").select("job_id", "file_path", F.col("line_start").alias("chunk_index"))).select("job_id", "bundle_id", "file_path", "chunk_index")
 
 
-AUDIT_SQL = duck_with("v_issues") + """, c AS (SELECT DISTINCT job_id, file_path, line_start AS chunk_index FROM v_issues WHERE job_id <= 10), a AS (SELECT DISTINCT job_id, file_path, line_start AS chunk_index FROM v_issues WHERE job_id <= 10 AND severity = 'critical'),
+AUDIT_SQL = duck_with("v_issues") + """, c AS (SELECT DISTINCT job_id, file_path, line_start AS chunk_index FROM v_issues), a AS (SELECT DISTINCT job_id, file_path, line_start AS chunk_index FROM v_issues WHERE severity = 'critical'),
 l AS (SELECT c.*, row_number() OVER (PARTITION BY job_id, file_path ORDER BY chunk_index) AS k FROM c ANTI JOIN a USING (job_id, file_path, chunk_index))
 SELECT job_id, 'coverage.full_audit.' || left(sha256(file_path), 12) || '.' || ((k - 1) // 6) AS bundle_id, file_path, chunk_index FROM l"""
 
 
-def components(spark, sf, lines="line_start % 11 = 0"):
+def components(spark, sf):
     """Suppliers that share a part's first issue are one component."""
-    m = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security'").where(lines).select("job_id", F.concat_ws(":", "file_path", F.col("line_start").cast("string")).alias("via"))
+    m = view(spark, sf, "v_issues").where("severity = 'critical' and category = 'security'").select("job_id", F.concat_ws(":", "file_path", F.col("line_start").cast("string")).alias("via"))
     return graph.shared_components(m, "job_id", "via")
 
 
 COMPONENTS_SQL = duck_with("v_issues").replace("WITH ", "WITH RECURSIVE ", 1) + """,
-m AS (SELECT DISTINCT job_id, file_path || ':' || line_start AS via FROM v_issues WHERE severity = 'critical' AND category = 'security' AND line_start % 11 = 0),
+m AS (SELECT DISTINCT job_id, file_path || ':' || line_start AS via FROM v_issues WHERE severity = 'critical' AND category = 'security'),
 e AS (SELECT DISTINCT a.job_id AS a, b.job_id AS b FROM m a JOIN m b USING (via)), w(node, reach) AS (SELECT a, b FROM e UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.reach)
 SELECT node AS job_id, min(reach) AS component FROM w GROUP BY node"""
 
@@ -550,7 +547,7 @@ x AS (SELECT user_id, min((ts, event_id)) AS last FROM e WHERE status IN ('COMPL
 
 
 def rate_limit(spark, sf):
-    """Five requests an hour and user; the window begins at its first request."""
+    """Here three requests a day and user; the window begins at its first request."""
     return progress.rate_limited(table(spark, sf, "events").select("user_id", "event_id", "ts"), limit=3, seconds=86_400).select("user_id", "event_id", "allowed", "retry_after")
 
 
@@ -595,7 +592,6 @@ QUERIES = {
     "expired_jobs": (expired_jobs, EXPIRED_SQL),
     "risk_posture": (risk_posture, POSTURE_SQL),
     "codebase_health": (codebase_health, HEALTH_SQL),
-    "codebase_health_reports": (codebase_health_reports, HEALTH_REPORTS_SQL),
     "quick_stats": (quick_stats, STATS_SQL),
     "needs_attention": (needs_attention, ATTENTION_SQL),
     "timeline": (timeline, TIMELINE_SQL),
@@ -620,28 +616,3 @@ QUERIES = {
     "review_progress": (review_progress, PROGRESS_SQL),
 }
 
-
-def _without(sql: str, *filters: str) -> str:
-    """The SQL of a query without the filters of its id subset."""
-    for f in filters:
-        if f not in sql:
-            raise ValueError(f)
-        sql = sql.replace(f, "")
-    return sql
-
-
-_ALL_MATCHES = _without(EXPECTED_SQL, "f.job_id BETWEEN 1 AND 10 AND ", "e.job_id = 11 AND ")
-
-#: The queries above that look at some jobs, lines or chunks, over all of them.
-QUERIES |= {
-    "overlap_bucketed_all": (partial(overlap_bucketed, jobs="true"), _without(BUCKETED_SQL, " AND q.job_id <= 20")),
-    "containment_first_all": (partial(containment_first, jobs="true"), _without(FIRST_SQL, " WHERE i.job_id <= 10")),
-    "static_semi_all": (partial(static_semi, jobs="true"), _without(STATIC_SQL, " AND i.job_id <= 5")),
-    "source_snippet_all": (partial(source_snippet, chunks="true", some="true"), _without(SNIPPET_SQL, " WHERE job_id <= 3 AND line_start <= 30", " WHERE w.chunk_index < 50000")),
-    "needs_attention_all": (partial(needs_attention, jobs="true"), _without(ATTENTION_SQL, " WHERE job_id % 40 = 0")),
-    "expected_match_all": (partial(expected_match, found="true", expected="true"), _ALL_MATCHES),
-    "evaluation_all": (partial(evaluation, found="true", expected="true", scope="true"), _without(EVALUATION_SQL.replace(EXPECTED_SQL[len(I_SQL):], _ALL_MATCHES[len(I_SQL):]), " WHERE job_id BETWEEN 1 AND 10", "job_id = 1 AND ", "job_id = 11 AND ")),
-    "smart_chunk_plan_all": (partial(smart_chunk_plan, jobs="true"), _without(SMART_SQL, " WHERE job_id <= 10")),
-    "audit_bundles_all": (partial(audit_bundles, jobs="true"), _without(AUDIT_SQL, " WHERE job_id <= 10)", "job_id <= 10 AND ").replace("FROM v_issues, a AS", "FROM v_issues), a AS")),
-    "components_all": (partial(components, lines="true"), _without(COMPONENTS_SQL, " AND line_start % 11 = 0")),
-}

@@ -57,14 +57,14 @@ def bm25_postings(spark, sf):
 BM25_POSTINGS_SQL = f"WITH e AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM p GROUP BY term"
 
 
-def _knn(spark, sf, k, keep=None, queries=1):
+def _knn(spark, sf, k, keep=None, queries="doc % 50 = 0"):
     v = _vectors(spark, sf)
-    q = v.where(F.col("doc") < queries).select(F.col("doc").alias("query"), "vector")
+    q = v.where(queries).select(F.col("doc").alias("query"), "vector")
     return retrieval.knn(v, q, k, keep)
 
 
 COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-KNN = f"""SELECT q.vec_id AS query, v.vec_id AS doc, round(greatest(0, {COS.format(a='q.embedding', b='v.embedding')}), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < {{n}} {{more}}"""
+KNN = f"""SELECT q.vec_id AS query, v.vec_id AS doc, round(greatest(0, {COS.format(a='q.embedding', b='v.embedding')}), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 {{more}}"""
 
 
 def knn_cosine(spark, sf):
@@ -76,8 +76,8 @@ def _rounded(df):
     return df.select(F.col("query").cast("long").alias("query"), "doc", F.round("score", 6).alias("score"), "rank")
 
 
-def _knn_sql(n: int, k: int, more: str = "") -> str:
-    return f"WITH s AS ({KNN.format(n=n, more=more)}) SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INT) AS rank FROM s QUALIFY rank <= {k}"
+def _knn_sql(k: int, more: str = "") -> str:
+    return f"WITH s AS ({KNN.format(more=more)}) SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INT) AS rank FROM s QUALIFY rank <= {k}"
 
 
 def knn_filtered(spark, sf):
@@ -87,13 +87,13 @@ def knn_filtered(spark, sf):
 
 def knn_batch(spark, sf):
     """O06, X04"""
-    return _rounded(_knn(spark, sf, 5, queries=10))
+    return _rounded(_knn(spark, sf, 5))
 
 
 def hybrid_search(spark, sf):
     """The flagship: F01, F24, W23, O05, J01, F20, O04."""
     k = 5
-    vectors = _knn(spark, sf, 2 * k).select(F.lit(0).alias("query"), "doc", F.round("score", 6).alias("score"))
+    vectors = _knn(spark, sf, 2 * k, queries="doc = 0").select(F.lit(0).alias("query"), "doc", F.round("score", 6).alias("score"))
     words = retrieval.normalized(retrieval.bm25(_docs(spark, sf), _query(spark), "doc", "text")).withColumn("score", F.round("score", 6))
     words = retrieval.top_k(words, ["query"], 2 * k).select("query", "doc", "score")
     out = retrieval.hybrid(vectors, words, k)
@@ -249,24 +249,76 @@ f AS (SELECT source, doc_id, k, 0 AS batch, 1 AS n, t AS total FROM o WHERE k =
 SELECT source, doc_id, CAST(batch AS INT) AS batch FROM f"""
 
 
+#: Chunks of code, and the probes of their syntax tree that they match. The first is taken as another language's.
+SNIPPETS = [
+    ("requests.get(url)", []),
+    ('cursor.execute(f"select {x}")', []),
+    ("import subprocess\nsubprocess.run(cmd, shell=True)", []),
+    ("requests.get(url)", []),
+    ("item = repo.get_by_id(item_id)  # current_user", []),
+    ('@router.get("/report")\ndef report(user=Depends(get_current_user)):\n    return 1', []),
+    ('@router.get("/report")\ndef report(user=Depends(get_current_user)):\n    require_admin(user)', []),
+    ("for k, v in payload.items():\n    setattr(user, k, v)", []),
+    ("class User(BaseModel):\n    is_admin: bool = False", []),
+    ('import jwt\njwt.decode(raw, key, algorithms=["none"])', ["security.jwt_algorithm_allowlist"]),
+    ("import jwt\njwt.decode(raw, key, algorithms=[settings.ALGORITHM])", []),
+    ('logger.info("x %s", user.password)', ["security.sensitive_data_logging"]),
+    ('logger.info("password changed")', []),
+    ('log.warning("x", extra=data.get("API_KEY"))', ["security.sensitive_data_logging"]),
+    ("def save(f: UploadFile):\n    out.write(f.file.read())", ["security.unrestricted_file_upload"]),
+    ("def save(f: UploadFile):\n    return f.filename", []),
+    ("class ItemResponse(BaseModel):\n    cost_price: float", []),
+    ("class ItemResponses(BaseModel):\n    cost_price: float", []),
+    ("token = random.choice(letters)", []),
+    ("color = random.choice(letters)", []),
+    ("def go(next_url):\n    return RedirectResponse(url=next_url)", []),
+    ('def go(next_url):\n    if not next_url.startswith("//") and "backslash":\n        return RedirectResponse(url=next_url)', []),
+    ("def apply(item, delta):\n    item.quantity += delta", []),
+    ("def apply(item, delta):\n    new_quantity = item.quantity + delta\n    if new_quantity < 0:\n        raise ValueError\n    quantity = item.quantity + delta", []),
+    ("digest = hashlib.md5(password.encode())", []),
+    ('redis.set("reset:" + token, user_id)', []),
+    ("data = jwt.decode(refresh_token, key)", ["security.jwt_algorithm_allowlist"]),
+    ('def logout():\n    return {"success": True}', []),
+    ("item = repo.get_by_sku(s)\nstock_left = item.stock - n\nrepo.update_stock(s, stock_left)", []),
+    ("try:\n    session.commit()\nexcept ValueError:\n    pass", []),
+    ("for o in orders:\n    repo.get_by_id(o)", ["performance.n_plus_one"]),
+    ("rows = repo.get_by_ids(orders)", []),
+    ("rows = session.query(Item).all()\nfiltered_rows = [p for p in rows]", []),
+    ("def engine():\n    return create_engine(dsn)", []),
+    ("send(otp)", []),
+    ('api_key = os.getenv("API_KEY") or "changeme"', []),
+    ("@shared_task\ndef run():\n    pass", []),
+    ("@shared_task(soft_time_limit=3)\ndef run():\n    pass", []),
+    ("if not webhook_log.exists(key):\n    db.add(row)", []),
+    ("x = 1", []),
+    ('def broken(:\n    logger.warning("p", password)', ["security.sensitive_data_logging"]),
+    ('jwt.decode(x, "none"', ["security.jwt_algorithm_allowlist"]),
+    ("uploadfile multipart ( .write(", ["security.unrestricted_file_upload"]),
+]
+
+
 def structural_flags(spark, sf):
-    """How many pages match each of the text probes."""
-    pages = table(spark, sf, "pages").select("page_id", F.lit("python").alias("language"), F.col("html").alias("chunk_text"))
-    rows = matchers.matched_probes(pages, trees=False)
+    """Each page stands for one of SNIPPETS; how many match each of the probes."""
+    texts = F.array(*[F.lit(t) for t, _ in SNIPPETS])
+    n = F.lit(len(SNIPPETS))
+    pages = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % n == 0, "java").otherwise("python").alias("language"), F.get(texts, (F.col("page_id") % n).cast("int")).alias("chunk_text"))
+    rows = matchers.matched_probes(pages)
     return rows.select(F.explode("_probes").alias("probe_id")).groupBy("probe_id").agg(F.count("*").alias("pages"))
 
 
+PATHS = ["README.md", "tests/a.py", "docs/guide.rst", "main.py", "Readme.", "readme.de.txt", "test/conf.py", "lib/notes.md", "test_b.py", "x/readme"]
 
 
 def path_normalize(spark, sf):
-    """F11, F15, F08, P06, P23"""
-    p = F.concat(F.lit("./src\\"), F.regexp_replace("url", "^[a-z]+://", ""))
+    """Each page's url as a folder, and in it one of PATHS."""
+    name = F.get(F.array(*[F.lit(x) for x in PATHS]), (F.col("page_id") % len(PATHS)).cast("int"))
+    p = F.concat(F.lit("./src\\"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), name)
     d = table(spark, sf, "pages").select("page_id", p.alias("p"))
     return d.select("page_id", T.normalize_path(F.col("p")).alias("path"), T.module_name(F.col("p")).alias("module"), T.is_review_target(F.col("p")).alias("target"), T.is_non_runtime(F.col("p")).alias("non_runtime"))
 
 
-PATH_SQL = r"""
-WITH d AS (SELECT page_id, replace('./src\' || regexp_replace(url, '^[a-z]+://', ''), '\', '/') AS p FROM pages),
+PATH_SQL = rf"""
+WITH d AS (SELECT page_id, replace('./src\' || regexp_replace(url, '^[a-z]+://', '') || '/' || (ARRAY{PATHS})[page_id % {len(PATHS)} + 1], '\', '/') AS p FROM pages),
 n AS (SELECT page_id, p, string_split(regexp_replace(trim(p), '^(\./)+', ''), '/') AS parts, string_split(p, '/') AS raw FROM d)
 SELECT page_id, array_to_string(list_filter(parts, lambda x: x <> '' AND x <> '.'), '/') AS path, coalesce(nullif(raw[len(raw) - 1], ''), 'root') AS module,
        NOT regexp_matches(lower(raw[-1]), '^readme$|^readme[.](.*[.])?(adoc|markdown|md|rst|txt)$') AS target,
@@ -339,15 +391,15 @@ SELECT n.file_path, n.chunk_index, round(2.0 / (n.r + 1), 6) AS bonus FROM n JOI
 
 
 def symbol_related(spark, sf):
-    """Conversations that mention a capitalised word of the first three."""
+    """Conversations that mention a capitalised word of every fiftieth one."""
     c = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), F.col("turn").alias("chunk_index"), "text")
-    a = c.where("file_path in ('0', '1', '2')").select(F.lit("p").alias("probe_id"), F.col("file_path").cast("int").alias("anchor_rank"), F.col("text").alias("content"))
+    a = c.where("file_path % 50 = 0").select(F.lit("p").alias("probe_id"), F.col("file_path").cast("int").alias("anchor_rank"), F.col("text").alias("content"))
     return ranges.symbol_related(a, c, "text").select("file_path", "chunk_index", F.round("priority", 6).alias("priority"))
 
 
 SYMBOL_SQL = r"""
 WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS file_path, turn AS chunk_index, text FROM conversations),
-a AS (SELECT CAST(file_path AS INT) AS r, list_concat(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9_]+'))) AS names FROM c WHERE file_path IN ('0', '1', '2')),
+a AS (SELECT CAST(file_path AS INT) AS r, list_concat(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9_]+'))) AS names FROM c WHERE CAST(file_path AS INT) % 50 = 0),
 s AS (SELECT r, lower(unnest(names)) AS word FROM a), p AS (SELECT word, 2.0 / (min(r) + 1) AS p FROM s WHERE word NOT IN ('apirouter', 'asyncsession', 'basemodel', 'depends', 'dict', 'false', 'float', 'get', 'int', 'len', 'list', 'max', 'min', 'none', 'post', 'print', 'put', 'str', 'sum', 'super', 'token', 'true', 'user') GROUP BY word),
 w AS (SELECT DISTINCT file_path, chunk_index, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS word FROM c)
 SELECT file_path, chunk_index, round(max(p), 6) AS priority FROM w JOIN p USING (word) GROUP BY ALL"""
@@ -383,16 +435,20 @@ def _structural_sql() -> str:
         "maintainability.resource_lifecycle": f"{has('create_engine(', 'create_async_engine(')} AND {has('def ')}",
     }
     each = " UNION ALL ".join(f"SELECT '{k}' AS probe_id FROM p WHERE {v}" for k, v in probes.items())
-    return f"WITH p AS (SELECT lower(html) AS c FROM pages), m AS ({each}) SELECT probe_id, count(*) AS pages FROM m GROUP BY probe_id"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    n = len(SNIPPETS)
+    trees = "".join(f" UNION ALL SELECT '{k}' FROM p WHERE i IN ({', '.join(map(str, at))})" for k in matchers.TREE_PROBES if (at := [j for j, (_, found) in enumerate(SNIPPETS) if k in found]))
+    each += trees
+    return f"WITH p AS (SELECT page_id % {n} AS i, lower(([{', '.join(quoted(t) for t, _ in SNIPPETS)}])[page_id % {n} + 1]) AS c FROM pages WHERE page_id % {n} > 0), m AS ({each}) SELECT probe_id, count(*) AS pages FROM m GROUP BY probe_id"
 
 
 QUERIES = {
     "hybrid_search": (hybrid_search, HYBRID_SQL),
     "bm25_topk": (bm25_topk, BM25_TOPK_SQL),
     "bm25_postings": (bm25_postings, BM25_POSTINGS_SQL),
-    "knn_cosine": (knn_cosine, _knn_sql(1, 10)),
-    "knn_filtered": (knn_filtered, _knn_sql(1, 10, "AND v.label = 1")),
-    "knn_batch": (knn_batch, _knn_sql(10, 5)),
+    "knn_cosine": (knn_cosine, _knn_sql(10)),
+    "knn_filtered": (knn_filtered, _knn_sql(10, "AND v.label = 1")),
+    "knn_batch": (knn_batch, _knn_sql(5)),
     "rrf_fusion": (rrf_fusion, RRF_SQL),
     "select_diverse": (select_diverse, DIVERSE_SQL),
     "ranking_scores": (ranking_scores, RANKING_SQL),

@@ -21,9 +21,3 @@ def test_contract(spark):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_others_give_rows(name, spark):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
-
-
-@pytest.mark.parametrize("name", ["overlap_bucketed", "containment_first", "static_semi", "source_snippet", "expected_match", "smart_chunk_plan", "audit_bundles", "components"])
-def test_all_jobs_give_more_rows(name, spark):
-    larger = "/root/testdata/sf0.01"  # SMALL has ten jobs only
-    assert registry.QUERIES[f"{name}_all"](spark, larger).count() > registry.QUERIES[name](spark, larger).count()
