@@ -1,4 +1,4 @@
-"""Numbers, dates, JSON and case tables as Column expressions (IDs: SURVEY sections 2.10 and 2.13)."""
+"""Numbers, dates, JSON and case tables as Column expressions (IDs G01 - G06, G08 - G10, G13, X55)."""
 
 from __future__ import annotations
 
@@ -80,7 +80,7 @@ def count_text(n: Column, noun: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
 
 
-# G06 - G09, G13
+# G06, G08, G09, G13
 def json_object_text(text: Column) -> Column:
     """The first JSON object of a fenced or free text, as text; null if what is found doesn't parse."""
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))

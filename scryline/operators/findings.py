@@ -129,31 +129,32 @@ def page(rows: DataFrame, field: str, created: str, *, descending: bool, number:
 def dedupe_overlaps(issues: DataFrame, keys: list[str]) -> DataFrame:
     """By start, then falling confidence; a row that overlaps kept ones replaces the first of them if it is surer.
 
-    Replacement depends on what was kept before, so rows are read in order, group after group; a task holds one group's kept rows.
+    Read by start, a row can overlap the last kept row only: those before it end before that one begins. So the fold holds one row,
+    whatever the group; it depends on what was kept before, hence the order and Python.
     """
 
     columns = issues.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
+        held = None
         for pdf in batches:
-            done = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != group:
-                    done += kept
-                    group, kept = key, []
-                at = next((i for i, k in enumerate(kept) if row.line_start <= k.line_end and k.line_start <= row.line_end), None)
-                if at is None:
-                    kept.append(row)
-                elif _sure(row) > _sure(kept[at]):
-                    kept[at] = row
-            yield pd.DataFrame(done, columns=pdf.columns)
-        yield pd.DataFrame(kept, columns=columns)
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            group = list(zip(*[pdf[k].tolist() for k in keys], strict=True))
+            start, end, sure = pdf["line_start"].tolist(), pdf["line_end"].tolist(), pdf["confidence"].astype("float64").fillna(-1.0).tolist()
+            last, kept = 0, []
+            for i in range(1, len(pdf)):
+                if group[i] != group[last] or start[i] > end[last]:
+                    kept.append(last)
+                    last = i
+                elif sure[i] > sure[last]:
+                    last = i
+            held = pdf.iloc[[last]]
+            yield pdf.iloc[kept]
+        if held is not None:
+            yield held[columns]
 
     ordered = issues.repartition(*keys).sortWithinPartitions(*keys, "line_start", F.coalesce("confidence", F.lit(-1.0)).desc(), "issue_id")
     return ordered.mapInPandas(fold, issues.schema)
 
-
-def _sure(row) -> float:
-    return -1.0 if row.confidence is None or row.confidence != row.confidence else row.confidence

@@ -1,4 +1,4 @@
-"""Selections whose next step depends on the ones before (IDs W03, W04, W07, W17 - W20, W22, A10, X07 - X09).
+"""Selections whose next step depends on the ones before (IDs W03, W04, W07, W17 - W20, W22, A10, X08, X09).
 
 A probe has a few hundred candidates at most, and each probe is folded by itself in one call; budgets and caps that
 don't depend on order are windows.

@@ -1,4 +1,4 @@
-"""Dashboards and report texts (IDs A20 - A23, A34, O11 - O15, W08, W09, J05 - J07, J20, X43, X44, X57, X58, U04, U06)."""
+"""Dashboards and report texts (IDs A20 - A23, A34, O11 - O15, W08, W09, J05 - J07, J20, X44, X57, X58, U04)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Planning a review and judging its fixes (IDs P13, P18, P20, P24, O09, O14, O15, O20, U01, X11, X13 - X15, X39, X40, X62, A28, A31, A32, G12, X28)."""
+"""Planning a review and judging its fixes (IDs P13, P18, P20, P24, O09, O14, O15, O20, X11, X13, X14, X39, X40, X62, A28, A31, A32, G12, X28)."""
 
 from __future__ import annotations
 

@@ -111,7 +111,7 @@ SELECT doc, CAST(row_number() OVER (ORDER BY s DESC, doc) AS INT) AS rank, round
 
 def rrf_fusion(spark, sf):
     """Two ranked lists fused for one probe."""
-    vectors = _knn(spark, sf, 40).select("doc", F.lit("semantic").alias("strategy"), F.round("score", 6).alias("score"))
+    vectors = _knn(spark, sf, 40, queries="doc = 0").select("doc", F.lit("semantic").alias("strategy"), F.round("score", 6).alias("score"))
     words = retrieval.normalized(retrieval.bm25(_docs(spark, sf), _query(spark), "doc", "text")).withColumn("score", F.round("score", 6))
     words = retrieval.top_k(words, ["query"], 40).select("doc", F.lit("bm25").alias("strategy"), "score")
     lists = vectors.unionByName(words).select(

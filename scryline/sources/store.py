@@ -1,4 +1,4 @@
-"""Tables on a shared folder: append, replace, upsert, scoped reads (IDs S10 - S21, S27, P02 - P05, P16, P17, P25, J26, U07, U10, X10, X21, X25, X34)."""
+"""Tables on a shared folder: append, replace, upsert, scoped reads (IDs S10 - S12, S14, S15, S17, S19, S20, P02 - P05, P16, P17, P25, J26, U07, U10, X10, X21, X25, X34)."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ The source has no late-data rule; here events may be LATE behind the newest one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,6 +109,11 @@ def publish(snapshot_path: str, log_path: str):
     return write
 
 
+def scheduled(stream: DataFrame, sweep: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 minutes"):
+    """Runs sweep (as of expired sandboxes) over what has come, at fixed times; sweep must bear to be run again."""
+    return stream.writeStream.trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(sweep).start()
+
+
 def idle_heartbeats(events: DataFrame, now: Column, idle: int = 15) -> DataFrame:
     """Jobs not ended that have been silent for `idle` seconds."""
     return job_states(events).join(events.groupBy("job_id").agg(F.max("timestamp").alias("last")), "job_id").where(~F.col("status").isin(TERMINAL) & (F.unix_timestamp(now) - F.unix_timestamp("last") >= idle)).select("job_id", "last")

@@ -28,12 +28,12 @@ def test_review_target(spark, path, want):
 
 
 @pytest.mark.parametrize("claim,title,want", [
-    ("SQL Injection", "t", "sql_injection"), ("n_1_query", "t", "n_plus_one_query"), ("review_finding", "Possible SSRF in client", "ssrf"), (None, "Unsafe deserialization via pickle", "unsafe_deserialization_via_pickle"),
+    ("SQL Injection", "t", "sql_injection"), ("n_1_query", "t", "n_plus_one_query"), ("review_finding", "Possible SSRF in client", "ssrf"), (None, "Unsafe deserialization via pickle", "unsafe_deserialization"),
     ("OTP rate limit absent", "t", "otp_missing_rate_limit"), ("  ", "!!!", "review_finding"), ("default admin password", "t", "insecure_default_credentials"),
 ])
 def test_claims(spark, claim, title, want):
     got = spark.createDataFrame([(claim, title)], "c string, t string").select(claims.normalize_claim(F.col("c"), F.col("t"))).first()[0]
-    assert got == ("unsafe_deserialization" if want == "unsafe_deserialization_via_pickle" else want)
+    assert got == want
 
 
 def test_contextual_claims(spark):

@@ -143,5 +143,5 @@ def test_codebase_health(spark, monkeypatch, counts, score, status):
     repos = spark.createDataFrame([(k, "r", None if k == 0 else 1.0) for k in range(4)], "id long, name string, last_reviewed double")
     monkeypatch.setattr(review_queries, "_reports", lambda *_: rows)
     monkeypatch.setattr(review_queries, "view", lambda *_: repos)
-    got = review_queries.codebase_health_reports(spark, "").first()
+    got = review_queries.codebase_health(spark, "").first()
     assert (got.score, got.status, got.repos_reviewed, got.repositories) == (score, status, 3, 4)
