@@ -6,8 +6,8 @@ least. The score is the calibrated share of that language times how near its cro
 language, rather than to that of the same texts with their characters shuffled; both are measured on texts kept from the
 counts. So texts unlike any language get a low score and can be rejected.
 
-Bound of the sample: SAMPLE_DOCS documents of each language, those with the least hash of doc_id and text;
-CALIBRATE of them are kept from the counts and used for calibration alone.
+Bound of the sample: SAMPLE_DOCS documents of each language, those with the least hash of doc_id, none of more than SAMPLE_CHARS
+characters; CALIBRATE of them are kept from the counts and used for calibration alone.
 
 Defined results: a null text or one without a letter is `und` with score 0; documents without a language
 or doc_id aren't learned from; ties go to the first language in alphabetical order; rows that repeat are each
@@ -27,6 +27,7 @@ from scryline.llm.common import crc32_mod, documents, fresh
 
 ORDER = 4
 SAMPLE_DOCS = 400
+SAMPLE_CHARS = 200_000
 CALIBRATE = 0.25
 #: A text whose score is below this is rejected: its cross-entropy is over three quarters of the way to that of shuffled texts.
 REJECT_BELOW = 0.02
@@ -257,8 +258,8 @@ def chosen_ids(labelled: DataFrame, per_label: int) -> DataFrame:
 def sample(docs: DataFrame, learnable: Column, per_label: int) -> DataFrame:
     """docs (doc_id, text, lang) -> doc_id, label, k, text of at most per_label documents of each language."""
     labelled = docs.select("doc_id", "text", F.col("lang").alias("label"))
-    chosen = chosen_ids(labelled.where(learnable & F.col("text").isNotNull()).select("doc_id", "label"), per_label)
-    return labelled.where("text is not null").join(F.broadcast(chosen), ["doc_id", "label"])  # at most per_label rows for each label
+    chosen = chosen_ids(labelled.where(learnable & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "label"), per_label)
+    return labelled.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), ["doc_id", "label"])  # at most per_label rows for each label
 
 
 def learn(docs: DataFrame, learnable: Column) -> Identifier:

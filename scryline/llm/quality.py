@@ -4,8 +4,8 @@ A zstandard dictionary is built from good and one from bad labelled text. A text
 compressed with each; the difference of the two sizes over their mean says to which it is nearer.
 A logistic curve, fitted on labelled texts that are in neither dictionary, turns it into a score.
 
-Bound of the sample: SAMPLE_DOCS labelled documents of each class, by least hash of doc_id; every other of them
-makes the dictionaries, the rest the curve.
+Bound of the sample: SAMPLE_DOCS labelled documents of each class, by least hash of doc_id, less those of more than SAMPLE_CHARS
+characters; every other of them makes the dictionaries, the rest the curve.
 
 Defined results: null and empty texts have the difference 0, hence the curve's value there; documents without a
 label or doc_id, or with labels of both kinds, aren't learned from; with one class only, the score is its label's;
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from scryline.llm.common import crc32_mod, documents
 from scryline.llm.language import chosen_ids
 
-SAMPLE_DOCS = 1_500
+SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 200_000
 DICTIONARY_BYTES = 1 << 16
 BLOCK_BYTES = 2048
 LEVEL = 3
@@ -92,7 +92,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_docs: in
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
     # ids first, out of the labels alone; then the texts of those few
     ids = chosen_ids(known.where(learnable).select("doc_id", F.col("quality").alias("label")), sample_docs)
-    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # two classes of sample_docs at most
+    chosen = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # two classes of sample_docs at most
     rows = sorted((r["label"], r["k"], r["text"]) for r in chosen.select("label", "k", "text").collect())
     prior = {r["quality"]: r["count"] for r in known.where(learnable).groupBy("quality").count().collect()}
     build = {q: [t for label, k, t in rows if label == q and k % 2] for q in (0, 1)}

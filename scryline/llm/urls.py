@@ -6,8 +6,8 @@ Such intervals nest or are disjoint. The sweep sorts interval starts, interval e
 each boundary carries the stack of rules that are active after it, and a page sees the stack of the last boundary
 before it. Of that stack, the longest rule whose path begins the page's path decides.
 
-Pages are swept by top-level label and salt, so a hot host is spread over SALTS tasks; the rules of a label are
-repeated once for each salt. The sweep keeps one row for each pair of rule and page key, never pairs.
+Pages are swept by top-level label and salt; there are as many salts as keep a label's share of one to SALT_ROWS pages, so a hot
+host is spread over many tasks; the rules of a label are repeated once for each salt. The sweep keeps one row for each pair of rule and page key, never pairs.
 
 Defined results: a url that is null or without `://` has an empty host and path, and no rule; an empty path
 fits only rules with an empty path; ties between equally long rules go to `block`; repeated rows are judged
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-SALTS = 32
+SALTS, SALT_ROWS = 32, 250_000  # salts at least; pages of one salt at most
 #: The rules of the query op5_url_filter: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -59,9 +59,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """pages (page_id, url), rules (verdict, host, path) -> page_id, host, path, rule, verdict."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("key", host_key(F.col("host")))
     label = F.substring_index(F.col("key"), ".", 1)
-    edges = boundaries(rules).withColumn("label", F.regexp_extract("key", r"^([^./]*)", 1)).withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    salts = max(SALTS, -(-pages.count() // SALT_ROWS))
+    edges = boundaries(rules).withColumn("label", F.regexp_extract("key", r"^([^./]*)", 1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     swept = parsed.select(
-        "page_id", "host", "path", "key", label.alias("label"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(2).alias("kind")
+        "page_id", "host", "path", "key", label.alias("label"), F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int").alias("salt"), F.lit(2).alias("kind")
     ).unionByName(edges, allowMissingColumns=True)
     sweep = Window.partitionBy("label", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = swept.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 2")
