@@ -1,8 +1,8 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions only.
 
 Each shingle of WORDS words is hashed once; the hash's high bits name its bin, and each bin keeps its least
-value. An empty bin takes the value of the first non-empty one in its own pseudo-random order of all bins (optimal
-densification). LOW bits of each value are stored; the likeness of two fingerprints is the share of equal bins,
+value. An empty bin takes the value of the first non-empty one in its own pseudo-random sequence of bins (optimal
+densification): PROBES bins drawn by hash, and after them all bins in the order of another hash, so one is always found. LOW bits of each value are stored; the likeness of two fingerprints is the share of equal bins,
 corrected for those that are equal by chance.
 
 A row's shingles never leave it: bins are found by sorting its hashes together with one sentinel for each bin.
@@ -24,6 +24,7 @@ BINS = 1 << BIN_BITS
 #: Bits of a value: the hash without its sign and the bin's bits.
 VALUE_BITS = 63 - BIN_BITS
 NONE = (1 << VALUE_BITS) - 1
+PROBES = 8
 #: Rows of a bucket of neighbouring doc_ids.
 BUCKET_ROWS = 1_000
 
@@ -49,8 +50,10 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     places = F.array(*[F.lit(j) for j in range(BINS)])
     filled = F.filter(F.zip_with(v, places, lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda e: e["x"] != NONE)
     df = df.withColumn(t + "k", F.when(F.array_contains(v, F.lit(NONE)), filled))
-    first = lambda b: F.array_min(F.transform(t + "k", lambda e: F.struct(F.xxhash64(b, e["j"]).alias("o"), e["x"].alias("x"))))["x"]
-    full = F.transform(v, lambda x, b: F.when(x != NONE, x).otherwise(first(b)))
+    first = lambda b: F.array_min(F.transform(t + "k", lambda e: F.struct(F.xxhash64(e["j"], b).alias("o"), e["x"].alias("x"))))["x"]
+    drawn = lambda b: F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: F.get(v, F.pmod(F.xxhash64(b, k), F.lit(BINS)).cast("int")))
+    probed = lambda b: F.get(F.filter(drawn(b), lambda x: x != NONE), F.lit(0))
+    full = F.transform(v, lambda x, b: F.when(x != NONE, x).otherwise(F.coalesce(probed(b), first(b))))
     low = lambda c: F.transform(c, lambda x: (x.bitwiseAND(F.lit((1 << LOW) - 1)) - F.lit(1 << (LOW - 1))).cast("tinyint"))
     df = df.withColumn(t + "f", F.when(F.array_contains(v, F.lit(NONE)), full).otherwise(v)).withColumn(out, low(F.col(t + "f")))
     return df.drop(*[t + x for x in "hn245svkf"])

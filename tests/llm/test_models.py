@@ -39,7 +39,7 @@ def pair(a: int, b: int) -> int:
 
 
 def bins(text: str) -> list[int]:
-    """The model: bins of shingle hashes, each empty one filled from the first filled one in its own order."""
+    """The model: bins of shingle hashes, each empty one filled from the first filled one in its own sequence."""
     w = [x for x in "".join(c if c not in "\t\n\v\f\r" else " " for c in text.lower()).split(" ") if x]
     h = [xx(x.encode(), 42) for x in w]
     if len(h) >= 5:
@@ -56,8 +56,13 @@ def bins(text: str) -> list[int]:
         b, v = x >> 1 >> 56, (x >> 1) & (1 << 56) - 1
         least[b] = min(v, least.get(b, v))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    order = lambda b, j: signed(xx(struct.pack("<i", j), xx(struct.pack("<i", b), 42)))
-    return [least[b] if b in least else least[min(least, key=lambda j: order(b, j))] for b in range(128)]
+    hashed = lambda a, b: signed(xx(struct.pack("<i", b), xx(struct.pack("<i", a), 42)))
+
+    def value(b: int) -> int:
+        tried = [b, *[hashed(b, k) % 128 for k in range(8)], *sorted(range(128), key=lambda j: hashed(j, b))]
+        return least[next(j for j in tried if j in least)]
+
+    return [value(b) for b in range(128)]
 
 
 def test_minhash_equals_model(spark, table):
