@@ -131,10 +131,19 @@ SELECT g.job_id, g.finding_key, rep.severity, rep.category, g.raw_issue_count FR
 
 
 def dedupe_overlap(spark, sf):
-    """W21 (checked against a plain model in the tests)"""
+    """W21"""
     return findings.dedupe_overlaps(issues(spark, sf).select("job_id", "finding_key", "file_path", "issue_id", "line_start", "line_end", "confidence"), ["job_id", "finding_key", "file_path"])
 
 
+_SURER = "o.line_start > f.line_end OR coalesce(o.confidence, -1) > coalesce(f.confidence, -1)"
+DEDUPE_SQL = I_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+o AS (SELECT job_id, finding_key, file_path, issue_id, line_start, line_end, confidence, row_number() OVER (PARTITION BY job_id, finding_key, file_path ORDER BY line_start, coalesce(confidence, -1) DESC, issue_id) AS k FROM i),
+f AS (SELECT *, 1 AS island FROM o WHERE k = 1 UNION ALL
+      SELECT o.job_id, o.finding_key, o.file_path, {', '.join(f"CASE WHEN {_SURER} THEN o.{c} ELSE f.{c} END AS {c}" for c in ("issue_id", "line_start", "line_end", "confidence"))}, o.k, f.island + CASE WHEN o.line_start > f.line_end THEN 1 ELSE 0 END AS island
+      FROM f JOIN o ON o.job_id = f.job_id AND o.finding_key = f.finding_key AND o.file_path = f.file_path AND o.k = f.k + 1)
+SELECT job_id, finding_key, file_path, issue_id, line_start, line_end, confidence FROM f QUALIFY row_number() OVER (PARTITION BY job_id, finding_key, file_path, island ORDER BY k DESC) = 1"""
+
+
 def _pieces(spark, sf):
     return view(spark, sf, "v_issues").select("job_id", "file_path", "issue_id", "line_start", "line_end", "severity")
 
@@ -577,7 +586,7 @@ QUERIES = {
     "top_risky_files": (top_risky_files, RISKY_SQL),
     "issue_page": (issue_page, PAGE_SQL),
     "issue_group_having": (issue_group_having, HAVING_SQL),
-    "dedupe_overlap": (dedupe_overlap, None),
+    "dedupe_overlap": (dedupe_overlap, DEDUPE_SQL),
     "range_covered": (range_covered, COVERED_SQL),
     "uncovered_gaps": (uncovered_gaps, GAPS_SQL),
     "overlap_join": (overlap_join, OVERLAP_SQL),
