@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from scryline.llm import decontaminate, language, lines, minhash, packing, quality, sharding, simhash, urls
 from tests.conftest import SMALL
-from tests.llm.test_llm import ODD, SCHEMA, documents, words
+from tests.llm.test_llm import ODD, SCHEMA, documents, edit_distance_in, words
 
 
 @pytest.fixture(scope="module")
@@ -276,3 +276,34 @@ def test_long_text(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()} == {(1, 7), (2, 7)}
     assert sorted(r.doc_id for r in lines.deduplicated(df).collect()) == [1, 3]
     assert sorted(r.doc_id for r in simhash.without_near_copies(df).collect()) == [1, 3]
+
+
+def test_pieces_across_chunks(monkeypatch):
+    """Any item within its budget is found, wherever the text is cut for hashing, and characters outside the BMP count as one."""
+    rng = random.Random(10)
+    for size in (1, 7, 64, 1 << 18):
+        monkeypatch.setattr(decontaminate, "CHUNK", size)
+        for rate in (0, 0.05, 0.3):
+            items = [(i, "".join(rng.choice("abcé𐐀 ") for _ in range(rng.randint(1, 90)))) for i in range(8)]
+            matcher = decontaminate.Matcher(items, rate)
+            for _, item in items:
+                edited = list(item)
+                edited[rng.randrange(len(edited))] = "b"
+                text = "".join(rng.choice("abc ") for _ in range(60)) + "".join(edited) + "ca"
+                want = []
+                for i, other in items:
+                    form = decontaminate.normal(other)
+                    e = edit_distance_in(form, decontaminate.normal(text))
+                    if form and e <= int(len(form) * rate):
+                        want.append((i, e))
+                assert [(i, e) for i, e, _ in matcher.hits(text)] == want
+
+
+def test_many_items_are_one_pass(spark):
+    """Thousands of items are searched in one pass over the documents."""
+    rng = random.Random(11)
+    items = [(i, words(rng, 12, "abcdefghij")) for i in range(5000)]
+    docs = spark.createDataFrame([(i, f"{words(rng, 30, 'xyz')} {items[i * 37][1]} {words(rng, 9, 'xyz')}") for i in range(60)], "doc_id long, text string")
+    found = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.where("edits = 0").collect()} == {(i, i * 37) for i in range(60)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
