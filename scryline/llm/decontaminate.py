@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents
+from scryline.llm.common import documents, release
 
 ERROR_RATE = 0.05
 #: Characters of the items of a block, as a mean.
@@ -199,7 +199,9 @@ def _clean(block: list[tuple[int, str]], error_rate: float):
     def clean(text: pd.Series) -> pd.Series:
         if not matchers:
             matchers.append(Matcher(block, error_rate))
-        return pd.Series([not matchers[0].hits(t) for t in text], dtype=bool)
+        out = pd.Series([not matchers[0].hits(t) for t in text], dtype=bool)
+        release()
+        return out
 
     return clean
 

@@ -23,12 +23,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scryline.llm.common import crc32_mod, documents, fresh
+from scryline.llm.common import crc32_mod, documents, fresh, release
 
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 200_000
 CALIBRATE = 0.25
+#: Texts that a task normalises and scores at a time.
+PREDICT_ROWS = 1_000
 #: A text whose score is below this is rejected: its cross-entropy is over three quarters of the way to that of shuffled texts.
 REJECT_BELOW = 0.02
 TURN, STEEP = 2 / 3, 40
@@ -281,8 +283,13 @@ def _predictor(identifier: Identifier, spark: SparkSession):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
-        names, score = shared.value.predict(list(text))
-        return pd.DataFrame({"lang_pred": names, "score": score})
+        names, score = [], [np.empty(0)]
+        for lo in range(0, len(text), PREDICT_ROWS):
+            some, values = shared.value.predict(text.iloc[lo : lo + PREDICT_ROWS].tolist())
+            names += some
+            score.append(values)
+        release()
+        return pd.DataFrame({"lang_pred": names, "score": np.concatenate(score)})
 
     return predict
 

@@ -392,7 +392,9 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
 
     @F.pandas_udf("binary")
     def of(text: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t, words) for t in text])
+        out = pd.Series([wide_fingerprint(t, words) for t in text])
+        release()
+        return out
 
     rows = staged(docs.select("doc_id", F.xxhash64("text").alias("th"), of("text").alias("wide")), "wide-fingerprints").withColumn("node", F.xxhash64("wide"))
 
