@@ -6,7 +6,10 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -71,3 +74,20 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in blocks of about `most` bytes of the column: large batches are cut, small ones put together; a longer text is a block of its own."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        lo = 0
+        for i, n in enumerate(sizes):
+            if size + n > most and (held or i > lo):
+                yield pa.Table.from_batches([*held, batch.slice(lo, i - lo)]).combine_chunks().to_batches()[0]
+                held, size, lo = [], 0, i
+            size += n
+        if lo < len(sizes):
+            held.append(batch.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
