@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scryline.llm import align, decontaminate, language, lines, lm, minhash, packing, quality, sharding, simhash, urls
+from scryline.llm import align, cluster, decontaminate, language, lines, lm, minhash, packing, quality, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_clustering": cluster.op11_clustering,
+    "op12_secrets": secrets.op12_secrets,
     "op13_alignment": align.op13_alignment,
 }
 
-SQL = {"op5_url_filter": urls.OP5_SQL, "op9_line_dedup": lines.OP9_SQL}
+SQL = {"op5_url_filter": urls.OP5_SQL, "op9_line_dedup": lines.OP9_SQL, "op11_clustering": cluster.OP11_SQL}
