@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, release, staged, text_blocks
+from scryline.llm.common import bounded, documents, release, staged, text_blocks
 
 #: Bytes of text of a block of documents; parts that are tokenised in one go; keys that a task counts at a time.
 BLOCK, RUN, COUNTED = 1 << 22, 2_000, 1 << 22
@@ -218,6 +218,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             yield aligner(path_a, path_b)(block.column("doc_id"), block.column("text"))
             release()
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(align, SCHEMA)
 
 

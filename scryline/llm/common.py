@@ -41,6 +41,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes of an Arrow batch to or from Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless it has a smaller bound: texts may be long, and two workers of an executor hold a batch each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    amount, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(name, "64m").lower()).groups()
+    if int(amount) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit] > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

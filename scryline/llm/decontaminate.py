@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, release
+from scryline.llm.common import bounded, documents, release
 
 ERROR_RATE = 0.05
 #: Characters of the items of a block, as a mean.
@@ -177,6 +177,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, edits, ends_at: each item that a text holds."""
     schema = "doc_id long, item_id long, edits int, ends_at long"
+    bounded(docs.sparkSession)
     out = None
     for block in _blocks(items):
 
@@ -208,6 +209,7 @@ def _clean(block: list[tuple[int, str]], error_rate: float):
 
 def decontaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs whose text holds no item; all columns. One pass for all blocks of items, without a join."""
+    bounded(docs.sparkSession)
     for block in _blocks(items):
         docs = docs.where(_clean(block, error_rate)("text"))
     return docs

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scryline.llm.common import crc32_mod, documents, fresh, release
+from scryline.llm.common import bounded, crc32_mod, documents, fresh, release
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -279,6 +279,7 @@ def learn(docs: DataFrame, learnable: Column) -> Identifier:
 
 def _predictor(identifier: Identifier, spark: SparkSession):
     """text -> lang_pred, score; the model is broadcast (bounded by the sample)."""
+    bounded(spark)
     shared = spark.sparkContext.broadcast(identifier)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import crc32_mod, documents
+from scryline.llm.common import bounded, crc32_mod, documents
 from scryline.llm.language import chosen_ids
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 200_000
@@ -106,6 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample_docs: in
 
 def scored(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     @F.pandas_udf("double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, release, staged, text_blocks
+from scryline.llm.common import bounded, documents, release, staged, text_blocks
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Spans of these patterns count from so many characters on, of the group given.
@@ -203,6 +203,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(base, span), pa.array(found, value), pc.add(pc.cast(pc.count_substring(texts, " "), pa.int64()), 1)], names=["doc_id", "base", "found", "words"])
         release()
 
+    bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, base array<struct<start: long, kind: int, end: long>>, found array<struct<start: long, end: long, value: string>>, words long")
 

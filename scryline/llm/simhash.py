@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, fresh, release, staged
+from scryline.llm.common import bounded, documents, fresh, release, staged
 
 BITS = 64
 #: Bytes of the fingerprints that one slice gets, as a mean; from there on there are more slices.
@@ -390,6 +390,8 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     their shingles where the bits don't settle it.
     """
 
+    bounded(docs.sparkSession)
+
     @F.pandas_udf("binary")
     def of(text: pd.Series) -> pd.Series:
         out = pd.Series([wide_fingerprint(t, words) for t in text])
