@@ -2,8 +2,10 @@
 
 Each partition tokenises its documents and packs their pieces best-fit (longest first, each into the open
 sequence that it fills most). Nearly full sequences are emitted. Underfull ones are items of the next round,
-where a few tasks' leftovers meet in one task, and so on up the tree until one task holds all that is left
-or a round no longer merges anything. A sequence travels as one binary value (28 bytes for each of its pieces).
+where ROUND_ROWS of them, dealt out anew, meet in one task. After a round no two sequences of a task fit together, so each task has one
+that is at most half full, and none but those can go into others. The next round takes these, and as many of the others: those with the
+most room, since no more can be needed. So each round has a ROUND_ROWS-th as many tasks, and after the last, which has one, no two sequences
+fit together. A sequence travels as one binary value (28 bytes for each of its pieces).
 
 Defined results: a null text is an empty one; an empty text is a piece of one token (the end id); rows that
 repeat are packed each for itself; a null doc_id stays null; an empty table gives no rows.
@@ -20,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, staged
+from scryline.llm.common import bounded, documents, release, staged
 
 ITEM = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("piece", "<i4"), ("length", "<i4"), ("crc", "<u4")])
 NO_ID = np.iinfo(np.int64).min
@@ -167,10 +169,12 @@ def local_bins(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
             texts = ["" if t is None else t for t in pdf["text"]]
             for lo in range(0, len(texts), 256):
                 found.append(pieces(ids[lo : lo + 256], encoder.encode(texts[lo : lo + 256]), end_id, capacity))
+            release()
         if found:
             items = np.sort(np.concatenate(found), order=["doc_id", "piece", "crc"])
             yield _merged(items["length"], [x.tobytes() for x in items], capacity)
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(pack, "fill int, items binary")
 
 
@@ -179,20 +183,26 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
 
     Only documents of more than capacity tokens (with the end id) are cut. sequence_id: round, task and number in it.
     """
-    number = (F.monotonically_increasing_id()).alias("number")
-    bins = staged(local_bins(docs, tokenizer, end_id, capacity).select("fill", "items", number), "bins-0")
-    done, rounds = [], 0
-    while True:
-        count, least = bins.where(F.col("fill") < capacity - NEARLY).agg(F.count("*"), F.min("fill")).first()
+    number = F.monotonically_increasing_id().alias("number")
+    pool = staged(local_bins(docs, tokenizer, end_id, capacity).select("fill", "items", number), "bins-0")
+    done, rounds, tasks = [], 0, 0
+    while tasks != 1:
+        least = pool.where(F.col("fill") < capacity - NEARLY).agg(F.min("fill")).first()[0]
         # what has less room than the smallest leftover fills can't be joined with anything
         open_ = (F.col("fill") < capacity - NEARLY) & (F.col("fill") + F.lit(least or capacity) <= capacity)
-        left = bins.where(open_)
-        n = left.count() if count else 0
+        chosen = open_
+        if tasks:
+            half = F.col("fill") <= capacity // 2
+            small = pool.where(open_ & half).count()  # one of each task at most
+            roomy = pool.where(open_ & ~half).orderBy("fill", "number").limit(small).select("number", F.lit(True).alias("roomy"))
+            pool = staged(pool.join(roomy, "number", "left"), f"chosen-{rounds}")
+            chosen = open_ & (half | F.coalesce("roomy", F.lit(False)))
+        left = pool.where(chosen)
+        n = left.count()
         if n < 2:
-            done.append(bins.withColumn("round", F.lit(rounds)))
             break
-        done.append(bins.where(~open_).withColumn("round", F.lit(rounds)))
-        tasks = max(1, -(-n // ROUND_ROWS))
+        done.append(pool.where(~open_).withColumn("round", F.lit(rounds)))
+        tasks = -(-n // ROUND_ROWS)
         rounds += 1
         # the tasks' leftovers are dealt out anew each round, small and large alike
         grouped = left.withColumn("task", F.pmod(F.xxhash64("items", F.lit(rounds)), F.lit(tasks)))
@@ -201,13 +211,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
             pdf = pdf.sort_values(["fill", "number"], ascending=[False, True])
             return _merged(pdf["fill"].to_numpy(), pdf["items"].tolist(), capacity)
 
-        bins = staged(grouped.groupBy("task").applyInPandas(merge, "fill int, items binary").select("fill", "items", number), f"bins-{rounds}")
-        if tasks == 1 or bins.count() > 0.995 * n:
-            done.append(bins.withColumn("round", F.lit(rounds)))
-            break
+        merged = grouped.groupBy("task").applyInPandas(merge, "fill int, items binary").unionByName(pool.where(open_ & ~chosen).select("fill", "items"))
+        pool = staged(merged.select("fill", "items", number), f"bins-{rounds}")
+    done.append(pool.withColumn("round", F.lit(rounds)))
     packed = done[0]
     for more in done[1:]:
-        packed = packed.unionByName(more)
+        packed = packed.unionByName(more, allowMissingColumns=True)
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
