@@ -10,8 +10,8 @@ different line emits four keys of its halves (an edit leaves one half untouched,
 share a half with another line emit their variants. The nearest earlier line that this finds is verified word by word. Positions
 to drop are joined back to the documents. Small sides are broadcast only after a count, and joined by shuffle beyond it.
 
-A line of fewer than MIN_WORDS words (lower-cased runs between white space) goes only if an earlier one has the same key: one
-word more or less leaves too little of it. Blank lines take no part. Exact copies and near copies are judged against every earlier
+The edit bound is one word, but none for a line of fewer than MIN_WORDS words (lower-cased runs between white space), of which one edit leaves
+less than 0.8: it goes only if an earlier one has the same key. Blank lines take no part. Exact copies and near copies are judged against every earlier
 line, kept or not.
 
 Defined results: documents with a null text or null doc_id stay as they are and take no part; of rows with equal doc_id and
@@ -26,7 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scryline.llm.common import documents, fresh, staged
 
+#: One edit in fewer words leaves less than 0.8 of a line, the likeness from which on copies are near here.
 MIN_WORDS = 5
+#: Lines of so many words and more have their variants by running sums, up to one more by hashing what is left. Both do so around the bound, so neighbours share a way.
+LONG = 256
 #: Rows (of a few dozen bytes) up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,7 +47,8 @@ def _keys(line: Column) -> list[Column]:
 
 def _lines(docs: DataFrame, bits: int) -> DataFrame:
     """doc_id, th (hash of the text), pos, ord (an order key of doc_id and pos), line."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("ls"))  # before each line gets a row
+    rows = texts.select("doc_id", "th", F.posexplode("ls").alias("pos", "line"))
     if bits:
         order = F.shiftleft(F.col("doc_id").cast("long"), bits).bitwiseOR(F.col("pos").cast("long"))
     else:
@@ -90,7 +94,10 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
 
     # place n: nothing deleted. The hash of two arrays in turn is that of the two put together.
     forms = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == n, F.lit(-1)).otherwise(i).alias("at"), F.xxhash64(F.slice("h", F.lit(1), i), F.slice("h", i + 2, n)).alias("v")))
-    variants = words.select("k1", "k2", "first", F.inline(forms))
+    variants = words.where(n <= LONG + 1).select("k1", "k2", "first", F.inline(forms))
+    long = words.where(n >= LONG)
+    if long.limit(1).count():
+        variants = staged(variants.unionByName(_long_variants(long)), "variants")
     by_variant = Window.partitionBy("v")  # a row for each place: no more than a line has words
     at_place = variants.groupBy("v", "at").agg(F.min("first").alias("m"), F.max("first").alias("x")).select(
         "v", "at", "m", F.min("m").over(by_variant).alias("all_m"), F.max("x").over(by_variant).alias("all_x"), F.min(F.when(F.col("at") == -1, F.col("m"))).over(by_variant).alias("whole_m")
@@ -105,6 +112,24 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
     return staged(recurring.unionByName(near).groupBy("k1", "k2").agg(F.min("near").alias("t")), "thresholds")
 
 
+def _long_variants(words: DataFrame) -> DataFrame:
+    """words (k1, k2, first, h) -> k1, k2, first, at, v of long lines, a row for each word and one for the whole: linear in the words.
+
+    A form is hashed to the exclusive or of its words' hashes with their places, so that of a line without one word is what stands before
+    the word, as it is, and what stands after it, one place earlier; both are running sums over the line.
+    """
+    each = words.select("k1", "k2", "first", F.size("h").alias("n"), F.posexplode("h").alias("at", "w"))
+    here, earlier = F.xxhash64("w", F.col("at")), F.xxhash64("w", F.col("at") - 1)
+    line = Window.partitionBy("k1", "k2", "first").orderBy("at")
+    before = F.coalesce(F.bit_xor(here).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto, all_ = F.bit_xor(earlier).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.bit_xor(earlier).over(Window.partitionBy("k1", "k2", "first"))
+    rows = each.select("k1", "k2", "first", "at", "n", here.alias("here"), before.alias("before"), upto.alias("upto"), all_.alias("all"))
+    form = lambda at, v: F.struct(at.alias("at"), F.xxhash64(F.lit("long"), v).alias("v"))
+    without = form(F.col("at"), F.col("before").bitwiseXOR(F.col("all").bitwiseXOR(F.col("upto"))))
+    whole = form(F.lit(-1), F.col("before").bitwiseXOR(F.col("here")))
+    return rows.select("k1", "k2", "first", F.inline(F.when(F.col("at") == F.col("n") - 1, F.array(without, whole)).otherwise(F.array(without))))
+
+
 def edit_distance_at_most_one(a: str, b: str) -> Column:
     """Of arrays of word hashes: what they have in common at the two ends leaves at most one word of either."""
 
@@ -133,7 +158,9 @@ def with_drops(docs: DataFrame) -> tuple[DataFrame, str, str]:
     if small[0] <= BROADCAST_ROWS and (small[1] or 0) <= 8 * BROADCAST_ROWS:
         places = F.broadcast(places)
     marked = docs.join(places, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(th)), "left").drop(id_, th)
-    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    # the lines are bound first, so the text is cut once
+    staying = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone)), lambda i: F.get(ls, i))
+    stay = F.get(F.transform(F.array(F.split("text", "\n", -1)), staying), 0)
     return marked.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))), gone, kept
 
 
