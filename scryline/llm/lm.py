@@ -9,7 +9,12 @@ labelled good.
 Words are counted into a table on the executors. Then each document sends its bigrams to buckets, whose number follows the
 corpus; in a bucket all occurrences of a bigram meet, so it is counted and scored there, and each document gets
 its sums back. The counts of the single words are broadcast for the FREQUENT most frequent words at most; bigrams with another
-word find them by a join with the table. Nothing is left out on either way.
+word find them by a join with the table.
+
+Hot bigrams, which would fill a bucket, don't meet: the pass that counts the words notes those that make up a share of some block of text above that
+of a quarter of a bucket in the corpus, as a bigram with that share of the corpus must somewhere. The documents' numbers of these are
+added up by partial sums, and their losses are looked up where the document is. Which bigrams go which way changes no score, and nothing is left
+out on any.
 
 Defined results: null texts and texts without words have no tokens, no cross-entropies and the score 0; documents with
 a null doc_id are scored but aren't in the target; rows that repeat count, and are scored, each for itself; without a
@@ -28,7 +33,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scryline.llm.common import documents, release, staged
+from scryline.llm.common import bounded, documents, release, staged
 
 #: Words whose counts are broadcast, at most (2^PLACE_BITS can be told apart); those of the others are joined.
 FREQUENT = 1 << 18
@@ -38,7 +43,9 @@ BUCKET, BLOCK, COUNTED = 1 << 20, 1 << 19, 1 << 21
 BROADCAST_ROWS = 2_000_000
 KEEP, LEAN = 0.8, 5  # rare contexts lean on single words
 TRAIN, TARGET, SCORE = 1, 2, 4
-COMMON, RARE, DOCUMENT = 0, 1, 2
+COMMON, RARE, DOCUMENT, HOT = 0, 1, 2, 3
+#: Hot bigrams that are broadcast, at most; the least share of a block that makes one.
+MOST_HOT, LEAST_SHARE = 1 << 20, 2.0**-20
 BITS, PLACE_BITS = 31, 20
 _WORD = re.compile(r"\w+")
 
@@ -57,39 +64,57 @@ class Vocabulary:
         return np.array([0, *[1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (self.size - 1) for w in found], 0] if found else [], np.int64)
 
 
-def _counts(docs: DataFrame, keys: Callable[[str | None], np.ndarray]) -> DataFrame:
-    """docs (text, flags) -> key, n over all documents, n_target over the target's."""
+def _counts(docs: DataFrame, ids: Callable[[str | None], np.ndarray], share: float | None = None, bigrams: bool = False) -> DataFrame:
+    """docs (text, flags) -> kind, key, n over all documents, n_target over the target's, of words (kind 0).
+
+    share: also bigrams (kind 1) that make up that share of a block, with no more than a part of their occurrences; bigrams: all of them, instead of words.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
-        def summed() -> pd.DataFrame:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"key": key >> 1, "n": n, "n_target": n * (key & 1)})
+        def summed() -> Iterator[pd.DataFrame]:
+            marked = np.concatenate(held)
+            ends = np.cumsum([len(x) for x in held])
+            if not bigrams:
+                key, n = np.unique(np.delete(marked, np.concatenate(([0], ends[:-1]))[np.diff(ends, prepend=0) > 0]), return_counts=True)
+                yield pd.DataFrame({"kind": 0, "key": key >> 1, "n": n, "n_target": n * (key & 1)})
+            if (bigrams or share) and size:
+                inner = np.ones(len(marked) - 1, bool)
+                inner[ends[(ends > 0) & (ends < len(marked))] - 1] = False  # from one document to the next
+                cells = ((marked[:-1] >> 1 << BITS | marked[1:] >> 1) * 2 + (marked[1:] & 1))[inner]
+                if not bigrams:  # those whose last word alone is as frequent can be
+                    cells = cells[_often(cells >> 1 & (1 << BITS) - 1, share * size)]
+                key, n = np.unique(cells, return_counts=True)
+                chosen = n >= (1 if bigrams else max(2, share * size / 2))  # a bigram of the target counts apart
+                key, n = key[chosen], n[chosen]
+                yield pd.DataFrame({"kind": 1, "key": key >> 1, "n": n, "n_target": n * (key & 1)})
 
         for pdf in batches:
             for text, flags in zip(pdf["text"], pdf["flags"], strict=True):
-                held.append(keys(text) * 2 + bool(flags & TARGET))
+                held.append(ids(text) * 2 + bool(flags & TARGET))
                 size += len(held[-1])
                 if size > COUNTED:
-                    yield summed()
+                    yield from summed()
                     held, size = [], 0
+                    release()
         if held:
-            yield summed()
+            yield from summed()
 
-    rows = docs.select("text", "flags").mapInPandas(count, "key long, n long, n_target long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    rows = docs.select("text", "flags").mapInPandas(count, "kind int, key long, n long, n_target long")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def bigram_counts(docs: DataFrame, vocabulary: Vocabulary, target: frozenset) -> DataFrame:
-    """cell (first id times vocabulary size plus second id), n over all documents, n_target over the target's."""
+def _often(keys: np.ndarray, least: float) -> np.ndarray:
+    """Which of the keys (below 2^BITS) occur at least so often, or share some of their bits with others that do."""
+    low = keys & (1 << 20) - 1
+    return np.bincount(low, minlength=1 << 20)[low] >= least
 
-    def cells(text: str | None) -> np.ndarray:
-        ids = vocabulary(text)
-        return ids[:-1] << BITS | ids[1:]
 
+def bigram_counts(docs: DataFrame, vocabulary: Vocabulary, target: frozenset) -> DataFrame:
+    """cell (first id times vocabulary size plus second id), n over all documents, n_target over the target's."""
     flags = F.when(F.col("doc_id").isin(list(target)), TARGET).otherwise(0) if target else F.lit(0)
-    return _counts(docs.select("text", flags.alias("flags")), cells).withColumnRenamed("key", "cell")
+    return _counts(docs.select("text", flags.alias("flags")), vocabulary, bigrams=True).withColumnRenamed("key", "cell").drop("kind")
 
 
 @dataclass
@@ -121,6 +146,7 @@ class Scorer:
     words: DataFrame  # id, n, n_target
     frequent: np.ndarray  # rows: id (ascending), n, n_target of the words that are broadcast
     losses: Losses
+    hot: np.ndarray  # bigrams (first id << BITS | second), ascending
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -129,7 +155,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(0)).bitwiseOR(F.lit(TRAIN)).alias("flags"))
     vocabulary = Vocabulary()
-    words = staged(_counts(flagged, lambda text: vocabulary(text)[1:]).withColumnRenamed("key", "id"), "lm-words")
+    bounded(docs.sparkSession)
+    # about six characters a word; the estimate sets which bigrams are hot, nothing else
+    tokens = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6)
+    share = min(1.0, max(LEAST_SHARE, BUCKET / 4 / tokens))
+    counted = staged(_counts(flagged, vocabulary, share), "lm-words")
+    words = counted.where("kind = 0").select(F.col("key").alias("id"), "n", "n_target")
+    hot = np.sort(counted.where("kind = 1").orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key").toPandas()["key"].to_numpy(np.int64))
     # Steps of a quarter of a doubling: as many of the highest as hold FREQUENT words at most.
     step = F.floor(F.log2("n") * 4).alias("step")
     steps = sorted(words.groupBy(step).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).collect(), reverse=True)
@@ -141,14 +173,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         lowest = r["step"]
     top = words.where(step >= lowest).orderBy("id").toPandas() if lowest is not None else pd.DataFrame({"id": [], "n": [], "n_target": []})
     different, total, mass = (sum(r[c] for r in steps) for c in ("words", "n", "n_target"))
-    return Scorer(docs, flagged, vocabulary, words, top[["id", "n", "n_target"]].to_numpy(np.int64).T.copy(), Losses(different, total, mass))
+    return Scorer(docs, flagged, vocabulary, words, top[["id", "n", "n_target"]].to_numpy(np.int64).T.copy(), Losses(different, total, mass), hot)
 
 
 class Sender:
-    """Blocks of documents -> rows for the buckets: bigrams of frequent words, other bigrams, and the documents themselves."""
+    """Blocks of documents -> rows for the buckets: bigrams of frequent words, other bigrams, and the documents themselves; hot bigrams go with their block to any bucket."""
 
-    def __init__(self, vocabulary: Vocabulary, frequent: np.ndarray, buckets: int):
-        self.vocabulary, self.frequent, self.buckets = vocabulary, frequent, buckets
+    def __init__(self, vocabulary: Vocabulary, frequent: np.ndarray, buckets: int, hot: np.ndarray):
+        self.vocabulary, self.frequent, self.buckets, self.hot = vocabulary, frequent, buckets, hot
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, held, size = TaskContext.get().partitionId() << 40, [], 0
@@ -175,7 +207,11 @@ class Sender:
         common = known[first] & known[second]
         all_at = np.repeat((np.arange(len(held)) << 3 | flags).astype(np.int32), np.maximum(lengths - 1, 0))
         out = []
-        for kind, chosen, bits, x in ((COMMON, common, PLACE_BITS, place), (RARE, ~common, BITS, ids)):
+        is_hot, hot_at = find(self.hot[None], ids[first] << BITS | ids[second])
+        if is_hot.any():
+            at, times = np.unique(all_at[is_hot].astype(np.int64) << 32 | hot_at[is_hot], return_counts=True)
+            out.append((zlib.crc32(base.to_bytes(8, "little")) % self.buckets, base, HOT, (at >> 32).astype(np.int32).tobytes(), np.stack([at & 0xFFFFFFFF, times]).astype(np.int32).tobytes(), None))
+        for kind, chosen, bits, x in ((COMMON, common & ~is_hot, PLACE_BITS, place), (RARE, ~common & ~is_hot, BITS, ids)):
             cells, at = (x[first] << bits | x[second])[chosen], all_at[chosen]
             bucket = (cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % self.buckets
             order = np.argsort(bucket, kind="stable")
@@ -246,6 +282,10 @@ def _judge(pdf: pd.DataFrame, frequent: np.ndarray, losses: Callable) -> pd.Data
     out.append(rows)
     del cells, inverse, n, t
 
+    for base, at, cells in zip(*[pdf.loc[pdf["kind"] == HOT, c] for c in ("base", "at", "cells")], strict=True):
+        at, (places, times) = np.frombuffer(at, np.int32), np.frombuffer(cells, np.int32).reshape(2, -1)
+        out.append({"kind": np.full(len(at), HOT), "rid": base + (at >> 3).astype(np.int64), "cell": places.astype(np.int64), "n0": times.astype(np.int64), "t0": (at & 7).astype(np.int64)})
+
     for base, at, cells, ids in zip(*[pdf.loc[pdf["kind"] == DOCUMENT, c] for c in ("base", "at", "cells", "ids")], strict=True):
         places = np.frombuffer(cells, np.int64)
         out.append({"kind": np.full(len(places), DOCUMENT), "rid": base + places, "doc_id": np.array(list(ids), object), "tokens": np.frombuffer(at, np.int64)})
@@ -270,6 +310,21 @@ def _others(rare: DataFrame, scorer: Scorer) -> DataFrame:
     return one.unionByName(two).select("rid", target_loss.alias("target_loss"), loss.alias("loss"))
 
 
+def _hot(judged: DataFrame, scorer: Scorer) -> DataFrame:
+    """rid, target_loss, loss of hot bigrams: judged (rid, cell: which one, n0: how often, t0: the document's flags)."""
+    spark, flagged = judged.sparkSession, lambda f: F.col("t0").bitwiseAND(F.lit(f)) > 0
+    rows = judged.where(F.col("kind") == HOT)
+    both = rows.groupBy("cell").agg(*[F.sum(F.when(flagged(f), F.col("n0")).otherwise(0)).alias(c) for c, f in (("b", TRAIN), ("bt", TARGET))])
+    known = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(scorer.hot)), "id1": scorer.hot >> BITS, "id2": scorer.hot & (1 << BITS) - 1}))
+    for k in (1, 2):
+        word = scorer.words.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"n{k}"), F.col("n_target").alias(f"t{k}"))
+        known = known.join(word, f"id{k}", "left").fillna(0, [f"n{k}", f"t{k}"])
+    target_loss, loss = scorer.losses([F.col(c) for c in ("b", "n1", "n2")], [F.col(c) for c in ("bt", "t1", "t2")], F.log)
+    priced = both.join(known, "cell").select("cell", target_loss.alias("a"), loss.alias("b"))  # MOST_HOT rows at most
+    each = rows.where(flagged(SCORE)).join(F.broadcast(priced), "cell")
+    return each.groupBy("rid").agg(F.sum(F.col("a") * F.col("n0")).alias("target_loss"), F.sum(F.col("b") * F.col("n0")).alias("loss"))
+
+
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """docs (doc_id, text) -> doc_id, tokens, target_ce, background_ce, score."""
     vocabulary, frequent, losses = scorer.vocabulary, scorer.frequent, scorer.losses
@@ -278,21 +333,24 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     else:
         wanted = docs.select("doc_id", "text", F.lit(SCORE).alias("flags"))
         rows = scorer.docs.union(wanted)
-        size = losses.total + (_counts(wanted, lambda text: vocabulary(text)[1:]).agg(F.sum("n")).first()[0] or 0)
+        size = losses.total + (_counts(wanted, vocabulary).agg(F.sum("n")).first()[0] or 0)
     buckets = 1 + size // BUCKET
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    bounded(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, scorer.hot))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from Sender(vocabulary, shared.value, buckets)(batches)
+        yield from Sender(vocabulary, shared.value[0], buckets, shared.value[1])(batches)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _judge(pdf, shared.value, losses)
+        out = _judge(pdf, shared.value[0], losses)
         release()
         return out
 
     sent = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(send, "bucket int, base long, kind int, at binary, cells binary, ids array<string>")
     judged = staged(sent.groupBy("bucket").applyInPandas(judge, JUDGED), "lm-judged")
-    known = judged.where(F.col("kind") != RARE).select("rid", "doc_id", "tokens", "target_loss", "loss")
+    known = judged.where(F.col("kind").isin(COMMON, DOCUMENT)).select("rid", "doc_id", "tokens", "target_loss", "loss")
+    if len(scorer.hot):
+        known = known.unionByName(_hot(judged, scorer), allowMissingColumns=True)
     others = _others(judged.where(F.col("kind") == RARE).select("rid", *[f"{c}{k}" for k in (0, 1, 2) for c in "nt"], "k1", "k2"), scorer)
     each = known.unionByName(others, allowMissingColumns=True).groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "tokens")], *[F.sum(c).alias(c) for c in ("target_loss", "loss")])
     target_ce, background_ce = (F.when((F.col("tokens") > 0) & F.lit(losses.mass > 0), F.col(c) / F.col("tokens")) for c in ("target_loss", "loss"))

@@ -345,10 +345,12 @@ def test_lm_equals_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(lm, "BLOCK", 300)
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) if rng.random() < 0.5 else rng.randrange(3000)}" for _ in range(rng.randint(0, 80)))) for i in range(150)]
-    rows += [rows[3], (None, rows[4][1]), (150, None), (151, "")]
+    rows += [rows[3], (None, rows[4][1]), (150, None), (151, ""), *[(160 + i, "w1 hot pair " * 20 + f"w{i}") for i in range(12)]]
+    monkeypatch.setattr(lm, "COUNTED", 400)  # many blocks, in some of which the pair is hot
     good = {i for i in range(120) if i % 3}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     scorer = lm.learn(docs, spark.createDataFrame([(i, int(i in good)) for i in range(120)], "doc_id long, quality int"))
+    assert len(scorer.hot)
     seen = [Counter(), Counter()]
     pairs = lambda t: list(zip(["", *t.split()], [*t.split(), ""])) if t else []
     for d, t in rows:
