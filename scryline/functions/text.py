@@ -164,6 +164,12 @@ def path_matches(actual: Column, expected: Column) -> Column:
     return (a == e) | F.endswith(a, F.concat(F.lit("/"), e))
 
 
+def path_suffixes(path: Column) -> Column:
+    """all that a path matches: itself, and what follows each of its slashes."""
+    parts = F.split(lower_path(path), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def relative_path(path: Column, root: Column) -> Column:
     """What follows root; paths elsewhere stay."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
@@ -171,21 +177,37 @@ def relative_path(path: Column, root: Column) -> Column:
     return F.when(F.startswith(p, r), F.substr(p, F.length(r) + 1)).otherwise(p)
 
 
-def is_review_target(path: Column) -> Column:
-    """Not a README."""
-    return ~F.coalesce(file_name(path).rlike(r"^readme$|^readme[.](.*[.])?(adoc|markdown|md|rst|txt)$"), F.lit(False))
-
-
-# Kinds of path. Fixed values.
+# Kinds of path. Fixed values.
+README_SUFFIXES = [".adoc", ".markdown", ".md", ".rst", ".txt"]
 SEMANTIC_SKIP_DIRS = [".next", "coverage", "generated", "vendor"]
 LOCKFILES = ["bun.lock", "bun.lockb", "cargo.lock", "composer.lock", "npm-shrinkwrap.json", "package-lock.json", "pipfile.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "yarn.lock"]
+SEMANTIC_SKIP_SUFFIXES = [".css.map", ".js.map", ".min.css", ".min.js"]
+EVIDENCE_SUFFIXES = [".md", ".txt"]
+EVIDENCE_NAME_PARTS = ["test_spec", "verify_logic"]
+EVIDENCE_PATH_PARTS = ["/tests/", "/test/", "__tests__"]
+NON_RUNTIME_PATH_PARTS = ["/tests/", "/test/", "/docs/"]
+NON_RUNTIME_SUFFIXES = [".md", ".rst"]
+TEST_PREFIX = "test_"
+
+
+def _ends(name: Column, suffixes: list[str]) -> Column:
+    out = F.lit(False)
+    for x in suffixes:
+        out = out | F.endswith(name, F.lit(x))
+    return out
+
+
+def is_review_target(path: Column) -> Column:
+    """Not a README."""
+    name = file_name(path)
+    return ~F.coalesce((name == "readme") | (F.startswith(name, F.lit("readme.")) & _ends(name, README_SUFFIXES)), F.lit(False))
 
 
 def is_semantic_file(path: Column) -> Column:
     """No generated folder, lock file, minified script or map."""
     name, parts = file_name(path), path_parts(path)
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return ~(F.arrays_overlap(folders, _strings(SEMANTIC_SKIP_DIRS)) | name.isin(LOCKFILES) | name.rlike(r"\.css\.map$|\.js\.map$|\.min\.css$|\.min\.js$"))
+    return ~(F.arrays_overlap(folders, _strings(SEMANTIC_SKIP_DIRS)) | name.isin(LOCKFILES) | _ends(name, SEMANTIC_SKIP_SUFFIXES))
 
 
 def is_plain_file(path: Column) -> Column:
@@ -196,12 +218,13 @@ def is_plain_file(path: Column) -> Column:
 def is_non_runtime_evidence(path: Column) -> Column:
     """P23, for ranking of search results."""
     p, name = F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), file_name(path)
-    return name.rlike(r"\.(md|txt)$|test_spec|verify_logic|^test_") | any_of(p, ["/tests/", "/test/", "__tests__"])
+    return _ends(name, EVIDENCE_SUFFIXES) | any_of(name, EVIDENCE_NAME_PARTS) | F.startswith(name, F.lit(TEST_PREFIX)) | any_of(p, EVIDENCE_PATH_PARTS)
 
 
 def is_non_runtime(path: Column) -> Column:
     """P23, for probe candidates."""
-    return any_of(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), ["/tests/", "/test/", "/docs/"]) | file_name(path).rlike(r"^test_|\.(md|rst)$")
+    p, name = F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), file_name(path)
+    return any_of(p, NON_RUNTIME_PATH_PARTS) | F.startswith(name, F.lit(TEST_PREFIX)) | _ends(name, NON_RUNTIME_SUFFIXES)
 
 
 # Secrets. Fixed values.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from scryline.functions.claims import finding_key
 from scryline.functions.scalars import AI_SOURCES, SEVERITIES, report_priority, severity_order, severity_rank, source_order
 from scryline.functions.text import normalize_path
+from scryline.operators.ranges import by_start, merged
 
 
 def merge_ranges(rows: DataFrame, keys: list[str], start: str = "line_start", end: str = "line_end", tie: str = "issue_id") -> DataFrame:
@@ -47,18 +48,22 @@ def representatives(rows: DataFrame, keys: list[str], columns: list[str]) -> Dat
 
 
 def occurrences(issues: DataFrame, key: str = "finding_key") -> DataFrame:
-    """A04 + A05: one row for each island of a finding in a file, with its range, sources and representative."""
-    islands = merge_ranges(issues.withColumn("path", normalize_path(F.col("file_path"))), ["job_id", key, "path"])
-    return islands.groupBy("job_id", key, "path", "island").agg(
-        F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.count("*").alias("raw"), F.array_sort(F.collect_set("source")).alias("sources"),
-        F.min(F.struct(representative_key().alias("k"), "issue_id", "severity", "category")).alias("b"),
-    ).select("job_id", key, "path", "island", "line_start", "line_end", "raw", "sources", F.col("b.issue_id").alias("issue_id"), F.col("b.severity").alias("severity"), F.col("b.category").alias("category"))
+    """A04 + A05: one row for each island of a finding in a file, with its range, sources and representative (`best`).
+
+    Rows that begin at the same line are added up first, then ranges are merged within cells of lines and over them, so a file with most rows
+    isn't one task's work.
+    """
+    keys = ["job_id", key, "path"]
+    best = F.min(F.struct(representative_key().alias("k"), "issue_id", "severity", "category", "source")).alias("best")
+    points = by_start(issues.withColumn("path", normalize_path(F.col("file_path"))), keys, F.count("*").alias("raw"), F.collect_set("source").alias("sources"), best)
+    islands = merged(points, keys, [F.sum("raw").alias("raw"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"), F.min("best").alias("best")])  # sources are few
+    return islands.select(*keys, "line_start", "line_end", "raw", F.array_sort("sources").alias("sources"), "best.issue_id", "best.severity", "best.category", "best")
 
 
 def finding_groups(issues: DataFrame, key: str = "finding_key") -> DataFrame:
-    """One row for each finding of a job: representative, occurrences, raw rows, files."""
-    occ = occurrences(issues, key).groupBy("job_id", key).agg(F.count("*").alias("occurrence_count"), F.sum("raw").alias("raw_issue_count"), F.array_sort(F.collect_set("path")).alias("affected_files"))
-    return occ.join(representatives(issues, ["job_id", key], ["issue_id", "severity", "category", "source"]), ["job_id", key])
+    """One row for each finding of a job: representative (the least of its occurrences' ones), occurrences, raw rows, files."""
+    out = occurrences(issues, key).groupBy("job_id", key).agg(F.count("*").alias("occurrence_count"), F.sum("raw").alias("raw_issue_count"), F.array_sort(F.collect_set("path")).alias("affected_files"), F.min("best").alias("best"))
+    return out.select("job_id", key, "occurrence_count", "raw_issue_count", "affected_files", *[f"best.{c}" for c in ("issue_id", "severity", "category", "source")])
 
 
 def severity_counts(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scryline.functions.scalars import version_satisfies
+from scryline.operators.terms import held_terms
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -39,16 +40,15 @@ def shared_components(members: DataFrame, node: str, via: str) -> DataFrame:
 
 
 def related_paths(files: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-    """Files (path, content) by how many of a few terms they hold, two more for tests; terms (term) are counted and broadcast."""
-    wanted = [r[0] for r in terms.select("term").distinct().collect()]  # a stated, small set
-    hits = F.size(F.filter(F.array(*[F.lit(t) for t in wanted]), lambda t: F.contains(F.lower("content"), t)))
+    """Files (path, content) by how many of the terms (term) they hold, two more for tests."""
+    hits = held_terms(files, "content", terms.select("term")).withColumn("hits", F.size("terms")).where("hits > 0")
     score = F.col("hits") + F.when(F.col("path").rlike(r"(^|/)tests?/|(^|/)test_|[._]test\."), 2).otherwise(0)
-    return files.withColumn("hits", hits).where("hits > 0").withColumn("score", score).orderBy(F.desc("score"), "path").limit(most)
+    return hits.drop("terms").withColumn("score", score).orderBy(F.desc("score"), "path").limit(most)
 
 
 def matching_rule(rule_ids: DataFrame, rules: DataFrame, candidate: str) -> DataFrame:
     """Of each candidate's rules (array, in order) the first whose package or one of its first three terms is in the text, else the first."""
-    each = rule_ids.select(candidate, "text", F.posexplode("rule_ids").alias("pos", "rule_id")).join(F.broadcast(rules), "rule_id", "left")
+    each = rule_ids.select(candidate, "text", F.posexplode("rule_ids").alias("pos", "rule_id")).join(rules, "rule_id", "left")
     t = F.lower("text")
     hit = F.coalesce(F.contains(t, F.lower("package")), F.lit(False)) | F.coalesce(F.exists(F.slice("terms", 1, 3), lambda x: F.contains(t, F.lower(x))), F.lit(False))
     return each.groupBy(candidate).agg(F.min_by("rule_id", F.struct(~hit, F.col("pos"))).alias("rule_id"))

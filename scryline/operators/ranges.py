@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scryline.functions.text import referenced_symbols
+from scryline.functions.text import lower_path, path_suffixes, referenced_symbols
 
 
 def overlapping(queries: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,6 +21,47 @@ def bucketed_overlap(queries: DataFrame, chunks: DataFrame, keys: list[str], wid
     return both.where(F.col("_cell") == F.floor(F.greatest("q_start", "line_start") / width)).drop("_cell")
 
 
+#: Lines of a cell in which places meet.
+PLACE_LINES = 64
+
+
+def places_met(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Actual (keys, path, a_start, a_end, ...) with the expected (keys, e_path, line_start, line_end, ...) whose path its own is or ends in, and whose lines overlap.
+
+    Each actual path stands for all its endings, so it meets an expected path as a whole and only in common cells of lines: places of one
+    bare name, or of one long file, don't all meet.
+    """
+    a = actual.withColumn("_place", F.explode(path_suffixes(F.col("path")))).withColumnsRenamed({"a_start": "q_start", "a_end": "q_end"})
+    e = expected.withColumn("_place", lower_path(F.col("e_path")))
+    return bucketed_overlap(a, e, [*keys, "_place"], PLACE_LINES).drop("_place", "q_start", "q_end")
+
+
+#: Lines of a cell within which ranges are merged first.
+CELL_LINES = 4096
+
+
+def merged(points: DataFrame, keys: list[str], merge: list | None = None, touch: int = 0, cell: int = CELL_LINES) -> DataFrame:
+    """Overlapping ranges (line_start, line_end) within keys as one, with the aggregates `merge`, which have the names of what they add up.
+
+    Ranges are merged within cells of lines first and what is left over all cells then, since merged ranges merge like any others. So a file
+    of many rows is worked on by as many tasks as it has cells, and only its ranges that lie apart meet. touch: 1 to merge neighbours, too.
+    Rows that share a start should be one already (see `by_start`), else a line of many rows is one group.
+    """
+    out = points.withColumn("_cell", F.floor(F.col("line_start") / cell))
+    for own in ([*keys, "_cell"], keys):
+        order = Window.partitionBy(*own).orderBy("line_start", "line_end")
+        before = F.max("line_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        opens = F.when(before.isNull() | (F.col("line_start") > before + touch), 1).otherwise(0)
+        out = out.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        out = out.groupBy(*own, "_island").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), *(merge or []))
+    return out.drop("_island")
+
+
+def by_start(rows: DataFrame, keys: list[str], *facts) -> DataFrame:
+    """One row for each start within keys, with the greatest end: no key has more rows than its file has lines. Combined before the shuffle."""
+    return rows.groupBy(*keys, "line_start").agg(F.max("line_end").alias("line_end"), *facts)
+
+
 def first_containing(queries: DataFrame, chunks: DataFrame, keys: list[str], query_id: str, line: str, columns: list[str]) -> DataFrame:
     """For each query the chunk of least index whose lines hold the query's line."""
     hit = queries.join(chunks, keys).where(F.col(line).between(F.col("line_start"), F.col("line_end")))
@@ -58,25 +99,27 @@ def missing(expected: DataFrame, reviewed: DataFrame, keys: list[str], limit: in
     return expected.select(*keys).distinct().join(reviewed.select(*keys).distinct(), keys, "left_anti").orderBy(*keys).limit(limit)
 
 
-def covered(targets: DataFrame, pieces: DataFrame, keys: list[str], target_id: str) -> DataFrame:
+def covered(targets: DataFrame, pieces: DataFrame, keys: list[str], target_id: str, width: int = 256) -> DataFrame:
     """Targets (keys, target_id, a, b), pieces (keys, line_start, line_end) -> target_id, covered: do the pieces cover a to b without a gap?
 
-    Pieces are sorted once in each target; a gap shows where one begins after all ends before it.
+    Pieces are merged, neighbours too; then one merged range must hold the whole target. Each is dealt to the cells of `width` lines that it reaches, a
+    target to that of its first line, where it meets the ranges of that cell alone: half its lines at most.
     """
-    hit = targets.join(pieces, keys).where((F.col("line_start") <= F.col("b")) & (F.col("line_end") >= F.col("a")))
-    order = Window.partitionBy(target_id).orderBy("line_start", "line_end").rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.col("line_start") > F.coalesce(F.max("line_end").over(order) + 1, F.col("a"))
-    found = hit.withColumn("_gap", gap).groupBy(target_id).agg((~F.bool_or("_gap") & (F.max("line_end") >= F.first("b"))).alias("covered"))
-    return targets.select(target_id).join(found, target_id, "left").select(target_id, F.coalesce("covered", F.lit(False)).alias("covered"))
+    whole = merged(by_start(pieces.where("line_start <= line_end"), keys), keys, touch=1)
+    cells = whole.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("line_start") / width), F.floor(F.col("line_end") / width))))
+    held = targets.withColumn("_cell", F.floor(F.col("a") / width)).join(cells, [*keys, "_cell"]).where((F.col("line_start") <= F.col("a")) & (F.col("line_end") >= F.col("b")))
+    found = held.select(target_id).distinct().withColumn("_in", F.lit(True))
+    return targets.select(target_id).join(found, target_id, "left").select(target_id, F.coalesce("_in", F.lit(False)).alias("covered"))
 
 
 def gaps(pieces: DataFrame, keys: list[str], total: str) -> DataFrame:
     """Keys, gap_start, gap_end: the lines of 1 to total that no piece covers."""
-    order = Window.partitionBy(*keys).orderBy("line_start", "line_end")
-    seen = F.coalesce(F.max("line_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = pieces.withColumn("_s", seen).where(F.col("line_start") > F.col("_s") + 1).select(*keys, (F.col("_s") + 1).alias("gap_start"), (F.col("line_start") - 1).alias("gap_end"))
-    tail = pieces.groupBy(*keys).agg(F.max("line_end").alias("_e"), F.first(total).alias("_t")).where("_e < _t").select(*keys, (F.col("_e") + 1).alias("gap_start"), F.col("_t").alias("gap_end"))
-    return inner.unionByName(tail)
+    whole = merged(by_start(pieces, keys, F.max(total).alias("_t")), keys, [F.max("_t").alias("_t")], touch=1)
+    order = Window.partitionBy(*keys).orderBy("line_start")
+    rows = whole.withColumn("_s", F.coalesce(F.lag("line_end").over(order), F.lit(0))).withColumn("_last", F.lead("line_end").over(order).isNull()).withColumn("_t", F.max("_t").over(Window.partitionBy(*keys)))
+    inner = F.when(F.col("line_start") > F.col("_s") + 1, F.struct((F.col("_s") + 1).alias("gap_start"), (F.col("line_start") - 1).alias("gap_end")))
+    tail = F.when(F.col("_last") & (F.col("line_end") < F.col("_t")), F.struct((F.col("line_end") + 1).alias("gap_start"), F.col("_t").alias("gap_end")))
+    return rows.select(*keys, F.inline(F.filter(F.array(inner, tail), lambda g: g.isNotNull())))
 
 
 def snippet(chunks: DataFrame, queries: DataFrame, keys: list[str], query_id: str, around: int = 3) -> DataFrame:

@@ -1,4 +1,4 @@
-"""From retrieval to persisted issues: lanes, judge payloads, issues, reports, fix checks, traces (IDs A17, G07, G11, J11, J12, J25, S18, U01, U06, X06, X07, X15, X17, X20, X27, X42, X43, X45, X49, X50, X54)."""
+"""From retrieval to persisted issues: lanes, judge payloads, issues, reports, fix checks, traces (IDs A17, G07, G11, J11, J12, J25, S18, U01, U06, X06, X15, X17, X20, X27, X42, X43, X45, X49, X50, X54)."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from scryline.functions.claims import finding_key, probe_claim
-from scryline.functions.text import file_name, is_review_target, lower_path, path_matches
+from scryline.functions.text import is_review_target
 from scryline.operators.chunking import split_documents
 from scryline.operators.findings import report_aggregate
 from scryline.operators.lookups import eligible
+from scryline.operators.ranges import places_met
 from scryline.operators.retrieval import postings
 from scryline.operators.trace import finding_matches
 
@@ -23,9 +24,9 @@ RISKY_FILES = 5
 
 
 def audit_plan(baseline: DataFrame, coverage: DataFrame, roadmap: DataFrame) -> DataFrame:
-    """The probes of the three parts, one after the other; each part has `ord`."""
+    """The probes of the three parts, one after the other by (part, ord); each part has `ord`."""
     parts = [p.withColumn("part", F.lit(k)) for k, p in enumerate((baseline, coverage, roadmap))]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy("part", "ord")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def strategy_union(probe: str, lists: dict[str, DataFrame]) -> DataFrame:
@@ -44,80 +45,67 @@ def strategy_counts(candidates: DataFrame, probe: str) -> DataFrame:
     return candidates.select(probe, "strategy", *CHUNK).distinct().groupBy(probe, "strategy").agg(F.count("*").alias("n"))
 
 
-def lane_selection(candidates: DataFrame, job: str, k: int, full_audit: bool = False) -> DataFrame:
-    """Candidates (job, lane, probe_ord, chunk, score) -> the k best of each probe.
+def _at(v: Column, path: str, kind: str = "variant") -> Column:
+    """What stands at a path of a variant; null only where nothing does, or it isn't of the kind."""
+    return F.try_variant_get(v, path, kind)
 
-    Coverage probes leave out what defect probes chose (unless all is audited) and what coverage probes before them chose, so
-    those are gone through in order: one anti-join for each place in the plan, whatever the number of jobs.
-    """
-    best = Window.partitionBy(job, "lane", "probe_ord").orderBy(F.desc("score"), *CHUNK)
-    top = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    coverage = candidates.where("lane = 'coverage'")
-    out = top(candidates.where("lane <> 'coverage'"))
-    used = out.where("lane = 'defect'").select(job, *CHUNK).distinct()
-    if full_audit:
-        used = used.limit(0)
-    for r in coverage.select("probe_ord").distinct().orderBy("probe_ord").collect():  # places of a plan, few by nature
-        chosen = top(coverage.where(F.col("probe_ord") == r[0]).join(used, [job, *CHUNK], "left_anti"))
-        out = out.unionByName(chosen)
-        used = used.unionByName(chosen.select(job, *CHUNK))
-    return out
-
-
-def _json(column: Column, path: str) -> Column:
-    return F.get_json_object(column, path)
 
+def _kind(v: Column, name: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(name)), F.lit(False))
 
-def _array(column: Column) -> Column:
-    """The elements of a JSON array as JSON texts; null if it is none."""
-    return F.when(F.startswith(F.ltrim(column), F.lit("[")), F.from_json(column, "array<string>"))
 
-
-def _number_fits(issue: Column, name: str, low: float, high: float | None = None, whole: bool = False) -> Column:
-    raw = _json(issue, f"$.{name}")
+def _number_fits(v: Column, name: str, low: float, high: float | None = None, whole: bool = False) -> Column:
+    """Nothing or JSON's null, or a number (or its text) within bounds."""
+    raw = _at(v, f"$.{name}", "string")
     n = raw.try_cast("double")
     ok = n.isNotNull() & (n >= low)
     if high is not None:
         ok = ok & (n <= high)
     if whole:
         ok = ok & (n == F.floor(n))
-    return raw.isNull() | ok
+    return raw.isNull() | F.coalesce(ok, F.lit(False))
 
 
 def _issue_fits(issue: Column) -> Column:
-    return F.startswith(F.ltrim(issue), F.lit("{")) & _number_fits(issue, "confidence", 0, 1) & _number_fits(issue, "line_start", 1, whole=True) & _number_fits(issue, "line_end", 1, whole=True)
+    return _kind(issue, "OBJECT") & _number_fits(issue, "confidence", 0, 1) & _number_fits(issue, "line_start", 1, whole=True) & _number_fits(issue, "line_end", 1, whole=True)
 
 
 def judge_payloads(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     """Key, results (array of struct<probe_id, verdict, confidence, issues array<string>>), rejected, unscoped.
 
-    Valid results and issues stay, the others are counted. A result needs a probe, one of three verdicts, and issues exactly
-    if the verdict is `issue`; an issue is an object whose lines are whole numbers from 1 and whose confidence is in 0..1. Payloads of
-    the older form list candidates, each a result with one issue. unscoped: something was lost whose probe isn't known.
+    Each payload is parsed once. Valid results and issues stay, the others are counted. A result needs a probe and one of three verdicts as texts, a list of
+    issues or none (null is neither), and valid ones exactly if the verdict is `issue`; an issue is an object whose lines are whole numbers from 1
+    and whose confidence is in 0..1. Payloads without `results` may be of the older form and list candidates, each a result with one issue. unscoped:
+    something was lost whose probe isn't known.
     """
-    p = F.col(payload)
-    legacy = _json(p, "$.results").isNull() & _json(p, "$.candidates").isNotNull()
-    rows = payloads.select(key, legacy.alias("legacy"), _array(F.coalesce(_json(p, "$.results"), _json(p, "$.candidates"))).alias("items"))
+    v = F.try_parse_json(payload)
+    rows = payloads.select(key, _at(v, "$.results").alias("_new"), _at(v, "$.candidates").alias("_old"))
+    rows = rows.select(key, F.col("_new").isNull().alias("legacy"), _at(F.coalesce("_new", "_old"), "$", "array<variant>").alias("items"))
+    none = F.array().cast("array<variant>")
 
     def result(r: Column) -> Column:
-        raw = F.coalesce(_json(r, "$.issues"), F.lit("[]"))
-        issues = F.when(F.col("legacy"), F.when(_json(r, "$.verdict") == "issue", F.array(r)).otherwise(F.array().cast("array<string>"))).otherwise(_array(raw))
+        given = _at(r, "$.issues")
+        listed = F.when(given.isNull(), none).otherwise(_at(r, "$.issues", "array<variant>"))
+        issues = F.when(~_kind(r, "OBJECT"), F.lit(None)).when(F.col("legacy"), F.when(_at(r, "$.verdict", "string") == "issue", F.array(r)).otherwise(none)).otherwise(listed)
         return F.struct(r.alias("raw"), issues.alias("given"), F.filter(issues, _issue_fits).alias("issues"))
 
     def fits(x: Column) -> Column:
-        r, verdict = x["raw"], _json(x["raw"], "$.verdict")
-        known = F.startswith(F.ltrim(r), F.lit("{")) & (F.coalesce(_json(r, "$.probe_id"), F.lit("")) != "") & verdict.isin("issue", "no_issue", "uncertain")
+        r, verdict = x["raw"], _at(x["raw"], "$.verdict", "string")
+        known = _kind(r, "OBJECT") & _kind(_at(r, "$.probe_id"), "STRING") & (_at(r, "$.probe_id", "string") != "") & verdict.isin("issue", "no_issue", "uncertain")
         whole = F.when(F.col("legacy"), _issue_fits(r)).otherwise(_number_fits(r, "confidence", 0, 1))
-        return F.coalesce(known & whole & x["issues"].isNotNull() & ((verdict == "issue") == (F.size(x["issues"]) > 0)), F.lit(False))
+        return F.coalesce(known & whole & x["given"].isNotNull() & ((verdict == "issue") == (F.size(x["issues"]) > 0)), F.lit(False))
 
-    lost = lambda x: F.when(F.col("legacy") | ~F.startswith(F.ltrim(x["raw"]), F.lit("{")) | x["given"].isNull(), 0).otherwise(F.size(x["given"]) - F.size(x["issues"]))
+    lost = lambda x: F.when(F.col("legacy") | x["given"].isNull(), 0).otherwise(F.size(x["given"]) - F.size(x["issues"]))
     rows = rows.withColumn("read", F.transform("items", result))
     kept = F.filter("read", fits)
     bad = F.size("read") - F.size(kept)
     rejected = F.aggregate("read", F.lit(0), lambda s, x: s + lost(x)) + bad
-    shaped = F.transform(kept, lambda x: F.struct(_json(x["raw"], "$.probe_id").alias("probe_id"), _json(x["raw"], "$.verdict").alias("verdict"), _json(x["raw"], "$.confidence").try_cast("double").alias("confidence"), x["issues"].alias("issues")))
-    none = F.array().cast("array<struct<probe_id:string,verdict:string,confidence:double,issues:array<string>>>")
-    return rows.select(key, F.coalesce(shaped, none).alias("results"), F.coalesce(rejected, F.lit(1)).alias("rejected"), F.coalesce(bad > 0, F.lit(True)).alias("unscoped"))
+    shaped = F.transform(kept, lambda x: F.struct(
+        _at(x["raw"], "$.probe_id", "string").alias("probe_id"), _at(x["raw"], "$.verdict", "string").alias("verdict"), _at(x["raw"], "$.confidence", "string").try_cast("double").alias("confidence"),
+        F.transform(x["issues"], lambda i: F.to_json(i)).alias("issues"),
+    ))
+    empty = F.array().cast("array<struct<probe_id:string,verdict:string,confidence:double,issues:array<string>>>")
+    return rows.select(key, F.coalesce(shaped, empty).alias("results"), F.when(F.col("items").isNull(), 1).otherwise(rejected).alias("rejected"), F.coalesce(bad > 0, F.lit(True)).alias("unscoped"))
 
 
 def references(category: Column, rule_id: Column, known: Column) -> Column:
@@ -213,23 +201,24 @@ def trace_ranks(expected: DataFrame, traces: DataFrame) -> DataFrame:
     """Of each expected issue the least rank among the chunks that traces hold of its place, of its own probes where it names some.
 
     expected (expected_id, probes, file_path, line_start, line_end), traces (probe_id, chunks array<struct<file_path, line_start,
-    line_end>>). Both sides meet on the file's name; path and lines are residues.
+    line_end>>). A chunk that many traces of a probe hold counts once, with its least rank.
     """
-    t = traces.select("probe_id", F.posexplode("chunks").alias("pos", "c")).select("probe_id", "pos", F.col("c.file_path").alias("t_path"), F.col("c.line_start").alias("t_start"), F.col("c.line_end").alias("t_end"))
-    e = expected.withColumn("name", file_name(lower_path(F.col("file_path"))))
-    both = e.join(t.withColumn("name", file_name(lower_path(F.col("t_path")))), "name")
-    fits = path_matches(F.col("t_path"), F.col("file_path")) & (F.col("t_start") <= F.col("line_end")) & (F.col("t_end") >= F.col("line_start"))
+    t = traces.select("probe_id", F.posexplode("chunks").alias("pos", "c")).groupBy("probe_id", F.col("c.file_path").alias("path"), F.col("c.line_start").alias("a_start"), F.col("c.line_end").alias("a_end")).agg(F.min("pos").alias("pos"))
+    both = places_met(t, expected.withColumnRenamed("file_path", "e_path"), [])
     own = (F.size("probes") <= 0) | F.array_contains("probes", F.col("probe_id"))
-    best = both.where(fits & own).groupBy("expected_id").agg(F.min(F.col("pos") + 1).alias("rank"))
+    best = both.where(own).groupBy("expected_id").agg(F.min(F.col("pos") + 1).alias("rank"))
     return expected.select("expected_id").join(best, "expected_id", "left").select("expected_id", F.col("rank").isNotNull().alias("retrieved"), "rank")
 
 
 def bait_hits(findings: DataFrame, baits: DataFrame) -> DataFrame:
     """Baits (bait_id, file_path, line_start, line_end) that findings (finding_id, file_path, line_start, line_end) hit, with the findings' ids in order."""
-    name = lambda df: df.withColumn("name", file_name(lower_path(F.col("file_path"))))
-    b = name(baits).select("bait_id", "name", F.col("file_path").alias("b_path"), F.col("line_start").alias("b_start"), F.col("line_end").alias("b_end"))
-    both = name(findings).join(b, "name").where(path_matches(F.col("file_path"), F.col("b_path")) & (F.col("line_start") <= F.col("b_end")) & (F.col("line_end") >= F.col("b_start")))
-    return both.groupBy("bait_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+    return bait_pairs(findings, baits).groupBy("bait_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+
+
+def bait_pairs(findings: DataFrame, baits: DataFrame) -> DataFrame:
+    """bait_id, finding_id: a row for each hit, however many a bait has."""
+    a = findings.select("finding_id", F.col("file_path").alias("path"), F.col("line_start").alias("a_start"), F.col("line_end").alias("a_end"))
+    return places_met(a, baits.select("bait_id", F.col("file_path").alias("e_path"), "line_start", "line_end"), []).select("bait_id", "finding_id").distinct()
 
 
 def judge_matches(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -239,8 +228,8 @@ def judge_matches(results: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def benchmark_findings(issues: DataFrame) -> DataFrame:
-    """Issues of AI review that aren't about style, oldest first."""
-    return issues.where(F.col("source").isin("ai_review", "KB") & (F.col("category") != "style")).orderBy("created_on", "issue_id")
+    """Issues of AI review that aren't about style; their order is (created_on, issue_id)."""
+    return issues.where(F.col("source").isin("ai_review", "KB") & (F.col("category") != "style"))
 
 
 def benchmark_expected(items: DataFrame, probes: DataFrame) -> DataFrame:
@@ -252,9 +241,13 @@ def benchmark_expected(items: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def benchmark_stages(results: DataFrame, gold: DataFrame) -> DataFrame:
-    """Results (corpus, stage, query, rank) of each gold query (query, ord), in gold order; a query without a result has no rank."""
-    runs = results.select("corpus", "stage").distinct()
-    return runs.crossJoin(F.broadcast(gold.select("query", "ord"))).join(results, ["corpus", "stage", "query"], "left").select("corpus", "stage", "ord", "query", "rank").orderBy("corpus", "stage", "ord")
+    """Results (corpus, stage, query, rank) of each gold query (query, ord), whose order is (corpus, stage, ord); a query without a result has no rank.
+
+    Each gold query carries the runs, which are what a benchmark is set up with.
+    """
+    runs = results.groupBy().agg(F.collect_set(F.struct("corpus", "stage")).alias("runs"))
+    each = gold.select("query", "ord").join(F.broadcast(runs)).select("query", "ord", F.inline("runs"))  # one row
+    return each.join(results, ["corpus", "stage", "query"], "left").select("corpus", "stage", "ord", "query", "rank")
 
 
 #: Separators and brackets of tech stacks. Fixed values.
@@ -295,6 +288,13 @@ def tool_value(text: Column, name: str = "input") -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)).when(v.isNotNull(), F.concat(F.lit(f'{{"{name}":'), F.to_json(v), F.lit("}"))).otherwise(F.to_json(F.struct(text.alias(name))))
 
 
+def tool_status(output: Column) -> Column:
+    """Of a tool's output (a JSON object): `error` if it has one, its status if that is a text, else `ok`."""
+    v = F.try_parse_json(output)
+    status = F.when(_kind(_at(v, "$.status"), "STRING"), F.nullif(_at(v, "$.status", "string"), F.lit("")))
+    return F.when(_at(v, "$.error").isNotNull(), "error").otherwise(F.coalesce(status, F.lit("ok")))
+
+
 def ingested(docs: DataFrame, keys: list[str], text: str, embeddings: DataFrame, cache_key: Column) -> tuple[DataFrame, DataFrame]:
     """Chunks with their vectors, and postings of the chunks, out of one lineage. embeddings (cache_id, vector)."""
     chunks = split_documents(docs, keys, text).withColumn("cache_id", cache_key)

@@ -5,84 +5,124 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from scryline.functions import claims
-from scryline.operators import findings, review_flow, review_plan
+from scryline.operators import findings, lanes, review_flow, review_plan
 from scryline.plans.adapters import duck_with, table, view
 from scryline.plans.plan_queries import COVERAGE_SQL, coverage_probes
 from scryline.plans.review_queries import EXPECTED, I_SQL, RISKY, REPORT_SQL, issues
 
 
-def _literal(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+#: What stands for a document's id, first word, first words, a confidence of 0.0 to 1.2 and a line of 0 to 3, in the cases below; in words of both engines.
+MARKS = {
+    "%I%": "concat('p', CAST(doc_id AS STRING))",
+    "%W%": "coalesce(nullif(regexp_extract(lower(text), '[a-z]+', 0), ''), 'none')",
+    "%T%": "concat('words ', trim(regexp_replace(substring(text, 1, 80), '[^a-zA-Z]+', ' ')))",
+    "%C%": "concat(CAST(CAST(floor(doc_id % 13 / 10) AS INT) AS STRING), '.', CAST(doc_id % 13 % 10 AS STRING))",
+    "%L%": "CAST(n_chars % 4 AS STRING)",
+}
+
+
+def _case_of(texts: list[str], column: str, duck: bool) -> str:
+    """The document's case, by its id, with what its marks stand for."""
+    quoted = lambda x: "'" + (x.replace("'", "''") if duck else x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")) + "'"
+    cases = ", ".join(quoted(x) for x in texts)
+    out = f"[{cases}][doc_id % {len(texts)} + 1]" if duck else f"array({cases})[doc_id % {len(texts)}]"
+    for mark, value in MARKS.items():
+        if any(mark in x for x in texts):
+            value = value.replace("AS STRING", "AS VARCHAR").replace("[^a-zA-Z]+', ' ')", "[^a-zA-Z]+', ' ', 'g')") if duck else value
+            out = f"replace({out}, '{mark}', {value})"
+    return f"{out} AS {column}"
 
 
-def _pages_as(spark, sf, texts: list[str]):
-    """page_id, text: each page stands for one of the texts."""
-    return table(spark, sf, "pages").select("page_id", F.get(F.array(*[F.lit(t) for t in texts]), (F.col("page_id") % len(texts)).cast("int")).alias("text"))
+def _documents_as(spark, sf, **texts: list[str]):
+    """doc_id and each document's cases."""
+    return table(spark, sf, "documents").selectExpr("doc_id", *[_case_of(t, name, False) for name, t in texts.items()])
 
 
-def _by_case(cases: list[tuple], names: str) -> str:
-    """What is due by hand for each case, for all pages."""
-    rows = ", ".join(f"({i}, {', '.join(map(_literal, c))})" for i, c in enumerate(cases))
-    return f"SELECT page_id, {names} FROM pages JOIN (VALUES {rows}) c(i, {names}) ON page_id % {len(cases)} = i"
+def _by_case(names: list[str], cases: list[tuple]) -> str:
+    """What is due by hand for each case, with the documents' own words in it."""
+    return f"SELECT doc_id, {', '.join(_case_of([c[k] for c in cases], name, True) for k, name in enumerate(names))} FROM documents"
 
 
-#: A judge's payload; what is due by hand: results kept, issues kept, rejected, and whether something unknown was lost.
+#: Judges' payloads, with marks.
 PAYLOADS = [
-    ('{"results": [{"probe_id": "a", "verdict": "issue", "confidence": 0.9, "issues": [{"title": "t", "line_start": 1, "line_end": 2}]}]}', 1, 1, 0, False),
-    ('{"results": [{"probe_id": "a", "verdict": "issue", "issues": [{"title": "t"}, {"line_start": 0}, 7]}, {"probe_id": "b", "verdict": "no_issue"}]}', 2, 1, 2, False),
-    ('{"results": [{"probe_id": "a", "verdict": "issue", "issues": []}]}', 0, 0, 1, True),
-    ('{"results": [{"probe_id": "a", "verdict": "no_issue", "issues": [{"title": "t"}]}, {"probe_id": "c", "verdict": "uncertain", "issues": []}]}', 1, 0, 1, True),
-    ('{"results": [{"probe_id": "", "verdict": "no_issue"}, {"probe_id": "b", "verdict": "maybe"}, 5, "x"]}', 0, 0, 4, True),
-    ('{"results": [{"probe_id": "a", "verdict": "issue", "issues": {"title": "t"}}]}', 0, 0, 1, True),
-    ('{"results": {"probe_id": "a"}}', 0, 0, 1, True),
-    ('{"results": []}', 0, 0, 0, False),
-    ('{"other": 1}', 0, 0, 1, True),
-    ("no json", 0, 0, 1, True),
-    ('{"candidates": [{"probe_id": "a", "verdict": "issue", "title": "t"}, {"probe_id": "b", "verdict": "no_issue"}, {"probe_id": "c", "verdict": "issue", "confidence": 3}]}', 2, 1, 1, True),
-    ('{"results": [{"probe_id": "a", "verdict": "uncertain", "confidence": 2}]}', 0, 0, 1, True),
+    '{"results": [{"probe_id": "%I%", "verdict": "issue", "confidence": %C%, "issues": [{"title": "%T%", "line_start": %L%, "line_end": 2}]}]}',
+    '{"results": [{"probe_id": "%I%", "verdict": "issue", "issues": [{"title": "%T%", "line_start": "%L%"}, {"line_start": 0}, 7]}, {"probe_id": "%W%", "verdict": "no_issue"}]}',
+    '{"results": [{"probe_id": "%I%", "verdict": "issue", "issues": []}]}',
+    '{"results": [{"probe_id": "%I%", "verdict": "no_issue", "issues": [{"title": "%T%"}]}, {"probe_id": "c", "verdict": "uncertain", "issues": []}]}',
+    '{"results": [{"probe_id": "", "verdict": "no_issue"}, {"probe_id": "%W%", "verdict": "maybe"}, 5, "%T%"]}',
+    '{"results": [{"probe_id": "%I%", "verdict": "issue", "issues": {"title": "%T%"}}]}',
+    '{"results": {"probe_id": "%I%"}}', '{"results": []}', '{"other": "%T%"}', "no json, %T%", '["%T%"]',
+    '{"candidates": [{"probe_id": "%I%", "verdict": "issue", "title": "%T%", "confidence": %C%}, {"probe_id": "%W%", "verdict": "no_issue"}, {"probe_id": "c", "verdict": "issue", "line_end": %L%}]}',
+    '{"results": [{"probe_id": "%I%", "verdict": "uncertain", "confidence": %C%}]}',
+    '{"results": [{"probe_id": "%I%", "verdict": "no_issue", "issues": null}, {"probe_id": "%W%", "verdict": "no_issue", "confidence": null}]}',
+    '{"results": null, "candidates": [{"probe_id": "%I%", "verdict": "no_issue"}]}', '{"candidates": null}', '{"candidates": [3, {"probe_id": 4, "verdict": "issue"}]}',
+    '{"results": [{"probe_id": %L%, "verdict": "no_issue"}, {"verdict": "no_issue"}, {"probe_id": "%W%"}, {"probe_id": "%I%", "verdict": "issue", "issues": [{"confidence": "%C%", "line_end": 1.5}, {"confidence": "%C%"}]}]}',
 ]
 
 
 def judge_payloads(spark, sf):
-    """Payloads of every form, on pages."""
-    out = review_flow.judge_payloads(_pages_as(spark, sf, [p for p, *_ in PAYLOADS]), "page_id", "text")
+    """Payloads of every form, with each document's words, numbers and id."""
+    out = review_flow.judge_payloads(_documents_as(spark, sf, payload=PAYLOADS), "doc_id", "payload")
     n = F.aggregate("results", F.lit(0), lambda s, r: s + F.size(r["issues"]))
-    return out.select("page_id", F.size("results").alias("kept"), n.alias("issues"), "rejected", "unscoped")
+    return out.select("doc_id", F.size("results").alias("kept"), n.alias("issues"), "rejected", "unscoped", F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["probe_id"], r["verdict"], F.size(r["issues"]).cast("string"))), ",").alias("verdicts"))
+
+
+_IN = "TRY_CAST(json_extract_string({x}, '$.{k}') AS DOUBLE)"
+_OK = "(json_extract_string({x}, '$.{k}') IS NULL OR coalesce({n} >= {low} AND {more}, FALSE))"
 
 
-PAYLOADS_SQL = _by_case([c[1:] for c in PAYLOADS], "kept, issues, rejected, unscoped")
+def _fits_sql(x: str, keys: tuple[str, ...]) -> str:
+    out = []
+    for k in keys:
+        n = _IN.format(x=x, k=k)
+        out.append(_OK.format(x=x, k=k, n=n, low=0 if k == "confidence" else 1, more=f"{n} <= 1" if k == "confidence" else f"{n} = floor({n})"))
+    return " AND ".join(out)
 
-#: A tech stack and its parts, joined by bars.
+
+PAYLOADS_SQL = f"""
+WITH d AS (SELECT doc_id, {_case_of(PAYLOADS, 'p', True)} FROM documents), j AS (SELECT doc_id, CASE WHEN json_valid(p) THEN CAST(p AS JSON) END AS j FROM d),
+t AS (SELECT doc_id, NOT coalesce(json_exists(j, '$.results'), FALSE) AS legacy, CASE WHEN json_exists(j, '$.results') THEN json_extract(j, '$.results') WHEN json_exists(j, '$.candidates') THEN json_extract(j, '$.candidates') END AS v FROM j),
+x AS (SELECT doc_id, legacy, coalesce(json_type(v) = 'ARRAY', FALSE) AS listed, CASE WHEN json_type(v) = 'ARRAY' THEN from_json(v, '["JSON"]') ELSE [] END AS items FROM t),
+r AS (SELECT doc_id, legacy, unnest(items) AS r, generate_subscripts(items, 1) AS k FROM x),
+i AS (SELECT *, json_type(r) = 'OBJECT' AS object, json_extract_string(r, '$.verdict') AS verdict, json_type(r, '$.probe_id') = 'VARCHAR' AND json_extract_string(r, '$.probe_id') <> '' AS named,
+  CASE WHEN json_type(r) <> 'OBJECT' THEN NULL WHEN legacy THEN CASE WHEN json_extract_string(r, '$.verdict') = 'issue' THEN [r] ELSE [] END WHEN NOT json_exists(r, '$.issues') THEN [] WHEN json_type(r, '$.issues') = 'ARRAY' THEN from_json(json_extract(r, '$.issues'), '["JSON"]') END AS given FROM r),
+f AS (SELECT *, list_filter(given, lambda y: json_type(y) = 'OBJECT' AND {_fits_sql('y', ('confidence', 'line_start', 'line_end'))}) AS fit FROM i),
+g AS (SELECT *, coalesce(object AND named AND verdict IN ('issue', 'no_issue', 'uncertain') AND given IS NOT NULL AND (verdict = 'issue') = (len(fit) > 0) AND CASE WHEN legacy THEN {_fits_sql('r', ('confidence', 'line_start', 'line_end'))} ELSE {_fits_sql('r', ('confidence',))} END, FALSE) AS good FROM f),
+s AS (SELECT doc_id, count(*) FILTER (WHERE good) AS kept, sum(len(fit)) FILTER (WHERE good) AS issues, count(*) FILTER (WHERE NOT good) AS bad, sum(CASE WHEN legacy OR given IS NULL THEN 0 ELSE len(given) - len(fit) END) AS lost,
+  string_agg(json_extract_string(r, '$.probe_id') || ':' || verdict || ':' || len(fit), ',' ORDER BY k) FILTER (WHERE good) AS verdicts FROM g GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(kept, 0) AS INT) AS kept, CAST(coalesce(issues, 0) AS INT) AS issues, CAST(CASE WHEN listed THEN coalesce(bad + lost, 0) ELSE 1 END AS INT) AS rejected, NOT listed OR coalesce(bad, 0) > 0 AS unscoped, coalesce(verdicts, '') AS verdicts FROM x LEFT JOIN s USING (doc_id)
+"""
+
+#: Tech stacks and their parts, joined by bars, with marks.
 STACKS = [
-    ("Python, Spark; DuckDB\nJava", "Python|Spark|DuckDB|Java"), ('Django (REST, ORM), "a, b"', "Django (REST, ORM)|a, b"), ("Go [gin, echo], {x; y}", "Go [gin, echo]|{x; y}"), ("Rust (tokio, serde", "Rust (tokio, serde"),
-    ('C, "open', 'C, "open'), ("A (b] , c", "A (b] , c"), (" , ;; ", ""), ("", ""), ('"q \\" , r", s', 'q \\" , r|s'), ("x)", "x)"),
+    ("Python, %T%; DuckDB\nJava", "Python|%T%|DuckDB|Java"), ('Django (%T%, ORM), "%W%, b"', "Django (%T%, ORM)|%W%, b"), ("Go [gin, %W%], {%T%; y}", "Go [gin, %W%]|{%T%; y}"), ("Rust (%T%, serde", "Rust (%T%, serde"),
+    ('%T%, "open', '%T%, "open'), ("A (%W%] , c", "A (%W%] , c"), (" , ;;%W% ", "%W%"), (" ;, ", ""), ('"%W% \\" , r", s', '%W% \\" , r|s'), ("%T%)", "%T%)"),
 ]
 
 
 def tech_stacks(spark, sf):
-    """X45"""
-    return _pages_as(spark, sf, [t for t, _ in STACKS]).select("page_id", F.array_join(review_flow.tech_stack("text"), "|").alias("parts"))
+    """Stacks with each document's words in them."""
+    return _documents_as(spark, sf, text=[t for t, _ in STACKS]).select("doc_id", F.array_join(review_flow.tech_stack("text"), "|").alias("parts"))
 
 
-STACKS_SQL = _by_case([(p,) for _, p in STACKS], "parts")
+STACKS_SQL = _by_case(["parts"], [(p,) for _, p in STACKS])
 
-#: A tool's input and its normal form.
-INPUTS = [
-    ('{"b": 1, "a": [true, null]}', '{"a":[true,null],"b":1}'), ("[1, 2]", '{"input":[1,2]}'), ("3", '{"input":3}'), ("plain text", '{"input":"plain text"}'), ('"quoted"', '{"input":"quoted"}'), ('{"broken": ', '{"input":"{\\"broken\\": "}'),
-    ('{"x": {"y": "z"}}', '{"x":{"y":"z"}}'), ("null", '{"input":null}'),
+#: A tool's input or output, its normal form (of an input, of an output) and its status, with marks.
+TOOL_VALUES = [
+    ('{"b": %L%, "a": [true, null], "t": "%T%"}', '{"a":[true,null],"b":%L%,"t":"%T%"}', '{"a":[true,null],"b":%L%,"t":"%T%"}', "ok"), ('[%L%, "%W%"]', '{"input":[%L%,"%W%"]}', '{"output":[%L%,"%W%"]}', "ok"), ("%L%", '{"input":%L%}', '{"output":%L%}', "ok"),
+    ("plain %T%", '{"input":"plain %T%"}', '{"output":"plain %T%"}', "ok"), ('"%T%"', '{"input":"%T%"}', '{"output":"%T%"}', "ok"), ('{"%W%": ', '{"input":"{\\"%W%\\": "}', '{"output":"{\\"%W%\\": "}', "ok"),
+    ('{"x": {"y": "%T%"}, "status": "%W%"}', '{"status":"%W%","x":{"y":"%T%"}}', '{"status":"%W%","x":{"y":"%T%"}}', "%W%"), ("null", '{"input":null}', '{"output":null}', "ok"), ('{"error": null, "status": "%W%"}', '{"error":null,"status":"%W%"}', '{"error":null,"status":"%W%"}', "error"),
+    ('{"status": ""}', '{"status":""}', '{"status":""}', "ok"), ('{"status": %L%}', '{"status":%L%}', '{"status":%L%}', "ok"),
 ]
 
 
 def tool_inputs(spark, sf):
-    """G11"""
-    return _pages_as(spark, sf, [t for t, _ in INPUTS]).select("page_id", review_flow.tool_value(F.col("text")).alias("value"))
+    """What tools were given and gave, with each document's words, and the status of their logs."""
+    v = _documents_as(spark, sf, text=[t for t, *_ in TOOL_VALUES]).withColumn("output", review_flow.tool_value(F.col("text"), "output"))
+    return v.select("doc_id", review_flow.tool_value(F.col("text")).alias("value"), "output", review_flow.tool_status(F.col("output")).alias("status"))
 
 
-INPUTS_SQL = _by_case([(p,) for _, p in INPUTS], "value")
+INPUTS_SQL = _by_case(["value", "output", "status"], [c[1:] for c in TOOL_VALUES])
 
 
 def package_mentions(spark, sf):
@@ -108,7 +148,7 @@ def _candidates(spark, sf):
 
 def lane_selection(spark, sf):
     """Six chunks for each probe; coverage leaves out what was chosen before."""
-    return review_flow.lane_selection(_candidates(spark, sf), "job_id", 6).select("job_id", "lane", "probe_ord", "rank", "file_path", "chunk_index")
+    return lanes.lane_selection(_candidates(spark, sf), "job_id", 6).select("job_id", "lane", "probe_ord", "rank", "file_path", "chunk_index")
 
 
 LANE_CTE = duck_with("v_issues") + """, c AS (SELECT job_id, CASE WHEN category = 'security' THEN 'defect' WHEN category IN ('bug', 'performance') THEN 'coverage' ELSE 'roadmap' END AS lane, CASE category WHEN 'bug' THEN 1 WHEN 'performance' THEN 2 ELSE 0 END AS probe_ord,
@@ -121,6 +161,82 @@ b AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, file
 SELECT job_id, lane, CAST(probe_ord AS INT) AS probe_ord, CAST(rank AS INT) AS rank, file_path, chunk_index FROM (SELECT * FROM d UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b)"""
 
 
+#: Budgets under which both trims take effect.
+BUNDLE_BUDGET = lanes.Budget(job=28, lanes={"defect": 12, "coverage": 8, "roadmap": 14}, chunks_per_batch=16, probes_per_batch=8)
+
+
+def _lane_probes(spark, sf):
+    """Seven probes in each lane of every job, one for each claim; some have no candidates."""
+    jobs = view(spark, sf, "v_issues").select("job_id").distinct()
+    each = jobs.select("job_id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
+    lane = F.get(F.array(*[F.lit(x) for x in lanes.LANES]), F.floor(F.col("k") / 7).cast("int"))
+    return each.select("job_id", lane.alias("lane"), (F.col("k") % 7).alias("probe_ord"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("probe_id"), (F.col("k") % 3 + 2).alias("top_k"), (F.col("k") % 4).alias("rank"))
+
+
+def _lane_candidates(spark, sf):
+    """Issues as candidates of their claim's probe; those of half the jobs have none of the third claim."""
+    v = view(spark, sf, "v_issues").where("not (job_id % 2 = 0 and claim = 'n_1_query')")
+    lane = F.when(F.col("category") == "security", "defect").when(F.col("category").isin("bug", "performance", "style"), "coverage").otherwise("roadmap")
+    ord_ = F.array_position(F.array(*[F.lit(c) for c in LANE_CLAIMS]), F.col("claim")).cast("int") - 1
+    return v.groupBy("job_id", lane.alias("lane"), ord_.alias("probe_ord"), "file_path", F.col("line_start").alias("chunk_index")).agg(F.max("confidence").alias("score"), F.bool_or(F.col("source") == "bandit").alias("structural"))
+
+
+LANE_CLAIMS = ["SQL Injection", "hardcoded_secret", "n_1_query", "otp_leakage", "bare_except", "ssrf_external_calls", "pickle_deserialization"]
+
+
+def lane_bundles(spark, sf):
+    """Each probe's chunks after both trims, with what was cut."""
+    b = lanes.lane_bundles(_lane_probes(spark, sf), _lane_candidates(spark, sf), "job_id", BUNDLE_BUDGET)
+    chunks = F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["file_path"], c["chunk_index"].cast("string"))), ",")
+    return b.select("job_id", "lane", "probe_ord", "status", "selected", "trimmed_count", chunks.alias("chunks"))
+
+
+def _trim_sql(rows: str, out: str, keys: str, cap: str) -> str:
+    """rows (keys, turn of the bundle, probe_id, rank, place, ...) within the budget; e: the turn of the first empty bundle, from `empty_{out}`."""
+    return f"""
+{out}_a AS (SELECT *, row_number() OVER (PARTITION BY {keys}, turn ORDER BY place) AS p, count(*) OVER (PARTITION BY {keys}) AS n FROM {rows}),
+{out}_m AS (SELECT {keys}, count(DISTINCT turn) AS m FROM {rows} GROUP BY ALL),
+{out}_b AS (SELECT x.*, y.m, p = 1 AND turn < coalesce(e.e, 99) AS first FROM {out}_a x JOIN {out}_m y USING ({keys}) LEFT JOIN empty_{out} e USING ({keys})),
+{out}_c AS (SELECT *, count_if(structural AND first) OVER (PARTITION BY {keys}, turn) AS had, row_number() OVER (PARTITION BY {keys}, turn, structural AND NOT first ORDER BY place) AS s FROM {out}_b),
+{out}_d AS (SELECT *, CASE WHEN first THEN 1 WHEN structural AND s <= 2 - had THEN 2 ELSE 3 END AS phase FROM {out}_c),
+{out}_e AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY phase, CASE WHEN phase < 3 THEN turn END, CASE WHEN phase < 3 THEN place END, rank DESC, score DESC, probe_id DESC, file_path DESC, chunk_index DESC) AS seat FROM {out}_d),
+{out} AS MATERIALIZED (SELECT job_id, lane, turn, probe_ord, probe_id, rank, place, file_path, chunk_index, score, structural FROM {out}_e WHERE n <= greatest({cap}, m) OR seat <= greatest({cap}, m))"""
+
+
+def _bundles_sql() -> str:
+    b, names = BUNDLE_BUDGET, ["defect", "coverage", "roadmap"]
+    claim = "CASE claim " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(LANE_CLAIMS)) + " END"
+    lane = "CASE WHEN category = 'security' THEN 'defect' WHEN category IN ('bug', 'performance', 'style') THEN 'coverage' ELSE 'roadmap' END"
+    best = "row_number() OVER (PARTITION BY job_id, lane, probe_ord ORDER BY score DESC, file_path, chunk_index) AS place"
+    text = duck_with("v_issues") + f""",
+pr AS MATERIALIZED (SELECT job_id, ['defect', 'coverage', 'roadmap'][k // 7 + 1] AS lane, k // 7 * 7 + k % 7 AS turn, k % 7 AS probe_ord, 'p' || k AS probe_id, k % 3 + 2 AS top_k, k % 4 AS rank FROM (SELECT DISTINCT job_id FROM v_issues), range(21) r(k)),
+ca AS MATERIALIZED (SELECT job_id, {lane} AS lane, {claim} AS probe_ord, file_path, line_start AS chunk_index, max(confidence) AS score, bool_or(source = 'bandit') AS structural FROM v_issues WHERE NOT (job_id % 2 = 0 AND claim = 'n_1_query') GROUP BY ALL),
+cp AS MATERIALIZED (SELECT pr.*, file_path, chunk_index, score, structural FROM ca JOIN pr USING (job_id, lane, probe_ord)),
+x0 AS MATERIALIZED (SELECT *, {best} FROM cp WHERE lane <> 'coverage' QUALIFY place <= top_k),
+d0 AS (SELECT * FROM x0 WHERE lane = 'defect' AND place <= {b.of_probe('defect', True)}),
+empty_dt AS (SELECT job_id, lane, min(turn) AS e FROM pr WHERE lane = 'defect' AND NOT EXISTS (SELECT 1 FROM d0 WHERE d0.job_id = pr.job_id AND d0.turn = pr.turn) GROUP BY ALL),{_trim_sql('d0', 'dt', 'job_id, lane', str(b.of_lane('defect', True)))},
+u0 AS MATERIALIZED (SELECT job_id, file_path, chunk_index FROM dt)"""
+    for i in range(7):
+        text += f""",
+v{i} AS MATERIALIZED (SELECT *, {best} FROM cp WHERE lane = 'coverage' AND probe_ord = {i} AND NOT EXISTS (SELECT 1 FROM u{i} u WHERE u.job_id = cp.job_id AND u.file_path = cp.file_path AND u.chunk_index = cp.chunk_index) QUALIFY place <= top_k),
+u{i + 1} AS MATERIALIZED (FROM u{i} UNION SELECT job_id, file_path, chunk_index FROM v{i})"""
+    text += f""",
+c0 AS MATERIALIZED ({' UNION ALL '.join(f'FROM v{i}' for i in range(7))}), r0 AS (FROM x0 WHERE lane = 'roadmap'),
+was AS (SELECT job_id, turn, count(*) AS selected FROM (FROM x0 UNION ALL FROM c0) GROUP BY ALL)"""
+    for name, short in zip(names[1:], "cr"):
+        text += f""",
+empty_{short}t AS (SELECT job_id, lane, min(turn) AS e FROM pr WHERE lane = '{name}' AND NOT EXISTS (SELECT 1 FROM {short}0 x WHERE x.job_id = pr.job_id AND x.turn = pr.turn) GROUP BY ALL),{_trim_sql(f'{short}0', f'{short}t', 'job_id, lane', str(b.of_lane(name, True)))}"""
+    return text + f""",
+al AS MATERIALIZED (FROM dt UNION ALL FROM ct UNION ALL FROM rt),
+empty_ft AS (SELECT job_id, min(turn) AS e FROM pr WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.job_id = pr.job_id AND al.turn = pr.turn) GROUP BY ALL),{_trim_sql('al', 'ft', 'job_id', str(b.job))},
+fin AS (SELECT job_id, turn, count(*) AS n, string_agg(file_path || ':' || chunk_index, ',' ORDER BY place) AS chunks FROM ft GROUP BY ALL)
+SELECT job_id, lane, CAST(probe_ord AS INT) AS probe_ord, CASE WHEN selected IS NULL THEN 'no_candidate_evidence' WHEN n IS NULL THEN 'trimmed_by_global_cap' ELSE 'ok' END AS status, CAST(coalesce(selected, 0) AS INT) AS selected,
+       CAST(coalesce(selected, 0) - coalesce(n, 0) AS INT) AS trimmed_count, coalesce(chunks, '') AS chunks FROM pr LEFT JOIN was USING (job_id, turn) LEFT JOIN fin USING (job_id, turn)"""
+
+
+BUNDLES_SQL = _bundles_sql()
+
+
 def strategy_union(spark, sf):
     """What each source finds for a job, as strategies; how many different chunks, and the first of each."""
     v = view(spark, sf, "v_issues").select("job_id", "file_path", F.col("line_start").alias("chunk_index"), F.col("confidence").alias("score"), "source")
@@ -212,7 +328,7 @@ SELECT issue_id, ord, CASE WHEN NOT planned THEN 'uncertain' WHEN issue_id % 5 =
 
 def retrieval_traces(spark, sf):
     """The selected chunks of defect probes, one row a job."""
-    s = review_flow.lane_selection(_candidates(spark, sf).where("lane = 'defect'"), "job_id", 6).withColumn("content", F.concat("file_path", F.lit("é")))
+    s = lanes.lane_selection(_candidates(spark, sf).where("lane = 'defect'"), "job_id", 6).withColumn("content", F.concat("file_path", F.lit("é")))
     out = review_flow.retrieval_traces(s, "job_id")
     return out.select("job_id", "sent_to_judge", F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["rank"].cast("string"), r["file_path"], r["chunk_index"].cast("string"), r["content_bytes"].cast("string"))), ",").alias("results"))
 
@@ -232,7 +348,7 @@ i AS (SELECT job_id, count(*) FILTER (WHERE source IN ('ai_review', 'KB')) AS a,
 def trace_ranks(spark, sf):
     """Where the expected issues of every fiftieth job stand among the defect chunks of the jobs."""
     e = view(spark, sf, "v_issues").where(EXPECTED).select(F.col("issue_id").alias("expected_id"), F.when(F.col("line_start") % 2 == 0, F.array(F.lit("p1"))).otherwise(F.array().cast("array<string>")).alias("probes"), F.regexp_replace("file_path", "^src/", "").alias("file_path"), "line_start", "line_end")
-    s = review_flow.lane_selection(_candidates(spark, sf).where("lane = 'defect'"), "job_id", 6)
+    s = lanes.lane_selection(_candidates(spark, sf).where("lane = 'defect'"), "job_id", 6)
     chunks = F.array_sort(F.collect_list(F.struct("rank", "file_path", F.col("chunk_index").alias("line_start"), (F.col("chunk_index") + 3).alias("line_end"))))
     t = s.groupBy("job_id").agg(chunks.alias("c")).select(F.concat(F.lit("p"), (F.col("job_id") % 3).cast("string")).alias("probe_id"), F.transform("c", lambda x: F.struct(x["file_path"].alias("file_path"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end"))).alias("chunks"))
     return review_flow.trace_ranks(e.dropDuplicates(["expected_id"]), t)
@@ -289,18 +405,18 @@ SELECT r.corpus, r.stage, g.doc_id AS ord, g.doc_id AS query, CASE WHEN g.source
 RAW = [
     ('{"test_id": "b301", "claim_type": "x"}', "bandit", "t", "unsafe_deserialization"), ('{"probe_review": {"probe_id": "security.ssrf_external_calls"}}', "ai_review", "t", "ssrf"),
     ('{"probe_review": {"claim_type": ""}, "claim_type": "n_1_query"}', "ai_review", "SQL injection here", "sql_injection"), ('{"claim_type": "OTP leakage"}', "ai_review", "t", "otp_exposure"),
-    ('{"finding_key": "security:os_command_injection"}', "KB", "t", "command_injection"), ('{"ruleId": "no-eval"}', "eslint", "Eval used", "eslint_no_eval"), ("{}", "ruff", "Some Title!", "some_title"), ('{"code": " "}', "ruff", "A Thing", "a_thing"),
+    ('{"finding_key": "security:os_command_injection"}', "KB", "t", "command_injection"), ('{"ruleId": "no-eval"}', "eslint", "Eval used", "eslint_no_eval"), ("{}", "ruff", "Some %W% Title!", "some_%W%_title"), ('{"code": " "}', "ruff", "A %W%", "a_%W%"),
+    ('{"claim_type": "own %W% claim"}', "ai_review", "t", "own_%W%_claim"), ('{"code": "X1"}', "%W%", "Odd", "%W%_x1"),
 ]
 
 
 def issue_claims(spark, sf):
-    """claims out of raw outputs, on pages."""
-    n = len(RAW)
-    pick = lambda k: F.get(F.array(*[F.lit(r[k]) for r in RAW]), (F.col("page_id") % n).cast("int"))
-    return table(spark, sf, "pages").select("page_id", pick(0).alias("raw"), pick(1).alias("source"), pick(2).alias("title")).select("page_id", claims.issue_claim(F.col("raw"), F.col("source"), F.col("title"), F.lit("")).alias("claim"))
+    """claims out of raw outputs, with each document's words in titles and stored claims."""
+    v = _documents_as(spark, sf, raw=[r[0] for r in RAW], source=[r[1] for r in RAW], title=[r[2] for r in RAW])
+    return v.select("doc_id", claims.issue_claim(F.col("raw"), F.col("source"), F.col("title"), F.lit("")).alias("claim"))
 
 
-CLAIMS_SQL = _by_case([(r[3],) for r in RAW], "claim")
+CLAIMS_SQL = _by_case(["claim"], [(r[3],) for r in RAW])
 
 
 QUERIES = {
@@ -309,6 +425,7 @@ QUERIES = {
     "tool_inputs": (tool_inputs, INPUTS_SQL),
     "package_mentions": (package_mentions, MENTIONS_SQL),
     "lane_selection": (lane_selection, LANE_SQL),
+    "lane_bundles": (lane_bundles, BUNDLES_SQL),
     "strategy_union": (strategy_union, UNION_SQL),
     "review_issues": (review_issues, REVIEW_SQL),
     "prioritized_files": (prioritized_files, PRIORITIZED_SQL),

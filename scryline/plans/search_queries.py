@@ -298,12 +298,14 @@ SNIPPETS = [
 
 
 def structural_flags(spark, sf):
-    """Each page stands for one of SNIPPETS; how many match each of the probes."""
-    texts = F.array(*[F.lit(t) for t, _ in SNIPPETS])
+    """Each document with one of SNIPPETS: a word of it inside, its whole text as a comment behind; how many match each of the probes."""
     n = F.lit(len(SNIPPETS))
-    pages = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % n == 0, "java").otherwise("python").alias("language"), F.get(texts, (F.col("page_id") % n).cast("int")).alias("chunk_text"))
-    rows = matchers.matched_probes(pages)
-    return rows.select(F.explode("_probes").alias("probe_id")).groupBy("probe_id").agg(F.count("*").alias("pages"))
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[\\x00-\\x1F]+", " ").alias("t"))
+    snippet = F.get(F.array(*[F.lit(t) for t, _ in SNIPPETS]), (F.col("doc_id") % n).cast("int"))
+    word = F.regexp_extract(F.lower("t"), "[a-z]+", 0)
+    text = F.concat(F.regexp_replace(snippet, F.lit("^([^\n]*)"), F.concat(F.lit("$1  # "), word)), F.lit("\n# "), "t")
+    rows = matchers.matched_probes(d.select("doc_id", F.when(F.col("doc_id") % n == 0, "java").otherwise("python").alias("language"), text.alias("chunk_text")))
+    return rows.select(F.explode("_probes").alias("probe_id"), "doc_id").groupBy("probe_id").agg(F.count("*").alias("documents"), F.sum("doc_id").alias("ids"))
 
 
 PATHS = ["README.md", "tests/a.py", "docs/guide.rst", "main.py", "Readme.", "readme.de.txt", "test/conf.py", "lib/notes.md", "test_b.py", "x/readme"]
@@ -434,12 +436,14 @@ def _structural_sql() -> str:
         "performance.pagination_bounds": f"{has('.all()', 'scalars().all', 'list(')} AND {has('filtered_', '[p for ', '[item for ', 'offset :')}",
         "maintainability.resource_lifecycle": f"{has('create_engine(', 'create_async_engine(')} AND {has('def ')}",
     }
-    each = " UNION ALL ".join(f"SELECT '{k}' AS probe_id FROM p WHERE {v}" for k, v in probes.items())
+    each = " UNION ALL ".join(f"SELECT '{k}' AS probe_id, doc_id FROM p WHERE {v}" for k, v in probes.items())
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     n = len(SNIPPETS)
-    trees = "".join(f" UNION ALL SELECT '{k}' FROM p WHERE i IN ({', '.join(map(str, at))})" for k in matchers.TREE_PROBES if (at := [j for j, (_, found) in enumerate(SNIPPETS) if k in found]))
-    each += trees
-    return f"WITH p AS (SELECT page_id % {n} AS i, lower(([{', '.join(quoted(t) for t, _ in SNIPPETS)}])[page_id % {n} + 1]) AS c FROM pages WHERE page_id % {n} > 0), m AS ({each}) SELECT probe_id, count(*) AS pages FROM m GROUP BY probe_id"
+    trees = "".join(f" UNION ALL SELECT '{k}', doc_id FROM p WHERE i IN ({', '.join(map(str, at))})" for k in matchers.TREE_PROBES if (at := [j for j, (_, found) in enumerate(SNIPPETS) if k in found]))
+    snippets = f"([{', '.join(quoted(t) for t, _ in SNIPPETS)}])[doc_id % {n} + 1]"
+    return f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[\\x00-\\x1F]+', ' ', 'g') AS t FROM documents),
+p AS (SELECT doc_id, doc_id % {n} AS i, lower(regexp_replace({snippets}, '^([^\n]*)', '\\1  # ' || regexp_extract(lower(t), '[a-z]+')) || chr(10) || '# ' || t) AS c FROM d WHERE doc_id % {n} > 0),
+m AS ({each + trees}) SELECT probe_id, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids FROM m GROUP BY probe_id"""
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scryline.functions import matchers
-from scryline.operators import review_flow
+from scryline.operators import lanes, review_flow
 from scryline.plans.search_queries import SNIPPETS
 from scryline.streaming import progress
 
@@ -35,7 +35,7 @@ def test_lanes_equal_a_loop(spark):
                     want |= {r[:5] for r in chosen}
                     if lane == "coverage" or (lane == "defect" and not full):
                         used.setdefault(job, set()).update(r[3:5] for r in chosen)
-        assert {tuple(r)[:5] for r in review_flow.lane_selection(df, "job", 3, full).select("job", "lane", "probe_ord", "file_path", "chunk_index").collect()} == want
+        assert {tuple(r)[:5] for r in lanes.lane_selection(df, "job", 3, full).select("job", "lane", "probe_ord", "file_path", "chunk_index").collect()} == want
 
 
 def test_uncovered_fixes_fail(spark):
@@ -77,3 +77,77 @@ def test_scheduled(spark, tmp_path):
             break
     query.stop()
     assert seen
+
+
+def _loop(probes, candidates, budget):
+    """Bundles of one job after another, in plain loops: probe -> chunks that it had and has."""
+    had, left = {}, {}
+    for job in sorted({p[0] for p in probes}):
+        own = sorted((p for p in probes if p[0] == job), key=lambda p: (lanes.LANES.index(p[1]), p[2]))
+        roadmap, taken, kept = any(p[1] == "roadmap" for p in own), set(), []
+        for lane in lanes.LANES:
+            bundles = []
+            for p in [p for p in own if p[1] == lane]:
+                rows = sorted((c for c in candidates if c[:3] == p[:3] and not (lane == "coverage" and c[3:5] in taken)), key=lambda c: (-c[5], c[3:5]))[: p[4]]
+                had[p[:3]] = len(rows)
+                bundles.append((p, rows))
+                if lane == "coverage":
+                    taken |= {c[3:5] for c in rows}
+            cap = budget.of_probe(lane, roadmap) or 99
+            bundles = _cut([(p, rows[:cap]) for p, rows in bundles], budget.of_lane(lane, roadmap))
+            if lane == "defect" and not budget.full_audit:
+                taken |= {c[3:5] for _, rows in bundles for c in rows}
+            kept += bundles
+        for p, rows in kept if budget.full_audit else _cut(kept, budget.job):
+            left[p[:3]] = [c[3:5] for c in rows]
+    return had, left
+
+
+def _cut(bundles, most):
+    most = max(most, sum(bool(rows) for _, rows in bundles))
+    if sum(len(rows) for _, rows in bundles) <= most:
+        return bundles
+    seats = []
+    for k, (_, rows) in enumerate(bundles):
+        if not rows:
+            break
+        seats.append((k, rows[0]))
+    seats = seats[:most]
+    for k, (p, rows) in enumerate(bundles):
+        want = p[4] if p[3] == lanes.WHOLE_STRUCTURAL else 2
+        for c in [c for c in rows if c[6]]:
+            if sum(c2[6] and (k, c2) in seats for c2 in rows) < want and (k, c) not in seats and len(seats) < most:
+                seats.append((k, c))
+    rest = sorted(((p[5], c[5], p[3], c[3], c[4], k, c) for k, (p, rows) in enumerate(bundles) for c in rows if (k, c) not in seats), reverse=True)
+    seats += [(k, c) for *_, k, c in rest[: most - len(seats)]]
+    return [(p, [c for c in rows if (k, c) in seats]) for k, (p, rows) in enumerate(bundles)]
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_lane_bundles_equal_a_loop(spark, full):
+    """40 coverage probes and some of the other lanes; caps of every kind bite; a job without candidates, a probe without, candidates without a probe."""
+    rng = random.Random(9)
+    names = lambda lane, i: lanes.WHOLE_STRUCTURAL if (lane, i) == ("defect", 2) else f"{lane}.{i}"
+    probes = [(job, lane, i, names(lane, i), rng.randint(1, 5), rng.randrange(3)) for job in range(4) for lane, n in (("defect", 6), ("coverage", 40), ("roadmap", 5 if job != 1 else 0)) for i in range(n)]
+    keys = {(p[0], p[1], p[2], f"f{rng.randrange(12)}", rng.randrange(9)) for p in probes if p[0] < 3 and p[2] != 3 for _ in range(14)} | {(0, "defect", 77, "f1", 1), (2, "coverage", -1, "f1", 1)}
+    candidates = [(*k, rng.randrange(8) / 8, rng.random() < 0.3) for k in sorted(keys)]
+    budget = lanes.Budget(job=90, lanes={"defect": 14, "coverage": 70, "roadmap": 9}, chunks_per_batch=24, probes_per_batch=6, full_audit=full)
+    p = spark.createDataFrame(probes, "job int, lane string, probe_ord int, probe_id string, top_k int, rank int")
+    c = spark.createDataFrame(candidates, "job int, lane string, probe_ord int, file_path string, chunk_index int, score double, structural boolean").repartition(5)
+    out = lanes.lane_bundles(p, c, "job", budget)
+    had, left = _loop(probes, candidates, budget)
+    got = {(r.job, r.lane, r.probe_ord): r for r in out.collect()}
+    assert set(got) == {x[:3] for x in probes}
+    for k, r in got.items():
+        assert [(x.file_path, x.chunk_index) for x in r.chunks] == left[k] and r.selected == had[k] and r.trimmed_count == had[k] - len(left[k])
+        assert r.status == ("no_candidate_evidence" if not had[k] else "ok" if left[k] else "trimmed_by_global_cap")
+    assert out._jdf.queryExecution().analyzed().toString().count("Join") == 0  # the plan doesn't grow with the probes
+
+
+def test_lane_bundles_of_a_hot_job(spark):
+    """A probe of very many candidates: only those that can matter are sent to the fold."""
+    c = spark.range(60_000).selectExpr("1 as job", "'coverage' as lane", "cast(id % 2 as int) as probe_ord", "concat('f', id % 300) as file_path", "cast(id / 300 as int) as chunk_index", "cast(id % 1000 as double) as score", "false as structural")
+    p = spark.createDataFrame([(1, "coverage", i, f"c{i}", 5, 1) for i in range(2)], "job int, lane string, probe_ord int, probe_id string, top_k int, rank int")
+    out = lanes.lane_bundles(p, c, "job")
+    assert sorted(len(r.chunks) for r in out.collect()) == [5, 5]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
