@@ -34,6 +34,15 @@ class Matcher:
         return sorted(found | ({""} if "" in self.terms else set()))
 
 
+def _held(shared):
+    @F.pandas_udf("array<string>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[] if t is None else shared.value(t) for t in texts])
+
+    return held
+
+
 def held_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """rows with `terms`: the different terms (term) that the text, lower-cased, holds, in order; a null text holds none. An empty term is in every text."""
     wanted = terms.select("term").where("term is not null").distinct()
@@ -43,11 +52,6 @@ def held_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
         some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
         shared = rows.sparkSession.sparkContext.broadcast(Matcher(sorted(r[0] for r in some.collect())))  # BLOCK_CHARS, give or take
 
-        @F.pandas_udf("array<string>")
-        def held(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([[] if t is None else shared.value(t) for t in texts])
-
-        column = held(F.lower(text))
-        out = rows.withColumn("terms", column) if out is None else out.withColumn("terms", F.concat("terms", held(F.lower(text))))
+        found = _held(shared)(F.lower(text))
+        out = rows.withColumn("terms", found) if out is None else out.withColumn("terms", F.concat("terms", found))
     return out if blocks == 1 else out.withColumn("terms", F.array_sort("terms"))
