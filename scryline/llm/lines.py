@@ -28,8 +28,9 @@ from scryline.llm.common import documents, fresh, staged
 
 #: One edit in fewer words leaves less than 0.8 of a line, the likeness from which on copies are near here.
 MIN_WORDS = 5
-#: Lines of so many words and more have their variants by running sums, up to one more by hashing what is left. Both do so around the bound, so neighbours share a way.
-LONG = 256
+#: Lines of so many words and more have their variants by running sums over CHUNK words and over chunks; those of up to one more by hashing what is left. Around the bound lines have
+#: both, so neighbours share a way.
+LONG, CHUNK = 256, 256
 #: Rows (of a few dozen bytes) up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -94,10 +95,9 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
 
     # place n: nothing deleted. The hash of two arrays in turn is that of the two put together.
     forms = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == n, F.lit(-1)).otherwise(i).alias("at"), F.xxhash64(F.slice("h", F.lit(1), i), F.slice("h", i + 2, n)).alias("v")))
-    variants = words.where(n <= LONG + 1).select("k1", "k2", "first", F.inline(forms))
-    long = words.where(n >= LONG)
-    if long.limit(1).count():
-        variants = staged(variants.unionByName(_long_variants(long)), "variants")
+    none = F.array().cast("array<struct<at:int,v:bigint>>")
+    short, long = F.when(n <= LONG + 1, forms).otherwise(none), F.when(n >= LONG, _long_forms(F.col("h"))).otherwise(none)
+    variants = words.select("k1", "k2", "first", F.inline(F.concat(short, long)))
     by_variant = Window.partitionBy("v")  # a row for each place: no more than a line has words
     at_place = variants.groupBy("v", "at").agg(F.min("first").alias("m"), F.max("first").alias("x")).select(
         "v", "at", "m", F.min("m").over(by_variant).alias("all_m"), F.max("x").over(by_variant).alias("all_x"), F.min(F.when(F.col("at") == -1, F.col("m"))).over(by_variant).alias("whole_m")
@@ -112,22 +112,39 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
     return staged(recurring.unionByName(near).groupBy("k1", "k2").agg(F.min("near").alias("t")), "thresholds")
 
 
-def _long_variants(words: DataFrame) -> DataFrame:
-    """words (k1, k2, first, h) -> k1, k2, first, at, v of long lines, a row for each word and one for the whole: linear in the words.
+def _long_forms(h: Column) -> Column:
+    """at, v of each form of a long line, in about as many steps as it has words times CHUNK.
 
     A form is hashed to the exclusive or of its words' hashes with their places, so that of a line without one word is what stands before
-    the word, as it is, and what stands after it, one place earlier; both are running sums over the line.
+    the word, as it is, and what stands after it, one place earlier. Both are summed over chunks of words first, then within the word's chunk.
     """
-    each = words.select("k1", "k2", "first", F.size("h").alias("n"), F.posexplode("h").alias("at", "w"))
-    here, earlier = F.xxhash64("w", F.col("at")), F.xxhash64("w", F.col("at") - 1)
-    line = Window.partitionBy("k1", "k2", "first").orderBy("at")
-    before = F.coalesce(F.bit_xor(here).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto, all_ = F.bit_xor(earlier).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.bit_xor(earlier).over(Window.partitionBy("k1", "k2", "first"))
-    rows = each.select("k1", "k2", "first", "at", "n", here.alias("here"), before.alias("before"), upto.alias("upto"), all_.alias("all"))
-    form = lambda at, v: F.struct(at.alias("at"), F.xxhash64(F.lit("long"), v).alias("v"))
-    without = form(F.col("at"), F.col("before").bitwiseXOR(F.col("all").bitwiseXOR(F.col("upto"))))
-    whole = form(F.lit(-1), F.col("before").bitwiseXOR(F.col("here")))
-    return rows.select("k1", "k2", "first", F.inline(F.when(F.col("at") == F.col("n") - 1, F.array(without, whole)).otherwise(F.array(without))))
+    xor = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    chunk = lambda xs, c: F.slice(xs, c * CHUNK + 1, CHUNK)
+    chunks = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / CHUNK).cast("int"))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  what f makes of x, which is computed once
+
+    def running(xs: Column) -> Column:
+        """What stands before each chunk, and at the end the whole."""
+        tops = F.transform(chunks, lambda c: xor(chunk(xs, c)))
+        return F.aggregate(tops, F.array(F.lit(0).cast("long")), lambda held, t: F.concat(held, F.array(F.element_at(held, -1).bitwiseXOR(t))))
+
+    def spelt(x: Column) -> Column:
+        def of_chunk(c: Column) -> Column:
+            def of_word(p: Column, i: Column) -> Column:
+                before = F.get(x["before"], c).bitwiseXOR(xor(F.slice(p["here"], 1, i)))
+                upto = F.get(x["upto"], c).bitwiseXOR(xor(F.slice(p["earlier"], 1, i + 1)))
+                return F.struct((c * CHUNK + i).cast("int").alias("at"), F.xxhash64(F.lit("long"), before.bitwiseXOR(F.element_at(x["upto"], -1).bitwiseXOR(upto))).alias("v"))
+
+            parts = F.struct(chunk(x["here"], c).alias("here"), chunk(x["earlier"], c).alias("earlier"))
+            return bound(parts, lambda p: F.transform(F.sequence(F.lit(0), F.size(p["here"]) - 1), lambda i: of_word(p, i)))
+
+        whole = F.struct(F.lit(-1).alias("at"), F.xxhash64(F.lit("long"), F.element_at(x["before"], -1)).alias("v"))
+        return F.concat(F.flatten(F.transform(chunks, of_chunk)), F.array(whole))
+
+    hashed = lambda shift: F.transform(h, lambda w, i: F.xxhash64(w, i - shift))
+    both = F.struct(hashed(0).alias("here"), hashed(1).alias("earlier"))
+    summed = bound(both, lambda x: F.struct(x["here"].alias("here"), x["earlier"].alias("earlier"), running(x["here"]).alias("before"), running(x["earlier"]).alias("upto")))
+    return bound(summed, spelt)
 
 
 def edit_distance_at_most_one(a: str, b: str) -> Column:
