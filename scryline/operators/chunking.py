@@ -153,20 +153,24 @@ def chunk_sources(files: DataFrame) -> DataFrame:
 def token_batches(rows: DataFrame, key: str, order: list[str], size: str, most_items: int, most_tokens: int, lane: str | None = None) -> DataFrame:
     """Rows with `batch`: a new one opens when it would hold too many items or tokens, or the lane changes.
 
-    The running sum starts anew at each cut, which no window can say; each key (a job) is folded by itself.
+    The running sum starts anew at each cut, which no window can say; keys (jobs) are read one after the other as a sorted stream, of
+    which a task holds a batch's count and sum.
     """
     schema = rows.withColumn("batch", F.lit(0)).schema
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        out, n, total, batch, last = [], 0, 0, 0, None
-        lanes = pdf[lane].tolist() if lane else [None] * len(pdf)
-        for t, g in zip(pdf[size].tolist(), lanes, strict=True):
-            t = min(max(int(t), 1), most_tokens)
-            if n and (n >= most_items or total + t > most_tokens or g != last):
-                batch, n, total = batch + 1, 0, 0
-            n, total, last = n + 1, total + t, g
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return rows.groupBy(key).applyInPandas(fold, schema)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, batch, n, total, last = None, 0, 0, 0, None
+        for pdf in batches:
+            out = []
+            lanes = pdf[lane].tolist() if lane else [None] * len(pdf)
+            for k, t, g in zip(pdf[key].tolist(), pdf[size].tolist(), lanes, strict=True):
+                t = min(max(int(t), 1), most_tokens)
+                if k != who:
+                    who, batch, n, total = k, 0, 0, 0
+                elif n >= most_items or total + t > most_tokens or g != last:
+                    batch, n, total = batch + 1, 0, 0
+                n, total, last = n + 1, total + t, g
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)

@@ -166,15 +166,21 @@ def report_rows(issues: DataFrame, totals: DataFrame, risky: DataFrame, job: str
     return report_aggregate(issues).join(totals, job, "left").join(files, job, "left")
 
 
+#: From best to worst.
+VERDICTS = ["fixed", "uncertain", "unresolved"]
+
+
 def verified_fixes(plans: DataFrame, issues: DataFrame, specs: DataFrame, logic: DataFrame, deterministic: DataFrame) -> DataFrame:
     """Plans (issue_id, status, ord) -> issue_id, ord, verdict, one for each; logic, deterministic (issue_id, verdict).
 
-    A plan that isn't planned is uncertain; else the worse of its two verdicts holds. It fails if a planned issue has no spec, no issue or no
+    A plan that isn't planned is uncertain; else the worst of its verdicts holds. It fails if a planned issue has no spec, no issue or no
     verdict of the logic check: every selected issue must be covered.
     """
     ids = lambda df, name: df.select("issue_id").distinct().withColumn(name, F.lit(True))
     rows = plans.join(ids(issues, "has_issue"), "issue_id", "left").join(ids(specs, "has_spec"), "issue_id", "left")
-    rows = rows.join(logic.select("issue_id", F.col("verdict").alias("logic")), "issue_id", "left").join(deterministic.select("issue_id", F.col("verdict").alias("sure")), "issue_id", "left")
+    worst = F.array_max(F.collect_set(F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict"))))
+    of = lambda df, name: df.groupBy("issue_id").agg(F.get(F.array(*map(F.lit, VERDICTS)), worst.cast("int") - 1).alias(name))
+    rows = rows.join(of(logic, "logic"), "issue_id", "left").join(of(deterministic, "sure"), "issue_id", "left")
     planned = F.col("status") == "planned"
     covered = ~planned | (F.col("has_issue").isNotNull() & F.col("has_spec").isNotNull() & F.col("logic").isNotNull())
     bad = lambda v: F.coalesce(F.col("logic") == v, F.lit(False)) | F.coalesce(F.col("sure") == v, F.lit(False))

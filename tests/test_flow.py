@@ -1,15 +1,18 @@
 """Operators from retrieval to persisted issues, where no SQL judges them: lineages, lanes, contracts that fail, tree probes."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from scryline.functions import matchers
-from scryline.operators import lanes, review_flow
+from scryline.operators import chunking, lanes, review_flow
+from scryline.plans import search_queries
 from scryline.plans.search_queries import SNIPPETS
 from scryline.streaming import progress
+from tests.conftest import SMALL
 
 
 def test_ingested_is_one_lineage(spark):
@@ -41,7 +44,9 @@ def test_lanes_equal_a_loop(spark):
 def test_uncovered_fixes_fail(spark):
     plans = spark.createDataFrame([(1, "planned", 0), (2, "rejected", 1)], "issue_id int, status string, ord int")
     ids, none = plans.select("issue_id"), spark.createDataFrame([], "issue_id int, verdict string")
-    logic = spark.createDataFrame([(1, "fixed")], "issue_id int, verdict string")
+    logic = spark.createDataFrame([(1, "fixed"), (1, "fixed")], "issue_id int, verdict string")
+    mixed = logic.unionByName(spark.createDataFrame([(1, "unresolved"), (1, "uncertain")], "issue_id int, verdict string"))
+    assert [r.verdict for r in review_flow.verified_fixes(plans.where("issue_id = 1"), ids, ids, mixed, none).collect()] == ["unresolved"]
     assert {r.issue_id: r.verdict for r in review_flow.verified_fixes(plans, ids, ids, logic, none).collect()} == {1: "fixed", 2: "uncertain"}
     with pytest.raises(Exception, match="not every selected issue"):
         review_flow.verified_fixes(plans, ids, ids, none, none).collect()
@@ -151,3 +156,68 @@ def test_lane_bundles_of_a_hot_job(spark):
     out = lanes.lane_bundles(p, c, "job")
     assert sorted(len(r.chunks) for r in out.collect()) == [5, 5]
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_select_candidates_query(spark):
+    """W03, W04, W17 against a plain version: each language's candidates, chosen one after another."""
+    nested = lambda a, b: a[1] == b[1] and ((a[3] <= b[3] and a[4] >= b[4]) or (b[3] <= a[3] and b[4] >= a[4]))
+    lists = {}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        kind = ("structural", "lexical", "semantic")[r.doc_id % 3]
+        lists.setdefault(r.lang, {}).setdefault(kind, []).append((kind, f"m{r.doc_id % 40}", r.doc_id % 1000, r.doc_id % 50, r.doc_id % 50 + r.n_chars % 9, r.n_chars % 997 / 997.0))
+    order = lambda c: (-c[5], c[1], c[2], c[0])
+
+    def once(rows):
+        """Falling scores; the narrower of nested chunks takes the wider one's place."""
+        out = []
+        for c in rows:
+            at = next((i for i, k in enumerate(out) if k[1:3] == c[1:3]), None)
+            if at is not None:
+                out[at] = ("+".join(sorted({*out[at][0].split("+"), *c[0].split("+")})), *out[at][1:])
+                continue
+            at = next((i for i, k in enumerate(out) if nested(c, k)), None)
+            if at is None:
+                out.append(c)
+            elif c[4] - c[3] < out[at][4] - out[at][3]:
+                out[at] = c
+        return sorted(out, key=lambda c: -c[5])
+
+    want = {}
+    for lang, by in lists.items():
+        by = {k: sorted(sorted(v, key=lambda c: (-c[5], c[2]))[:50], key=order) for k, v in by.items()}
+        fits = lambda chosen, c: all(c[1:3] != x[1:3] and not nested(c, x) for x in chosen)
+        chosen = []
+        for c in [*once(once(by.get("structural", []))[:2]), *once(by.get("lexical", [])[:2]), *once(by.get("semantic", [])[:2])]:
+            if len(chosen) < 8 and fits(chosen, c):
+                chosen.append(c)
+        late = []
+        for c in once(sorted([c for v in by.values() for c in v], key=order)):
+            if len(chosen) == 8:
+                break
+            if fits(chosen, c):
+                (late if sum(x[1] == c[1] for x in chosen) >= 4 else chosen).append(c)
+        chosen += [c for c in late if c[1:3] not in [x[1:3] for x in chosen]][: 8 - len(chosen)]
+        want[lang] = chosen
+    got = {}
+    for r in search_queries.select_candidates(spark, SMALL).orderBy("probe_id", "place").collect():
+        got.setdefault(r.probe_id, []).append((r.strategy, r.file_path, r.chunk_index, r.line_start, r.line_end, r.score))
+    assert got == want
+
+
+def test_source_chunks_query(spark):
+    """D07, W14, X33 against a plain version: windows of lines that grow while their tokens fit."""
+    count = lambda line: len(re.findall(r"\w+|[^\w\s]", line))
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        rows, begin, made = (r.text or "").splitlines(), 0, []
+        while begin < len(rows):
+            end = begin + 1
+            while end < len(rows) and sum(map(count, rows[begin : end + 1])) <= chunking.MOST_TOKENS:
+                end += 1
+            if any(x.strip() for x in rows[begin:end]):
+                made.append((begin + 1, end, sum(map(count, rows[begin:end]))))
+            if end == len(rows):
+                break
+            begin = max(begin + 1, end - chunking.LINE_OVERLAP)
+        want += [(f"{r.source}/{r.lang}/{r.doc_id}.txt", i, len(made), *m) for i, m in enumerate(made)]
+    assert sorted(map(tuple, search_queries.source_chunks(spark, SMALL).collect())) == sorted(want)
