@@ -223,13 +223,17 @@ def test_near_copies_are_found(spark):
 
 
 def test_work_follows_the_variants():
+    """At two million fingerprints of a slice, where a square would show: the better of two runs each."""
     took = []
     for n in (500_000, 2_000_000):
         keys = np.random.default_rng(1).integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
-        began = time.process_time()
-        simhash.slice_links(keys, 3, 6, 2, 64, lambda i, j: np.bitwise_count(keys[i] ^ keys[j]).astype(np.int64), 4, 4)
-        took.append(time.process_time() - began)
-    assert took[1] < 5 * took[0]  # four times the fingerprints
+        runs = []
+        for _ in range(2):
+            began = time.process_time()
+            simhash.slice_links(keys, 3, 6, 2, 64, lambda i, j: np.bitwise_count(keys[i] ^ keys[j]).astype(np.int64), 4, 4)
+            runs.append(time.process_time() - began)
+        took.append(min(runs))
+    assert took[1] < 6 * took[0]  # four times the fingerprints, and sorting
 
 
 @pytest.mark.parametrize("n", [10, 10**6, 10**8])
