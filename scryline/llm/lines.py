@@ -22,6 +22,8 @@ the text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scryline.llm.common import documents, fresh, staged
@@ -38,18 +40,26 @@ BLANK = " \t\n\v\f\r"
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+    low = F.lower(line)  # a single space is no pattern, and cuts in a third of the time
+    return F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
+
+
+def _trimmed(line: Column) -> Column:
+    """The line without the white space around it. Trimming a set of characters walks through the whole line, so it is left to the lines that need it."""
+    inner = F.trim(line)
+    others = [f(c) for c in BLANK[1:] for f in (inner.startswith, inner.endswith)]
+    return F.when(reduce(Column.__or__, others), F.trim(line, F.lit(BLANK))).otherwise(inner)
 
 
 def _keys(line: Column) -> list[Column]:
-    form = F.lower(F.trim(line, F.lit(BLANK)))
+    form = F.lower(_trimmed(line))
     return [F.xxhash64(form).alias("k1"), F.xxhash64(F.lit(1), form).alias("k2")]
 
 
 def _lines(docs: DataFrame, bits: int) -> DataFrame:
     """doc_id, th (hash of the text), pos, ord (an order key of doc_id and pos), line."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("ls"))  # before each line gets a row
-    rows = texts.select("doc_id", "th", F.posexplode("ls").alias("pos", "line"))
+    rows = texts.select("doc_id", "th", F.posexplode_outer("ls").alias("pos", "line"))  # no text is without lines; for the inner form Spark cuts texts once more, to test that
     if bits:
         order = F.shiftleft(F.col("doc_id").cast("long"), bits).bitwiseOR(F.col("pos").cast("long"))
     else:
@@ -59,7 +69,7 @@ def _lines(docs: DataFrame, bits: int) -> DataFrame:
 
 def _order_bits(docs: DataFrame) -> int:
     """How many bits of a long the place needs beside doc_id; 0 if both don't fit."""
-    low, high, most = docs.where("text is not null").agg(F.min("doc_id"), F.max("doc_id"), F.max(F.length(F.regexp_replace("text", "[^\n]+", "")))).first()
+    low, high, most = docs.where("text is not null").agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))).first()
     bits = max(1, int(most or 0).bit_length())
     return bits if low is None or (low >= 0 and int(high).bit_length() + bits <= 62) else 0
 
@@ -73,7 +83,7 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
     """k1, k2, t: of each line that recurs or has an earlier neighbour, the order key of the earliest such line."""
     h = F.transform("ws", lambda w: F.xxhash64(w))
     lines = _lines(docs, bits)
-    rows = lines.select("ord", *_keys(F.col("line")), _words(F.col("line")).alias("ws")).where(F.size("ws") > 0).withColumn("h", h)
+    rows = lines.where(_trimmed(F.col("line")) != "").select("ord", *_keys(F.col("line")), _words(F.col("line")).alias("ws")).withColumn("h", h)
     n = F.size("h")
 
     def half(kind: int, m: Column) -> Column:
@@ -89,7 +99,8 @@ def thresholds(docs: DataFrame, bits: int) -> DataFrame:
     crowded = by_half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
     chosen = staged(by_half.join(crowded, "half", "left_semi").select("k1", "k2", "first").distinct(), "candidates")
 
-    found = _joined(lines.select("ord", *_keys(F.col("line")), "line").withColumnRenamed("ord", "first"), chosen, ["k1", "k2", "first"])
+    at = _joined(lines.select(F.col("ord").alias("first"), "line"), chosen.select("first"), ["first"], "left_semi")  # only these lines get keys
+    found = _joined(at.select("first", *_keys(F.col("line")), "line"), chosen, ["k1", "k2", "first"])
     found = found.select("k1", "k2", "first", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
     words = staged(found.dropDuplicates(["k1", "k2"]), "candidate-words")
 

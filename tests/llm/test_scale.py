@@ -3,12 +3,14 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from scryline.llm import lines, lm, packing
+from tests.conftest import same
 
 
 def test_hot_bigram_is_spread(spark, monkeypatch):
@@ -58,6 +60,36 @@ def test_places_between(spark):
     assert got == {1: rows[0][1], 2: "new one of five words", 4: "x y z q r\ns t u v w"}
 
 
+def test_lines_are_cut_once(spark, monkeypatch):
+    """No pass over the corpus cuts texts or lines for a filter first and for what it computes again."""
+    plans, real = {}, lines.staged
+
+    def spy(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, tag)
+
+    monkeypatch.setattr(lines, "staged", spy)
+    rows = [(k, f"one two three four {k}\nshort\n\none more line of words") for k in range(9)]
+    got = lines.drops(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, p) for r in got for p in r.places} == {(k, p) for k in range(1, 9) for p in (0, 1, 3)}
+    for tag in ("lines", "candidate-words", "line-drops"):
+        assert "split(" in plans[tag] and not [x for x in plans[tag].splitlines() if "Filter" in x and "split(" in x], tag
+
+
+def test_white_space_of_all_kinds(spark, tmp_path):
+    """Every kind of white space, within lines and around them, against the SQL."""
+    rng, rows = random.Random(5), []
+    pool = [[f"W{rng.randrange(9)}é" for _ in range(rng.randint(1, 8))] for _ in range(60)]
+    blank = lambda least: "".join(rng.choice(lines.BLANK.replace("\n", "")) if rng.random() < 0.4 else " " for _ in range(rng.choice([least, least, 1, 2])))
+    for d in range(80):
+        ls = [blank(0) + "".join(w + blank(1) for w in rng.choice(pool)[:-1] + ["end"]) + rng.choice(["", blank(0)]) for _ in range(4)]
+        rows.append((d, "\n".join([*ls, blank(0), "a\u00a0b\u2003c d", "\t"][: rng.randint(1, 7)])))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(lines.op9_line_dedup(spark, str(tmp_path)), con, lines.OP9_SQL)
+
+
 @pytest.mark.parametrize("round_rows", [20, 5])
 def test_packing_in_many_tasks(spark, monkeypatch, round_rows):
     """With leftovers of many tasks no two sequences fit together in the end, and no piece is lost."""
