@@ -60,7 +60,7 @@ BM25_POSTINGS_SQL = f"WITH e AS (SELECT doc_id, unnest({TOKENS}) AS term FROM do
 def _knn(spark, sf, k, keep=None, queries="doc % 50 = 0"):
     v = _vectors(spark, sf)
     q = v.where(queries).select(F.col("doc").alias("query"), "vector")
-    return retrieval.knn(v, q, k, keep)
+    return retrieval.knn(v, q, k, keep, digits=6)
 
 
 COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
