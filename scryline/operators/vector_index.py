@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from scryline.operators.retrieval import QUERY_BLOCK, cosine, knn, top_k
+from scryline.operators.retrieval import QUERY_BLOCK, knn, nearest, top_k
 from scryline.sources.versions import Manifests
 
 SAMPLE_VECTORS, ROUNDS, MOST_CELLS = 100_000, 15, 4_096
@@ -96,31 +96,35 @@ class VectorIndex:
             out = part if out is None else out.unionByName(part)
         return out if cells is None else out.where(F.col("cell").isin(cells))
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-        """query, doc, score, rank: the k best of the nearest cells, by exact cosine; queries (query, vector) go in blocks of QUERY_BLOCK, each broadcast."""
+    def _placed(self, queries: DataFrame, probes: int) -> DataFrame:
+        """query, vector, cell: queries with each of their nearest cells."""
         centres = np.array(self._state()["centres"])
         unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         shared, most = self.spark.sparkContext.broadcast(unit), min(probes, len(unit))
 
         @F.pandas_udf("array<int>")
-        def nearest(vector: pd.Series) -> pd.Series:
+        def cells(vector: pd.Series) -> pd.Series:
             scores = np.stack(vector.to_numpy()).astype(np.float64) @ shared.value.T if len(vector) else np.zeros((0, len(shared.value)))
             return pd.Series(list(np.argpartition(-scores, most - 1, axis=1)[:, :most].astype(np.int32)))
 
-        placed = queries.select("query", F.col("vector").alias("_q"), F.explode(nearest("vector")).alias("cell"))
+        return queries.select("query", "vector", F.explode(cells("vector")).alias("cell"))
+
+    def search(self, queries: DataFrame, k: int, probes: int = 8, digits: int | None = None) -> DataFrame:
+        """query, doc, score, rank: the k best of the nearest cells, by exact cosine (digits: rounded to so many places before they are ranked); queries (query,
+        vector) go in blocks of QUERY_BLOCK, each broadcast."""
+        placed = self._placed(queries, probes)
         blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
         for b in range(blocks):
             block = placed if blocks == 1 else placed.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
             cells = [r[0] for r in block.select("cell").distinct().collect()]  # at most MOST_CELLS
-            pairs = self.vectors(cells).join(F.broadcast(block), "cell")
-            best = top_k(pairs.select("query", "doc", cosine(F.col("vector"), F.col("_q")).alias("score")), ["query"], k)
+            best = top_k(nearest(self.vectors(cells), block, k, digits, cell=True), ["query"], k)
             out = best if out is None else out.unionByName(best)
         return out
 
     def read_share(self, queries: DataFrame, probes: int) -> float:
         """The share of all vectors that a search of these queries compares with, in the mean over the queries."""
         sizes = self.vectors().groupBy("cell").agg(F.count("*").alias("n"))
-        found = self.search(queries, 1 << 30, probes).groupBy("query").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0] or 0
+        found = self._placed(queries, probes).join(sizes, "cell").groupBy("query").agg(F.sum("n").alias("n")).agg(F.avg("n")).first()[0] or 0
         return found / max(1, sizes.agg(F.sum("n")).first()[0] or 0)
 
     def vacuum(self) -> int:
