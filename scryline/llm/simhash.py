@@ -15,6 +15,7 @@ nothing; a slice returns a spanning forest of such links, never all pairs of a g
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -85,7 +86,9 @@ def _codes(slice_bits: int, sub_bits: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def syndrome(values: np.ndarray, slice_bits: int, sub_bits: int = 0) -> np.ndarray:
+@lru_cache(maxsize=64)
+def _tables(slice_bits: int, sub_bits: int) -> np.ndarray:
+    """What each value of each byte adds to the linear hash."""
     codes = _codes(slice_bits, sub_bits)
     tables = np.zeros((8, 256), np.int64)
     for byte in range(8):
@@ -93,6 +96,11 @@ def syndrome(values: np.ndarray, slice_bits: int, sub_bits: int = 0) -> np.ndarr
             for k in range(8):
                 if v >> k & 1:
                     tables[byte, v] ^= codes[8 * byte + k]
+    return tables
+
+
+def syndrome(values: np.ndarray, slice_bits: int, sub_bits: int = 0) -> np.ndarray:
+    tables = _tables(slice_bits, sub_bits)
     parts = np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8)
     out = tables[0][parts[:, 0]]
     for byte in range(1, 8):
@@ -103,11 +111,31 @@ def syndrome(values: np.ndarray, slice_bits: int, sub_bits: int = 0) -> np.ndarr
 def slices(n: int, size: int, radius: int, least: int) -> int:
     """k, from least on, so that each of 2^k slices gets SLICE_BYTES of n rows of so many bytes at most."""
     k = least
-    while n * size * sum(math.comb(k, r) for r in range(min(radius, k) + 1)) > SLICE_BYTES << k and k < 24:
+    while n * size * copies(k, radius) > SLICE_BYTES << k and k < 24:
         k += 1
     return k
 
 
+def copies(k: int, radius: int) -> int:
+    """How often a row is sent to 2^k slices at most."""
+    return sum(math.comb(k, r) for r in range(min(radius, k) + 1))
+
+
+def dealing(n: int, size: int, radius: int, width: int, least: int, parts: int) -> tuple[int, int]:
+    """Into how many parts the bits of a table are cut (1: they aren't), and k of the slices: whichever sends a row less often."""
+    whole = slices(n, size, radius, least)
+    if parts <= 2 * radius:
+        return 1, whole
+    within = slices(n >> width // parts, size, radius, 0)
+    return (parts, within) if parts * copies(within, radius) < copies(whole, radius) else (1, whole)
+
+
+def part_of(part: int, parts: int, width: int) -> tuple[int, int]:
+    """The first bit and the number of bits of a part."""
+    lo = part * width // parts
+    return lo, (part + 1) * width // parts - lo
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -137,7 +165,7 @@ def _shuffled(v: np.ndarray, i: np.ndarray) -> np.ndarray:
     return (z ^ z >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
 
-def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, width: int, distance, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, width: int, distance, sure: int, most: int, masks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (two indices, and whether they are sure) between rows that share a variant of this slice.
 
     distance(i, j): of pairs of indices. Of the rows that share a variant, those at most `most` from the first are
@@ -146,7 +174,7 @@ def slice_links(keys: np.ndarray, where: int, slice_bits: int, radius: int, widt
     row is first depends on the variant (rows within 2 * radius share several); of them, those that the forest doesn't
     connect already are returned.
     """
-    masks = ball(radius, width)
+    masks = ball(radius, width) if masks is None else masks  # others: the variants that a slice has of each row
     sub_bits = max(0, math.ceil(math.log2(max(1.0, len(keys) * len(masks) / (SUB_ROWS << slice_bits)))))
     codes, own = syndrome(masks, slice_bits, sub_bits), syndrome(keys, slice_bits, sub_bits)
     by_code = np.argsort(own, kind="stable")
@@ -220,47 +248,63 @@ def table_keys(wide: np.ndarray, table: int, width: int) -> np.ndarray:
     return out & np.uint64((1 << width) - 1) if width < 64 else out
 
 
-def ball_links(distinct: DataFrame, radius: int = 2, width: int = BITS, tables: int = 1, slice_bits: int = 6, sure: int = 4, most: int = 4) -> DataFrame:
+def ball_links(distinct: DataFrame, radius: int = 2, width: int = BITS, tables: int = 1, slice_bits: int = 6, sure: int = 4, most: int = 4, parts: int = 1) -> DataFrame:
     """distinct (node, wide) -> a, b, sure: links that connect all nodes of which a table's bits differ in at most 2 * radius places.
 
     wide: the bits of all tables, as little-endian 64-bit words. most: the greatest distance over all bits of a link;
     sure: the greatest of one that needs no further verification. There are 2^slice_bits slices of each table at least.
+
+    The slices of a whole table get a row 1 + k + k (k - 1) / 2 times, and k follows the number of rows. parts: beyond, a table's bits may be cut into so many
+    parts, more than 2 * radius. Two rows that differ in at most 2 * radius bits then have one part whole in common, so each row is sent once for each part,
+    to those with the same bits there, and its variants differ in the other parts' bits alone: more variants in all, but a fixed number of copies.
     """
     words = -(-tables * width // 64)
     row = np.dtype([("node", "<i8"), ("wide", "<u8", (words,))])
-    slice_bits = slices(distinct.count(), row.itemsize, radius, slice_bits)
-    masks = ball(radius, width)
+    parts, slice_bits = dealing(distinct.count(), row.itemsize, radius, width, slice_bits, parts)
+    bits = max(part_of(p, parts, width)[1] for p in range(parts)) if parts > 1 else 0
+    masks = [ball(radius, width)]
+    if parts > 1:
+        fixed = [np.uint64((1 << n) - 1) << np.uint64(lo) for lo, n in (part_of(p, parts, width) for p in range(parts))]
+        masks = [masks[0][masks[0] & x == 0] for x in fixed]
 
     def deal(batches):
-        offsets = np.unique(syndrome(masks, slice_bits))
+        offsets = [np.unique(syndrome(m, slice_bits)) for m in masks]
         for pdf in batches:
             rows = np.empty(len(pdf), row)
             rows["node"] = pdf["node"].to_numpy(np.int64)
             rows["wide"] = np.frombuffer(b"".join(pdf["wide"]), "<u8").reshape(-1, words)
             for t in range(tables):
-                if len(offsets) == 1 << slice_bits:  # every slice gets every fingerprint
+                if parts == 1 and len(offsets[0]) == 1 << slice_bits:  # every slice gets every fingerprint
                     blob = rows.tobytes()
                     yield pd.DataFrame({"slice": (t << slice_bits) + np.arange(1 << slice_bits), "rows": [blob] * (1 << slice_bits)})
                     continue
-                own = syndrome(table_keys(rows["wide"], t, width), slice_bits)
-                for lo in range(0, len(rows), 4096):
-                    to = (own[lo : lo + 4096, None] ^ offsets).ravel()
-                    what = np.repeat(np.arange(lo, min(lo + 4096, len(rows))), len(offsets))
-                    order = np.argsort(to, kind="stable")
-                    to, what = to[order], what[order]
-                    edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-                    yield pd.DataFrame({"slice": (t << slice_bits) + to[edge], "rows": [rows[x].tobytes() for x in np.split(what, edge[1:])]})
+                keys = table_keys(rows["wide"], t, width)
+                own = syndrome(keys, slice_bits)
+                for p in range(parts):
+                    value = np.zeros(len(rows), np.int64)
+                    if parts > 1:
+                        lo, n = part_of(p, parts, width)
+                        value = (keys >> np.uint64(lo) & np.uint64((1 << n) - 1)).astype(np.int64)
+                    base = ((t * parts + p) << bits | value) << slice_bits
+                    for lo in range(0, len(rows), 4096):
+                        to = (base[lo : lo + 4096, None] | own[lo : lo + 4096, None] ^ offsets[p]).ravel()
+                        what = np.repeat(np.arange(lo, min(lo + 4096, len(rows))), len(offsets[p]))
+                        order = np.argsort(to, kind="stable")
+                        to, what = to[order], what[order]
+                        edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+                        yield pd.DataFrame({"slice": to[edge], "rows": [rows[x].tobytes() for x in np.split(what, edge[1:])]})
 
     def meet(key, pdf):
         rows = np.frombuffer(b"".join(pdf["rows"]), row)
         rows = rows[np.argsort(rows["node"], kind="stable")]
         wide = rows["wide"]
-        table, where = divmod(int(key[0]), 1 << slice_bits)
+        where = int(key[0]) & ((1 << slice_bits) - 1)
+        table, part = divmod(int(key[0]) >> slice_bits + bits, parts)
 
         def distance(i, j):
             return popcount(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
 
-        i, j, is_sure = slice_links(table_keys(wide, table, width), where, slice_bits, radius, width, distance, sure, most)
+        i, j, is_sure = slice_links(table_keys(wide, table, width), where, slice_bits, radius, width, distance, sure, most, masks[part])
         out = pd.DataFrame({"a": rows["node"][i], "b": rows["node"][j], "sure": is_sure})
         release()
         return out
@@ -325,6 +369,8 @@ def little_endian(x: Column) -> Column:
 #: Of the near-copy operator: fingerprints of TABLES times WIDTH bits. At a Jaccard similarity of 0.8 a table's 36 bits differ
 #: in at most 4 with a chance of 0.36, so one of ten tables does with 0.99; unrelated texts do so in 1 of 100,000 pairs.
 TABLES, WIDTH = 10, 36
+#: Parts of a table's bits for many rows: one more than the bits in which two rows of a link may differ.
+PARTS = 5
 #: Distances over all 360 bits: 54.6 (deviation 6.8) are expected at a similarity of 0.8, and 62 at 0.75. Links of SURE_BITS or
 #: fewer hold without a look at the texts; those of up to MOST_BITS are verified by their shingles.
 SURE_BITS, MOST_BITS = 36, 78
@@ -401,7 +447,7 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     rows = staged(docs.select("doc_id", F.xxhash64("text").alias("th"), of("text").alias("wide")), "wide-fingerprints").withColumn("node", F.xxhash64("wide"))
 
     def links(firsts: DataFrame) -> DataFrame:
-        found = staged(ball_links(firsts, 2, WIDTH, TABLES, slice_bits=2, sure=SURE_BITS, most=MOST_BITS), "candidate-links")
+        found = staged(ball_links(firsts, 2, WIDTH, TABLES, slice_bits=2, sure=SURE_BITS, most=MOST_BITS, parts=PARTS), "candidate-links")
         certain = found.where("sure").select("a", "b")
         roots = staged(components(certain), "sure-roots")
         root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
