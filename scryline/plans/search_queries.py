@@ -305,7 +305,8 @@ def structural_flags(spark, sf):
     word = F.regexp_extract(F.lower("t"), "[a-z]+", 0)
     text = F.concat(F.regexp_replace(snippet, F.lit("^([^\n]*)"), F.concat(F.lit("$1  # "), word)), F.lit("\n# "), "t")
     rows = matchers.matched_probes(d.select("doc_id", F.when(F.col("doc_id") % n == 0, "java").otherwise("python").alias("language"), text.alias("chunk_text")))
-    return rows.select(F.explode("_probes").alias("probe_id"), "doc_id").groupBy("probe_id").agg(F.count("*").alias("documents"), F.sum("doc_id").alias("ids"))
+    each = rows.select(F.explode_outer("_probes").alias("probe_id"), "doc_id").where("probe_id is not null")  # for the inner form Spark computes the probes once more
+    return each.groupBy("probe_id").agg(F.count("*").alias("documents"), F.sum("doc_id").alias("ids"))
 
 
 PATHS = ["README.md", "tests/a.py", "docs/guide.rst", "main.py", "Readme.", "readme.de.txt", "test/conf.py", "lib/notes.md", "test_b.py", "x/readme"]
