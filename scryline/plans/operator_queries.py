@@ -282,7 +282,7 @@ def structural_scores(spark, sf):
         "doc_id", F.lit("python").alias("language"), F.concat(F.lit("# "), F.regexp_replace("text", "[\\x00-\\x1F]+", " "), F.when(F.col("doc_id") % 2 == 0, code).otherwise(F.lit("\nclass OtpResponse(BaseModel):\n    margin: int\n"))).alias("chunk_text"),
         F.get(F.array(F.lit("function"), F.lit("class"), F.lit("module")), (F.col("doc_id") % 3).cast("int")).alias("chunk_type"), F.lit("app/schemas/x.py").alias("file_path"), F.lit(0).alias("chunk_index"),
     )
-    s = matchers.structural_candidates(c, F.lit(0.1)).where(F.col("probe_id").isin("security.otp_exposure_rate_limit", "security.sensitive_response_exposure"))
+    s = matchers.structural_candidates(c, F.lit(0.1), ["security.otp_exposure_rate_limit", "security.sensitive_response_exposure"])
     return s.select("doc_id", "probe_id", F.round("score", 6).alias("score"))
 
 
